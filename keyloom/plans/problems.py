@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom.operators.changes import current_entries
 from keyloom.operators.chunks import chunk_states
+from keyloom.operators.drift import ingest, schema_changes
 from keyloom.runtime import table
 
 DAY_MS = 86_400_000
@@ -23,7 +24,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_entries(table(spark, sf_dir, "active")).select("nodeId", "key", "seq")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of valueType and expireAt from file to file of each node."""
+    return schema_changes(table(spark, sf_dir, "log_lines"), table(spark, sf_dir, "log_files"))
+
+
+def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readable log lines in one form, with what is left over in ``rescued``."""
+    return ingest(table(spark, sf_dir, "log_lines"))
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_table": p5_table}
 SQL = {
     "p1_found": """
         SELECT key, CAST(floor(ts / 86400000.0) AS BIGINT) AS utc_day, min(line_id) AS first_line, max(line_id) AS last_line
