@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.distinct import distinct_by_day_and_ops
 from keyloom.llm.heavy import frequent
+from keyloom.llm.leaks import find_leaks
+from keyloom.llm.sentences import sentences
 from keyloom.runtime import table
 
 OPS = ["SET", "DEL", "MSET", "MDEL", "MUPD", "FLUSH"]
@@ -30,7 +32,17 @@ def p3_frequent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("item").alias("key"), "n", "upper", "error")
 
 
-QUERIES = {"p2_distinct_keys": p2_distinct_keys, "p3_found": p3_found, "p3_frequent_keys": p3_frequent_keys}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the test items of which they hold a passage."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of every sentence of every document."""
+    return sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_distinct_keys": p2_distinct_keys, "p3_found": p3_found, "p3_frequent_keys": p3_frequent_keys, "p7_found": p7_found, "p8_found": p8_found}
 SQL = {
     "p3_found": """
         SELECT key FROM (SELECT key, count(*) AS n FROM active WHERE key IS NOT NULL GROUP BY key)
