@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.distinct import distinct_by_day_and_ops
 from keyloom.llm.heavy import frequent
 from keyloom.llm.leaks import find_leaks
+from keyloom.llm.packing import fill_containers
 from keyloom.llm.sentences import sentences
 from keyloom.runtime import table
 
@@ -32,6 +33,11 @@ def p3_frequent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("item").alias("key"), "n", "upper", "error")
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's containers of 4,096 tokens."""
+    return fill_containers(table(spark, sf_dir, "documents"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the test items of which they hold a passage."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -42,7 +48,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_distinct_keys": p2_distinct_keys, "p3_found": p3_found, "p3_frequent_keys": p3_frequent_keys, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p2_distinct_keys": p2_distinct_keys, "p3_found": p3_found, "p3_frequent_keys": p3_frequent_keys, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found}
 SQL = {
     "p3_found": """
         SELECT key FROM (SELECT key, count(*) AS n FROM active WHERE key IS NOT NULL GROUP BY key)
