@@ -46,10 +46,11 @@ def scopes(feed: DataFrame, scope: str = "nodeId") -> DataFrame:
     return span.join(flush, "scope", "left")
 
 
-def _run(ops: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+def replay(ops: DataFrame, by: list[str], order: list[str], carry: list[str]) -> DataFrame:
     """One operation for each group, equal to running the group's operations in order.
 
-    Columns beside ``by``: kind, at (time an update asks for the entry), exp, seq, and last (the order of the last one that took effect).
+    ``ops``: by, order, kind (W, D, U), at (the time at which an update asks for the entry), exp, and the
+    columns to ``carry`` from the last operation that took effect. Result: by, kind, at, exp, carry.
     """
     w = W.partitionBy(*by).orderBy(*order)
     seg = ops.withColumn("seg", F.sum(F.when(F.col("kind") == "U", 0).otherwise(1)).over(w))
@@ -57,10 +58,10 @@ def _run(ops: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     left = F.lag(F.when(F.col("kind") == "D", F.lit(1)).otherwise(F.coalesce("exp", F.lit(0)))).over(W.partitionBy(*by, "seg").orderBy(*order))
     ok = (F.col("kind") != "U") | left.isNull() | (left <= 0) | (F.col("at") < left)
     alive = seg.withColumn("ok", ok).withColumn("ok", F.min("ok").over(W.partitionBy(*by, "seg").orderBy(*order))).filter("ok")
-    last = F.max_by(F.struct("seg", "kind", "exp", "seq", *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)]), F.struct(*order))
+    last = F.max_by(F.struct("seg", "kind", "exp", *carry, *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)]), F.struct(*order))
     out = alive.groupBy(*by).agg(last.alias("x"), F.min(F.when(F.col("seg") == 0, F.struct(*order, "at"))).alias("head"))
     kind = F.when(F.col("x.seg") == 0, F.lit("U")).when(F.col("x.kind") == "D", F.lit("D")).otherwise(F.lit("W"))
-    return out.select(*by, kind.alias("kind"), F.col("head.at").alias("at"), "x.exp", "x.seq")
+    return out.select(*by, kind.alias("kind"), F.col("head.at").alias("at"), "x.exp", *[f"x.{c}" for c in carry])
 
 
 def current_entries(feed: DataFrame, scope: str = "nodeId", slices: int = SLICES) -> DataFrame:
@@ -88,7 +89,7 @@ def current_entries(feed: DataFrame, scope: str = "nodeId", slices: int = SLICES
         F.col("ts").alias("at"),
         "exp",
     )
-    by_slice = _run(ops, ["scope", "key", "slice"], ["ts", "seq"])
-    ends = _run(by_slice, ["scope", "key"], ["slice"]).filter("kind = 'W'")
+    by_slice = replay(ops, ["scope", "key", "slice"], ["ts", "seq"], ["seq"])
+    ends = replay(by_slice, ["scope", "key"], ["slice"], ["seq"]).filter("kind = 'W'")
     live = ends.join(spans.select("scope", "now"), "scope").filter("exp is null or exp <= 0 or now < exp")
     return live.select(F.col("scope").alias(scope), "key", "seq", F.col("exp").alias("expireAt"))
