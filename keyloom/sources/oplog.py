@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,10 +54,26 @@ def lines_of(ops: DataFrame) -> DataFrame:
     return ops.select(text.alias("value")).filter("value is not null")
 
 
-def append_log(ops: DataFrame, path: str, gzip: bool = False, max_lines: int | None = None) -> None:
-    """Append operations to a log directory, in seq order within each file; ``max_lines`` rotates."""
-    writer = lines_of(ops.sortWithinPartitions("seq")).write.mode("append").option("compression", "gzip" if gzip else "none")
-    (writer.option("maxRecordsPerFile", max_lines) if max_lines else writer).text(path)
+def append_log(ops: DataFrame, path: str, gzip: bool = False, files: int = 8) -> None:
+    """Append operations to a log directory as rotated-N.jsonl files that follow each other in seq order.
+
+    The log is range-partitioned by seq, so that each file is a stretch of it; numbers go on behind the
+    files that are there.
+    """
+    spark = ops.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    there = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    first = max([int(n.split("-")[1].split(".")[0]) + 1 for n in there if n.startswith("rotated-")], default=0)
+    fresh = f"{path}/_new-{uuid.uuid4().hex}"
+    placed = ops.repartitionByRange(files, "seq").sortWithinPartitions("seq")
+    lines_of(placed).write.option("compression", "gzip" if gzip else "none").text(fresh)
+    parts = sorted(f.getPath().getName() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(fresh)) if f.getPath().getName().startswith("part-"))
+    for i, name in enumerate(parts):
+        to = f"{path}/rotated-{first + i:03d}.jsonl" + (".gz" if gzip else "")
+        fs.rename(jvm.org.apache.hadoop.fs.Path(f"{fresh}/{name}"), jvm.org.apache.hadoop.fs.Path(to))
+    fs.delete(jvm.org.apache.hadoop.fs.Path(fresh), True)
 
 
 def read_cluster(spark: SparkSession, path: str) -> DataFrame:
