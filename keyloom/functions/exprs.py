@@ -110,11 +110,12 @@ def glob_match(key: Column | str, pattern: Column | str) -> Column:
     if pattern == "":
         return F.lit(False)
     if "*" not in pattern:
-        return F.coalesce(k == pattern, F.lit(False))
+        return k.isNotNull() & (k == pattern)
     prefix = pattern.split("*", 1)[0]
     rx = r"\A" + ".*".join(re.sub(r"([^\w:-])", r"\\\1", x) for x in pattern.split("*")) + r"\z"
     whole = F.regexp(k, F.lit(rx))
-    return F.coalesce(k.startswith(prefix) & whole if prefix else whole, F.lit(False))
+    # false rather than null for a null key, in a form that can be pushed down
+    return k.isNotNull() & (k.startswith(prefix) & whole if prefix else whole)
 
 
 def apply_prefix(verb: Column, args: Column, collection: Column) -> Column:
