@@ -51,8 +51,8 @@ def plain(text: str) -> str:
             text = _ACCENT.sub(_accented, text)
         text = _LETTER.sub(lambda m: LETTER_MACROS[m.group(1)], text)
         text = _CITE.sub("", text)
-    text = _COMMAND.sub(" ", text)
-    return unicodedata.normalize("NFC", _NOISE.sub("", text).lower())
+    text = unicodedata.normalize("NFC", _COMMAND.sub(" ", text))
+    return _NOISE.sub("", text).lower()
 
 
 def is_han(text: str) -> bool:
