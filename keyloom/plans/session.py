@@ -110,13 +110,22 @@ def _key_replies(log: DataFrame) -> DataFrame:
     return log.select("seq", "op").join(by, "seq", "left").select("seq", kind.alias("kind"), F.coalesce("n", F.lit(0)).cast("int").alias("n"), s.alias("s"), F.when(v == "MGET", F.transform("x", lambda e: F.coalesce(e.v, F.lit("(nil)")))).alias("lines"))
 
 
-def run_script(script: DataFrame, read_only: str | None = None) -> DataFrame:
+def run_script(script: DataFrame, read_only: str | None = None, base: DataFrame | None = None) -> DataFrame:
     """session, seq, reply (wire text) for every line of a script: session, seq (unique order), ts, line.
 
     ts must not fall with seq. Null and blank lines get an error reply; an empty script gives no rows.
+    ``base`` is the op log of what was there before, with lower seqs and no later ts.
     """
+    return execute(script, read_only, base)[0]
+
+
+def execute(script: DataFrame, read_only: str | None = None, base: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The replies of ``run_script``, and the script's writes as an op log."""
     reqs = durable(checked(requests(script), read_only))
-    log = log_of(reqs)
+    own_log = log_of(reqs)
+    names = own_log.columns
+    log = own_log if base is None else base.select(*names).union(own_log)
+    changed = own_log.filter(F.col("op").isin(*WRITES))
     scans = reqs.filter(F.col("error").isNull() & F.col("verb").isin("KEYS", "COLLECTION")).orderBy("seq").limit(SCANS + 1).collect()
     if len(scans) > SCANS:
         raise ValueError(f"a script may hold {SCANS} KEYS and COLLECTION commands")
@@ -149,7 +158,8 @@ def run_script(script: DataFrame, read_only: str | None = None) -> DataFrame:
         if sub == "DROP":
             gone = state.filter(glob_match("key", f"{name}:*"))
             change = change.union(gone.select(F.lit(int(r.seq)), F.lit(int(r.ts)), F.lit("DEL"), "key", null("string"), F.lit(0).cast("bigint"), null(pairs), null(names)))
-        log = durable(log.union(change))
+        change = durable(change)
+        log, changed = log.union(change), changed.union(change)
     # what a scan changed is in the log, but it has its own reply
     own = [int(r.seq) for r in scans]
     answered = _key_replies(log).filter(~F.col("seq").isin(*own)) if own else _key_replies(log)
@@ -159,7 +169,7 @@ def run_script(script: DataFrame, read_only: str | None = None) -> DataFrame:
     name = F.coalesce(F.get("args", F.lit(0)), F.lit(""))
     use = F.when(name.isin("", "*"), '"OK (default)"').otherwise(F.concat(F.lit('"OK (using '), name, F.lit(')"')))
     wire = F.when(F.col("error").isNotNull(), F.concat(F.lit("(error) ERR "), "error")).when(v == "PING", '"PONG"').when(v == "QUIT", "OK").when(v == "USE", use).otherwise(to_wire(F.col("kind"), F.col("n"), F.col("s"), F.col("lines")))
-    return reqs.join(answered, "seq", "left").select("session", "seq", wire.alias("reply"))
+    return reqs.join(answered, "seq", "left").select("session", "seq", wire.alias("reply")), changed
 
 
 def batch_count(ops: DataFrame) -> DataFrame:
