@@ -8,7 +8,8 @@
    state by partial aggregation on the map side, so no row crosses the network.
 5. The ordered chunk states are merged into one result for each key.
 
-Only keys with more than ``chunk_rows`` rows need offsets, at most rows / chunk_rows of them.
+Only keys with more than ``chunk_rows`` rows need offsets, at most rows / chunk_rows of them; unless
+given, ``chunk_rows`` grows with the table beyond ``CHUNK_ROWS``, so that there are at most ``CHUNKS``.
 The input must be a deterministic scan (files) or a durable copy: both passes have to see the same
 rows in the same partitions.
 """
@@ -24,16 +25,16 @@ from pyspark.sql import functions as F
 from keyloom.runtime import durable, small_side
 
 CHUNK_ROWS = 100_000
+CHUNKS = 2_000
 _PID, _POS, _IDX, _CHUNK, _RANK = "__pid", "__pos", "__idx", "__chunk", "__rank"
 _LOCAL = (1 << 33) - 1
 
 
-def _offsets(df: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+def _offsets(counts: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
     """(partition, key) -> start of the key's run in its sorted partition, rows of the key in earlier partitions.
 
-    For keys with more than ``least`` rows only.
+    ``counts``: rows of each (partition, key). For keys with more than ``least`` rows only.
     """
-    counts = df.groupBy(_PID, *keys).agg(F.count("*").alias("__n"))
     placed = counts.select(
         _PID,
         *keys,
@@ -49,12 +50,19 @@ def _offsets(df: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
     )
 
 
-def _numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], least: int) -> DataFrame:
-    """``df`` with the exact 0-based rank of each row among its key's rows; null for keys of up to ``least`` rows."""
+def _numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], least: int | None) -> tuple[DataFrame, int]:
+    """``df`` with the exact 0-based rank of each row among its key's rows; null for keys of up to ``least`` rows.
+
+    Also the ``least`` that was taken if none was given.
+    """
     with_pid = df.withColumn(_PID, F.spark_partition_id())
-    offsets = small_side(_offsets(with_pid.select(_PID, *keys), keys, least))
+    counts = durable(with_pid.groupBy(_PID, *keys).agg(F.count("*").alias("__n")))
+    if least is None:
+        least = max(CHUNK_ROWS, (counts.agg(F.sum("__n")).first()[0] or 0) // CHUNKS)
+    offsets = small_side(_offsets(counts, keys, least))
     runs = with_pid.sortWithinPartitions(*keys, *order).withColumn(_IDX, F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL)))
-    return runs.join(offsets, [_PID, *keys], "left").withColumn(_RANK, F.col("__offset") + F.col(_IDX) - F.col("__start")).drop(_PID, _IDX, "__start", "__offset")
+    ranked = runs.join(offsets, [_PID, *keys], "left").withColumn(_RANK, F.col("__offset") + F.col(_IDX) - F.col("__start"))
+    return ranked.drop(_PID, _IDX, "__start", "__offset"), least
 
 
 def chunk_states(
@@ -63,7 +71,7 @@ def chunk_states(
     groups: Sequence[str],
     states: dict[str, tuple[str, str]],
     order: str,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """One row for each (keys, groups) with the named states, whatever share of the rows one key holds.
 
@@ -73,7 +81,7 @@ def chunk_states(
     (last) value, so repeated rows change nothing but count and sum. Other columns of the table
     are not read and may have any name.
     """
-    if chunk_rows < 1:
+    if chunk_rows is not None and chunk_rows < 1:
         raise ValueError("chunk_rows must be at least 1")
     if unknown := {k for k, _ in states.values()} - {"min", "max", "sum", "count", "first", "last"}:
         raise ValueError(f"unknown state kinds: {sorted(unknown)}")
@@ -86,7 +94,7 @@ def chunk_states(
     types = dict(rows.dtypes)
     rows = rows.select(*flags, *[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"{k}s") for k in ks], *rows.columns)
     ident = [x for k in ks for x in (f"{k}n", f"{k}s")]
-    numbered = _numbered(rows, ident, [F.col("__o")], chunk_rows)
+    numbered, chunk_rows = _numbered(rows, ident, [F.col("__o")], chunk_rows)
     chunked = numbered.withColumn(_CHUNK, F.coalesce(F.floor(F.col(_RANK) / chunk_rows), F.lit(0)))
 
     def part(i: int, kind: str) -> Column:
@@ -116,4 +124,4 @@ def rank_in_key(df: DataFrame, key: str, order: Sequence[str], partitions: int |
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = durable(df.filter(F.col(key).isNotNull()).repartitionByRange(n, key, *order).sortWithinPartitions(key, *order))
-    return _numbered(placed, [key], [F.col(o) for o in order], 0).withColumnRenamed(_RANK, "rank")
+    return _numbered(placed, [key], [F.col(o) for o in order], 0)[0].withColumnRenamed(_RANK, "rank")
