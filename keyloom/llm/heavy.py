@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -104,7 +105,8 @@ def frequent(df: DataFrame, column: str, share: float, capacity: int | None = No
     spark = df.sparkSession
     kept = durable(summary(df, column, capacity))
     total = kept.agg(F.sum("total")).first()[0] or 0
-    least = math.ceil(share * total - 1e-9)
+    exact_share = Fraction(share).limit_denominator(10**6)
+    least = -(-total * exact_share.numerator // exact_share.denominator)
     # at most 1 / share counters can reach the threshold beyond their errors; the counters number capacity at most
     bounds = kept.filter(F.col("item").isNotNull() & (F.col("n") >= max(least, 1)))
     found = [r[0] for r in bounds.select("item").limit(capacity).collect()]
