@@ -46,3 +46,12 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_
     kept = durable(df)
     n, b = kept.select(F.count("*"), F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept.columns]))))).first()
     return F.broadcast(kept) if n <= rows and (b or 0) <= size else kept
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on at least as many partitions as the session has cores; more are left as they are.
+
+    For work of many CPU seconds a row on tables of few file splits; large tables are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
