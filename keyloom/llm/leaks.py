@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.runtime import spread
+
 #: A passage is this long at least.
 WORDS, LETTERS = 12, 20
 #: Words or letters of a block.
@@ -158,7 +160,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, set_chars: int = SET_CHARS) ->
     usable = items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
     total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
     sets = -(-total // set_chars) or 1
-    texts = docs.filter(F.length("text") >= LETTERS).select("doc_id", "text")
+    texts = spread(docs.filter(F.length("text") >= LETTERS).select("doc_id", "text"))
     out = None
     for k in range(sets):
         part = usable.filter(F.pmod(F.xxhash64("item_id"), F.lit(sets)) == k) if sets > 1 else usable

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.runtime import durable
+from keyloom.runtime import durable, spread
 
 CAPACITY = 4096
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -174,7 +174,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             n = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "tokens"])
 
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "doc_id long, tokens long")
+    counted = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(count, "doc_id long, tokens long")
     return durable(counted.withColumn("rid", F.monotonically_increasing_id()))
 
 

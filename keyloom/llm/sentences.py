@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.runtime import durable
+from keyloom.runtime import durable, spread
 
 #: Longest text, in characters, that one step reads from start to end.
 CHUNK = 1 << 16
@@ -594,7 +594,7 @@ def sentences(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     have no sentences. Repeated doc_ids among texts longer than ``chunk`` are not told apart; among
     others each row counts. The result does not depend on ``chunk``.
     """
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.col("text") != ""))
+    texts = spread(docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.col("text") != "")))
     short = texts.filter(F.length("text") <= chunk).mapInArrow(_short, _OUT)
     parts = durable(texts.filter(F.length("text") > chunk).mapInArrow(lambda b: _cut(b, chunk), _CHUNKS).repartition("doc_id", "k"))
     fs = parts.mapInPandas(_functions, "doc_id long, k int, pre boolean, f binary")
