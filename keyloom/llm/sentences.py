@@ -81,6 +81,8 @@ _NAME = re.compile(r"\\[a-zA-Z@]+|\{\\[a-zA-Z@]+\}")
 _THAI_GAP = re.compile("(?<=[\u0e00-\u0e7f])[ \t]+(?=[\u0e00-\u0e7f])")
 _BEFORE = re.compile(r"(?:^|(?<=[\s~(\[{«“„‘’'`\"（「\\,;/–—-]))((?:[^\W\d_]|[\u0900-\u097f])(?:[^\W\d_]|[\u0900-\u097f]|[.-](?=\w))*|\d{1,2})$")
 _NEVER, _MAYBE = frozenset(NEVER), frozenset(MAYBE)
+#: In each state outside prose, the characters that can matter there.
+_JUMP = {**dict.fromkeys(("pre", "display", "float", "off", "iffalse", "bracket"), re.compile(r"[\\%]")), **dict.fromkeys(("aside", "heading"), re.compile(r"[\\%{}]")), **dict.fromkeys(("dollar", "paren"), re.compile(r"[\\%$\r\n]"))}
 _BEGIN = re.compile(r"^[^%\n]*?\\begin\{document\}", re.M)
 _KIND = {**dict.fromkeys(DISPLAYS, "display"), **dict.fromkeys(FLOATS, "float"), "comment": "off"}
 _DO = {**dict.fromkeys(HEADINGS, "heading"), **dict.fromkeys(ASIDES, "aside"), **dict.fromkeys(DEFINITIONS, "define"), **dict.fromkeys(LOOKS, "look"), **dict.fromkeys(STARTED, "break")}
@@ -108,6 +110,8 @@ class Sentence(NamedTuple):
     pend_at: int = 0
 
 
+#: What a chunk does to the sentence state: nothing; lead to one state; or a table of states.
+SAME, CONST, TABLE = "same", "const", "table"
 DEPTHS = 6
 #: All markup states; a chunk's function is a table over these.
 MARKUP = [Markup(m) for m in ("pre", "body", "stop", "display", "float", "off", "dollar", "paren", "bracket")] + [Markup(m, d) for m in ("iffalse", "aside", "heading") for d in range(1, DEPTHS + 1)] + [Markup(m) for m in ("wait-aside", "wait-heading")]
@@ -142,20 +146,30 @@ def _ends(pend: str, cls: str, word: str) -> bool:
     return pend == "F" and cls == "up"
 
 
-def run(text: str, start: int, stop: int, base: int, markup: Markup, s: Sentence, out: list[int] | None) -> tuple[Markup, Sentence, bool]:
+def run(text: str, start: int, stop: int, base: int, markup: Markup, s: Sentence, out: list[int] | None, seen: set | None = None, known: set | None = None) -> tuple[Markup, Sentence, str] | None:
     """Read text[start:stop]; positions are 1-based and ``base`` is what text[0] lacks to its place in the document.
 
-    Appends ends to ``out`` and tells the states behind, and whether a paragraph, list item or block ended,
-    behind which nothing depends on the sentence state at the start.
+    Appends ends to ``out`` and tells the states behind, and what they owe to the sentence state at the start:
+    ``CONST``, nothing, as a paragraph, list item or block ended; ``SAME``, all, as no prose was read;
+    ``TABLE``, something. Places of such ends, with the markup
+    state there, are put into ``seen``; at one that is in ``known`` the reading stops, with None, as what
+    follows is what followed there.
     """
     mode, depth = markup
     open_, pend, near, quote, headed, bracket, thai, last, pend_at = s
     emit = out.append if out is not None else (lambda _: None)
-    hard = False
+    owes = SAME
     skip = start
     match = TOKEN.match
     size = stop
     while skip < size:
+        if mode in _JUMP:
+            j = _JUMP[mode].search(text, skip, size)
+            if not j:
+                break
+            skip = j.start()
+        elif mode == "body" and owes == SAME:
+            owes = TABLE
         m = match(text, skip, size)
         if m is None:  # no token starts here only if the pattern lacks a character
             skip += 1
@@ -175,6 +189,7 @@ def run(text: str, start: int, stop: int, base: int, markup: Markup, s: Sentence
                 if kind == 3 or (kind == 1 and text[at:skip].isspace()):
                     continue
                 mode = "body"  # no argument came; the token is read as prose below
+                owes = owes if owes == CONST else TABLE
         if mode != "body":
             if kind == 5:
                 name = text[at + 1 : skip].rstrip("*")
@@ -191,10 +206,11 @@ def run(text: str, start: int, stop: int, base: int, markup: Markup, s: Sentence
                         depth -= 1
                         mode = mode if depth else "body"
                 elif (mode == "paren" and name == ")") or (mode == "bracket" and name == "]"):
-                    last = base + skip if mode == "paren" else last
+                    if mode == "paren":
+                        last, owes = base + skip, owes if owes == CONST else TABLE
                     mode = "body"
             elif kind == 6 and mode == "dollar":
-                mode, last = "body", base + skip
+                mode, last, owes = "body", base + skip, owes if owes == CONST else TABLE
             elif kind == 8 and mode in ("aside", "heading"):
                 depth = min(depth + (1 if text[at] == "{" else -1), DEPTHS)
                 mode = mode if depth else "body"
@@ -324,7 +340,11 @@ def run(text: str, start: int, stop: int, base: int, markup: Markup, s: Sentence
             elif open_:
                 emit(last)
             open_, pend, near, quote, headed, bracket, thai = False, "", False, "", False, 0, False
-            hard = True
+            owes = CONST
+            if seen is not None:
+                seen.add((skip, mode, depth))
+            elif known is not None and (skip, mode, depth) in known:
+                return None
             continue
         if kind == 4:
             marks = m.group()
@@ -423,7 +443,7 @@ def run(text: str, start: int, stop: int, base: int, markup: Markup, s: Sentence
         thai = "\u0e00" <= c <= "\u0e7f"
         if kind == 1 and end < skip and thai and "~" not in text[end:skip]:
             pend, pend_at = "T", last
-    return Markup(mode, depth), Sentence(open_, pend, near, quote, headed, bracket, thai, last, pend_at), hard
+    return Markup(mode, depth), Sentence(open_, pend, near, quote, headed, bracket, thai, last, pend_at), owes
 
 
 def _unit(text: str, at: int) -> bool:
@@ -467,10 +487,6 @@ def cuts(text: str, chunk: int = CHUNK) -> list[int]:
     return [*places, len(text)]
 
 
-#: What a chunk does to the sentence state: nothing; lead to one state; or a table of states.
-SAME, CONST, TABLE = "same", "const", "table"
-
-
 def _carried(end: Sentence, start: Sentence) -> Sentence:
     """``end`` with registers that still mean the chunk's start filled from ``start``."""
     fill = lambda r: start.last if r == -1 else start.pend_at if r == -2 else r
@@ -480,15 +496,15 @@ def _carried(end: Sentence, start: Sentence) -> Sentence:
 def chunk_function(text: str, stop: int, base: int) -> dict[Markup, tuple[Markup, str, object]]:
     """For each markup state at the chunk's start: the one behind, and what becomes of the sentence state."""
     f: dict[Markup, tuple[Markup, str, object]] = {}
-    blank, probe = Sentence(last=-1, pend_at=-2), Sentence(True, "A", True, "g", True, 1, True, -1, -2)
+    places: set = set()
+    body = run(text, 0, stop, base, Markup(), Sentence(last=-1, pend_at=-2), None, seen=places)
     for m in MARKUP:
-        end, s, hard = run(text, 0, stop, base, m, blank, None)
-        if hard:
-            f[m] = (end, CONST, s)
-        elif s == blank and run(text, 0, stop, base, m, probe, None)[1] == probe:
-            f[m] = (end, SAME, None)
-        else:
+        # most starts soon meet the run from plain prose, and end where it ends
+        end, s, owes = run(text, 0, stop, base, m, Sentence(last=-1, pend_at=-2), None, known=places) or (*body[:2], CONST)
+        if owes == TABLE:
             f[m] = (end, TABLE, {q: run(text, 0, stop, base, m, q, None)[1] for q in sentence_states()})
+        else:
+            f[m] = (end, owes, s if owes == CONST else None)
     return f
 
 
