@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from keyloom.runtime import small_side
 
-#: Time slices of each scope; a key holding a third of all rows is spread over as many tasks.
-SLICES = 96
+#: There is a time slice of each scope for this many rows of the feed, so that a hot key spreads over as many tasks.
+SLICE_ROWS = 1_000_000
 _KINDS = {"SET": "W", "MSET": "W", "DEL": "D", "MDEL": "D", "MUPD": "U"}
 
 
@@ -39,9 +39,9 @@ def merged_changes(feed: DataFrame, scope: str = "nodeId") -> DataFrame:
 
 
 def scopes(feed: DataFrame, scope: str = "nodeId") -> DataFrame:
-    """For each scope: the highest time of any of its rows, the lowest, and (ts, seq) of its last FLUSH."""
+    """For each scope: the highest time of any of its rows, the lowest, their number, and (ts, seq) of its last FLUSH."""
     rows = feed.filter(F.col(scope).isNotNull() & F.col("ts").isNotNull()).select(F.col(scope).alias("scope"), "ts", "seq", "op")
-    span = rows.groupBy("scope").agg(F.max("ts").alias("now"), F.min("ts").alias("start"))
+    span = rows.groupBy("scope").agg(F.max("ts").alias("now"), F.min("ts").alias("start"), F.count("*").alias("rows"))
     flush = rows.filter((F.col("op") == "FLUSH") & F.col("seq").isNotNull()).groupBy("scope", "seq").agg(F.min("ts").alias("ts")).groupBy("scope").agg(F.max(F.struct("ts", "seq")).alias("flush"))
     return span.join(flush, "scope", "left")
 
@@ -64,7 +64,7 @@ def replay(ops: DataFrame, by: list[str], order: list[str], carry: list[str]) ->
     return out.select(*by, kind.alias("kind"), F.col("head.at").alias("at"), "x.exp", *[f"x.{c}" for c in carry])
 
 
-def current_entries(feed: DataFrame, scope: str = "nodeId", slices: int = SLICES) -> DataFrame:
+def current_entries(feed: DataFrame, scope: str = "nodeId", slices: int | None = None) -> DataFrame:
     """The entries (scope, key, seq, expireAt) that exist in each scope at the scope's highest ``ts``.
 
     ``feed``: line_id, seq, ts, op, key, items, keys, expireAt and the scope column; others are not read.
@@ -75,6 +75,7 @@ def current_entries(feed: DataFrame, scope: str = "nodeId", slices: int = SLICES
     the last one matter.
     """
     spans = small_side(scopes(feed, scope))
+    slices = slices or (spans.agg(F.sum("rows")).first()[0] or 0) // SLICE_ROWS + 1
     changes = merged_changes(feed, scope).filter(F.col("op").isin(*_KINDS)).join(spans, "scope")
     later = changes.filter(F.col("flush").isNull() | (F.struct("ts", "seq") > F.col("flush")))
     low = F.coalesce("flush.ts", "start")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.operators.changes import replay
-from keyloom.operators.fold import SLICES, explode_ops, fold
+from keyloom.operators.fold import bounds, explode_ops, fold, slice_of
 from keyloom.operators.lookup import newest
 
 #: Runs that make a merge due, and most runs of one merge.
@@ -37,15 +37,14 @@ def compact_segment(log: DataFrame) -> DataFrame:
     Deletions and conditional updates stay, as they act on what came before the stretch:
     fold(a + compact_segment(b) + c) = fold(a + b + c), but for created_at of updated entries.
     """
-    b = log.agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.max(F.when(F.col("op") == "FLUSH", F.struct("seq", "ts"))).alias("flush")).first()
-    rest = log if b.flush is None else log.filter(F.col("seq") > b.flush.seq)
-    width = max(1, ((b.high or 0) - (b.low or 0)) // SLICES + 1)
-    ops = explode_ops(rest).filter("kind <> 'R'").withColumn("slice", F.floor((F.col("seq") - F.lit(b.low or 0)) / width)).withColumn("at", F.col("ts"))
+    b = bounds(log)
+    rest = log if b.flush is None else log.filter(F.col("seq") > b.flush)
+    ops = explode_ops(rest).filter("kind <> 'R'").withColumn("slice", slice_of(b, None)).withColumn("at", F.col("ts"))
     part = replay(ops, ["key", "slice"], ["seq", "pos"], ["value", "ts", "seq"])
     ends = replay(part.withColumnRenamed("seq", "last"), ["key"], ["slice"], ["value", "ts", "last"])
     op = F.when(F.col("kind") == "W", "SET").when(F.col("kind") == "D", "DEL").otherwise("MUPD")
     kept = _as_log(ends.select(F.col("last").alias("seq"), F.when(F.col("kind") == "U", F.col("at")).otherwise(F.col("ts")).alias("ts"), op.alias("op"), "key", "value", "exp"))
-    return kept if b.flush is None else kept.unionByName(log.filter(F.col("seq") == b.flush.seq).select(*_LOG))
+    return kept if b.flush is None else kept.unionByName(log.filter(F.col("seq") == b.flush).select(*_LOG))
 
 
 def write_run(state: DataFrame, path: str, files: int | None = None) -> None:

@@ -6,7 +6,7 @@ items and keys. An expired entry does not exist for any operation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,8 +14,8 @@ from keyloom.functions.exprs import live, value_type
 from keyloom.operators.changes import replay
 from keyloom.runtime import small_side
 
-#: A hot key's operations are spread over this many slices of the log.
-SLICES = 64
+#: A log is cut into slices of about this many operations; a key's run in a slice is no longer, so hot keys spread over tasks.
+SLICE_OPS = 500_000
 #: Buckets of the log that know the truncations before them.
 BUCKETS = 1024
 STATE = "key string, value string, value_type string, expire_at bigint, created_at bigint"
@@ -34,77 +34,83 @@ def explode_ops(log: DataFrame) -> DataFrame:
     return rows.select("seq", "pos", "ts", "op", "kind", "kv.key", "kv.value", "exp").filter("key is not null")
 
 
-def _bounds(log: DataFrame):
-    return log.agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.max(F.when(F.col("op") == "FLUSH", F.col("seq"))).alias("flush")).first()
+def bounds(log: DataFrame):
+    """n, low and high seq, and seq of the last FLUSH of a log."""
+    return log.agg(F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.max(F.when(F.col("op") == "FLUSH", F.col("seq"))).alias("flush")).first()
 
 
-def fold(log: DataFrame, now: int, slices: int = SLICES) -> DataFrame:
+def slice_of(b, slices: int | None) -> Column:
+    """The slice of a row by its seq, for a log of bounds ``b``."""
+    slices = slices or b.n // SLICE_OPS + 1
+    low, high = b.low or 0, b.high or 0
+    return F.floor((F.col("seq") - F.lit(low)) / max(1, (high - low) // slices + 1))
+
+
+def fold(log: DataFrame, now: int, slices: int | None = None) -> DataFrame:
     """The state at ``now``, which is not before any ts: key, value, value_type, expire_at, created_at.
 
     An empty log gives no rows; extra columns of the log are not read. The type is inferred from the value.
     """
-    b = _bounds(log)
-    low = b.low if b.flush is None else b.flush
+    b = bounds(log)
     ops = explode_ops(log if b.flush is None else log.filter(F.col("seq") > b.flush)).filter("kind <> 'R'")
-    width = max(1, ((b.high or 0) - (low or 0)) // slices + 1)
-    sliced = ops.withColumn("slice", F.floor((F.col("seq") - F.lit(low or 0)) / width)).withColumn("at", F.col("ts"))
+    sliced = ops.withColumn("slice", slice_of(b, slices)).withColumn("at", F.col("ts"))
     part = replay(sliced, ["key", "slice"], ["seq", "pos"], ["value", "ts"])
     ends = replay(part, ["key"], ["slice"], ["value", "ts"]).filter("kind = 'W'")
     return ends.filter(live("exp", now)).select("key", "value", value_type("value").alias("value_type"), F.col("exp").alias("expire_at"), F.col("ts").alias("created_at"))
 
 
-def with_epoch(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """``rows`` with epoch, the number of FLUSHes before their seq, by buckets of the log."""
-    b = _bounds(log)
-    width = max(1, ((b.high or 0) - (b.low or 0)) // BUCKETS + 1)
-    bucket = F.floor((F.col("seq") - F.lit(b.low or 0)) / width)
+def with_epoch(rows: DataFrame, log: DataFrame, b) -> DataFrame:
+    """``rows`` with epoch, the number of FLUSHes before their seq, by buckets of the log (of bounds ``b``)."""
+    if b.flush is None:
+        return rows.withColumn("epoch", F.lit(0).cast("bigint"))
+    low = b.low or 0
+    bucket = F.floor((F.col("seq") - F.lit(low)) / max(1, ((b.high or 0) - low) // BUCKETS + 1))
     flushes = log.filter("op = 'FLUSH'").groupBy(bucket.alias("bucket")).agg(F.sort_array(F.collect_list("seq")).alias("at"))
-    spark = rows.sparkSession
-    every = spark.range(BUCKETS + 1).select(F.col("id").alias("bucket")).join(flushes, "bucket", "left")
+    every = rows.sparkSession.range(BUCKETS + 1).select(F.col("id").alias("bucket")).join(flushes, "bucket", "left")
     # BUCKETS rows in all
-    before = F.coalesce(F.sum(F.size(F.coalesce("at", F.array().cast("array<bigint>")))).over(W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    known = small_side(every.select("bucket", "at", before.alias("before")))
-    inside = F.coalesce(F.size(F.filter("at", lambda f: f < F.col("seq"))), F.lit(0))
-    return rows.withColumn("bucket", bucket).join(known, "bucket").withColumn("epoch", F.col("before") + F.greatest(inside, F.lit(0))).drop("bucket", "at", "before")
+    before = F.coalesce(F.sum(F.coalesce(F.size("at"), F.lit(0))).over(W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    known = small_side(every.withColumn("at", F.coalesce("at", F.array().cast("array<bigint>"))).select("bucket", "at", before.alias("before")))
+    inside = F.size(F.filter("at", lambda f: f < F.col("seq")))
+    return rows.withColumn("bucket", bucket).join(known, "bucket").withColumn("epoch", F.col("before") + inside).drop("bucket", "at", "before")
+
+
+def _running(ops: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """``ops`` with prev (kind, exp, value): the last operation of the group that took effect before the row.
+
+    kind R (a read) takes no effect; what a group opens with is known to it, so an update at its start finds nothing.
+    """
+    w = W.partitionBy(*by).orderBy(*order)
+    seg = ops.withColumn("seg", F.sum(F.when(F.col("kind").isin("W", "D"), 1).otherwise(0)).over(w))
+    mark = F.when(F.col("kind") == "D", F.lit(1)).when(F.col("kind") != "R", F.coalesce("exp", F.lit(0)))
+    in_seg = W.partitionBy(*by, "seg").orderBy(*order)
+    left = F.last(mark, ignorenulls=True).over(in_seg.rowsBetween(W.unboundedPreceding, -1))
+    ok = F.when(F.col("kind") == "U", (left <= 0) | (F.col("at") < left))
+    chained = seg.withColumn("ok", ok).withColumn("ok", F.min("ok").over(in_seg))
+    took = F.col("kind").isin("W", "D") | ((F.col("kind") == "U") & (F.col("seg") > 0) & F.coalesce("ok", F.lit(False)))
+    prev = F.last(F.when(took, F.struct("kind", "exp", "value")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    return chained.withColumn("prev", prev).drop("seg", "ok")
 
 
-def replies(log: DataFrame, slices: int = SLICES) -> DataFrame:
+def replies(log: DataFrame, slices: int | None = None) -> DataFrame:
     """What each touched key looked like before its operation: seq, pos, ts, op, kind, key, value, exp, existed, old_value.
 
     ``existed``: the key was there; ``old_value``: its value then, null if it was not. For DEL, MDEL and
     MUPD ``existed`` is also whether the operation took effect; for reads it is the answer. Slices of a
     key are given the state that the slices before them leave, so a hot key is spread over tasks.
     """
-    b = _bounds(log)
-    width = max(1, ((b.high or 0) - (b.low or 0)) // slices + 1)
-    ops = with_epoch(explode_ops(log), log).withColumn("slice", F.floor((F.col("seq") - F.lit(b.low or 0)) / width)).withColumn("at", F.col("ts"))
-    part = replay(ops.filter("kind <> 'R'"), ["key", "epoch", "slice"], ["seq", "pos"], ["value"])
-    # at most ``slices`` rows of a key and epoch; each is replaced by what comes before it
-    earlier = W.partitionBy("key", "epoch").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    steps = F.collect_list(F.struct("kind", "at", "exp", "value")).over(earlier)
-    touched = ops.select("key", "epoch", "slice").distinct().join(part, ["key", "epoch", "slice"], "left")
-    start = F.expr(
-        "aggregate(steps, named_struct('live', false, 'exp', 0L, 'value', cast(null as string)), (s, x) -> "
-        "case when x.kind = 'W' then named_struct('live', true, 'exp', x.exp, 'value', x.value) "
-        "when x.kind = 'D' then named_struct('live', false, 'exp', 0L, 'value', cast(null as string)) "
-        "when s.live and (s.exp <= 0 or x.at < s.exp) then named_struct('live', true, 'exp', x.exp, 'value', x.value) "
-        "else named_struct('live', false, 'exp', 0L, 'value', cast(null as string)) end)"
-    )
-    starts = touched.withColumn("steps", F.filter(steps, lambda x: x.kind.isNotNull())).withColumn("s", start)
-    head = starts.select(F.lit(None).cast("bigint").alias("seq"), F.lit(-1).alias("pos"), F.lit(None).cast("bigint").alias("ts"), F.lit(None).cast("string").alias("op"), F.when(F.col("s.live"), "W").otherwise("D").alias("kind"), "key", F.col("s.value").alias("value"), F.col("s.exp").alias("exp"), "epoch", "slice", F.lit(None).cast("bigint").alias("at"))
-    both = ops.select(*head.columns).union(head)
+    b = bounds(log)
+    slices = slices or b.n // SLICE_OPS + 1
+    ops = with_epoch(explode_ops(log), log, b).withColumn("slice", slice_of(b, slices)).withColumn("at", F.col("ts"))
     by, order = ["key", "epoch", "slice"], [F.col("seq").asc_nulls_first(), F.col("pos")]
-    w = W.partitionBy(*by).orderBy(*order)
-    seg = both.withColumn("seg", F.sum(F.when(F.col("kind").isin("W", "D"), 1).otherwise(0)).over(w))
-    before = W.partitionBy(*by, "seg").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    mark = F.when(F.col("kind") == "D", F.lit(1)).when(F.col("kind") != "R", F.coalesce("exp", F.lit(0)))
-    left = F.last(mark, ignorenulls=True).over(before)
-    ok = F.when(F.col("kind") == "U", (left <= 0) | (F.col("ts") < left))
-    chained = seg.withColumn("ok", ok).withColumn("ok", F.min("ok").over(W.partitionBy(*by, "seg").orderBy(*order)))
-    took = F.col("kind").isin("W", "D") | ((F.col("kind") == "U") & F.coalesce("ok", F.lit(False)))
-    prev = F.last(F.when(took, F.struct("kind", "exp", "value")), ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    seen = chained.withColumn("prev", prev).filter("pos >= 0")
-    existed = (F.col("prev.kind") != "D") & ((F.coalesce("prev.exp", F.lit(0)) <= 0) | (F.col("ts") < F.col("prev.exp")))
+    if slices > 1:
+        part = replay(ops.filter("kind <> 'R'"), by, ["seq", "pos"], ["value"])
+        touched = ops.select(*by).distinct().join(part, by, "left").withColumn("kind", F.coalesce("kind", F.lit("R")))
+        start = _running(touched, ["key", "epoch"], [F.col("slice")]).filter("prev is not null")
+        null = lambda t: F.lit(None).cast(t)
+        head = start.select(null("bigint").alias("seq"), F.lit(-1).alias("pos"), null("bigint").alias("ts"), null("string").alias("op"), F.when(F.col("prev.kind") == "D", "D").otherwise("W").alias("kind"), "key", F.col("prev.value").alias("value"), F.col("prev.exp").alias("exp"), "epoch", "slice", null("bigint").alias("at"))
+        ops = ops.select(*head.columns).union(head)
+    seen = _running(ops, by, order).filter("pos >= 0")
+    existed = F.coalesce((F.col("prev.kind") != "D") & ((F.coalesce("prev.exp", F.lit(0)) <= 0) | (F.col("ts") < F.col("prev.exp"))), F.lit(False))
     return seen.withColumn("existed", existed).select("seq", "pos", "ts", "op", "kind", "key", "value", "exp", "existed", F.when(F.col("existed"), F.col("prev.value")).alias("old_value"))
 
 

@@ -19,8 +19,8 @@ from keyloom.runtime import durable
 
 #: Most KEYS and COLLECTION commands of one script; each costs a fold.
 SCANS = 100
-#: Slices of a session's lines, so that a long session is spread over tasks.
-SLICES = 64
+#: A script is cut into slices of about this many lines, so that a long session is spread over tasks.
+SLICE_LINES = 500_000
 KEY_VERBS = ["SET", "GET", "DEL", "EXISTS", "TYPE", "MSET", "MGET", "MDEL", "MUPD", "FLUSH"]
 WRITES = ["SET", "DEL", "MSET", "MDEL", "MUPD", "FLUSH", "RENAME"]
 VERBS = [*KEY_VERBS, "KEYS", "COLLECTION", "PING", "QUIT", "USE", "CLUSTER"]
@@ -29,8 +29,8 @@ _NOT_INT = "value is not an integer or out of range"
 
 def last_before(df: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
     """``df`` with the last non-null value of its key on earlier rows; hot keys are cut into slices."""
-    b = df.agg(F.min(order).alias("a"), F.max(order).alias("z")).first()
-    width = max(1, ((b.z or 0) - (b.a or 0)) // SLICES + 1)
+    b = df.agg(F.min(order).alias("a"), F.max(order).alias("z"), F.count("*").alias("n")).first()
+    width = max(1, ((b.z or 0) - (b.a or 0)) // (b.n // SLICE_LINES + 1) + 1)
     sliced = df.withColumn("__v", value).withColumn("__s", F.floor((F.col(order) - F.lit(b.a or 0)) / width))
     ends = sliced.groupBy(key, "__s").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(order))).alias("__e"))
     carried = ends.select(key, "__s", F.last("__e", ignorenulls=True).over(W.partitionBy(key).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)).alias("__c"))

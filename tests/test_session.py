@@ -53,7 +53,8 @@ def test_too_many_scans(spark, monkeypatch):
         replies(spark, ["KEYS"] * 3)
 
 
-def test_last_before_is_carried_over_slices(spark):
+def test_last_before_is_carried_over_slices(spark, monkeypatch):
+    monkeypatch.setattr("keyloom.plans.session.SLICE_LINES", 7)
     df = spark.createDataFrame([("k", i, "v" + str(i) if i in (3, 170) else None) for i in range(300)], "k string, i bigint, v string")
     got = {r.i: r.x for r in last_before(df, "k", "i", F.col("v"), "x").collect()}
     assert got[3] is None and got[4] == got[170] == "v3" and got[171] == got[299] == "v170"
