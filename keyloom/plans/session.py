@@ -43,7 +43,8 @@ def requests(script: DataFrame) -> DataFrame:
 
     Lines behind a session's QUIT are gone.
     """
-    p = script.select("session", "seq", "ts", parse(F.col("line")).alias("p")).select("session", "seq", "ts", "p.*")
+    # parsed once; what follows reads the result several times
+    p = durable(script.select("session", "seq", "ts", parse(F.col("line")).alias("p"))).select("session", "seq", "ts", "p.*")
     quits = p.filter("verb = 'QUIT'").groupBy("session").agg(F.min("seq").alias("quit"))
     open_ = p.join(quits, "session", "left").filter("quit is null or seq <= quit").drop("quit")
     name = F.coalesce(F.get("args", F.lit(0)), F.lit(""))
