@@ -29,22 +29,40 @@ _SEP = "\u001f"
 
 
 def json_lines(lines: DataFrame) -> DataFrame:
-    """file_id, line_no and ``fields``, the line's object as a map of VARIANT; lines that hold no object are unreadable and left out."""
+    """file_id, line_no, ``fields``, the line's object as a map of VARIANT, and whether it may hold objects in it (``deep``).
+
+    Lines that hold no object are unreadable and left out.
+    """
     fields = F.expr("try_variant_get(try_parse_json(line), '$', 'map<string,variant>')")
-    return lines.select("file_id", "line_no", fields.alias("fields")).filter("fields is not null")
+    # generated, so that a filter on the result is not computed by parsing once more
+    parsed = lines.select("file_id", "line_no", F.col("line").rlike(r":\s*\{").alias("deep"), F.explode_outer(F.array(fields)).alias("fields"))
+    return parsed.filter("fields is not null")
 
 
 def leaves(parsed: DataFrame) -> DataFrame:
-    """file_id, line_no, op, ts and one row for each leaf outside the steady fields: path, type (string, number, array, null, other), leaf."""
+    """file_id, line_no, op, ts and one row for each leaf outside the steady fields: path, type (string, number, array, null, other), leaf.
+
+    A line without such leaves has one row without path; ``first`` marks one row of each line.
+    """
     steady = ", ".join(f"'{x}'" for x in STEADY)
     rest = F.expr(f"map_filter(fields, (k, v) -> k not in ({steady}))")
-    at = parsed.select("file_id", "line_no", F.expr("try_variant_get(fields['op'], '$', 'string')").alias("op"), F.expr("try_variant_get(fields['ts'], '$', 'bigint')").alias("ts"), F.explode(rest).alias("path", "leaf"))
+    head = [F.expr("try_variant_get(fields['op'], '$', 'string')").alias("op"), F.expr("try_variant_get(fields['ts'], '$', 'bigint')").alias("ts")]
+    at = parsed.select("file_id", "line_no", "deep", *head, F.posexplode_outer(rest).alias("i", "path", "leaf")).withColumn("first", F.coalesce(F.col("i") == 0, F.lit(True)))
     for _ in range(DEPTH - 1):
-        inner = F.expr("try_variant_get(leaf, '$', 'map<string,variant>')")
-        at = at.select("*", F.explode_outer(inner).alias("k", "v")).select("file_id", "line_no", "op", "ts", F.concat_ws(_SEP, "path", "k").alias("path"), F.when(F.col("k").isNull(), F.col("leaf")).otherwise(F.col("v")).alias("leaf"))
+        inner = F.expr("case when deep then try_variant_get(leaf, '$', 'map<string,variant>') end")
+        at = at.select("*", F.posexplode_outer(inner).alias("j", "k", "v")).select(
+            "file_id", "line_no", "deep", "op", "ts", F.when(F.col("k").isNull(), F.col("path")).otherwise(F.concat_ws(_SEP, "path", "k")).alias("path"), F.when(F.col("k").isNull(), F.col("leaf")).otherwise(F.col("v")).alias("leaf"), (F.col("first") & F.coalesce(F.col("j") == 0, F.lit(True))).alias("first")
+        )
     kind = F.expr("coalesce(schema_of_variant(leaf), 'VOID')")
     typ = F.when(kind == "STRING", "string").when(kind == "VOID", "null").when(kind.startswith("ARRAY"), "array").when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), "number").otherwise("other")
-    return at.withColumn("type", typ)
+    return at.select("file_id", "line_no", "op", "ts", "path", "first", "leaf", typ.alias("type"))
+
+
+def evidence(found: DataFrame) -> DataFrame:
+    """The leaves without their JSON: file_id, op, path, type, first, and whether the value fits valueType (vt) and expireAt (ex)."""
+    e = as_expiry()
+    fits = F.coalesce((e == 0) | (e > F.col("ts")), F.lit(False))
+    return found.select("file_id", "op", "path", "type", "first", as_value_type().isNotNull().alias("vt"), fits.alias("ex"))
 
 
 def _text() -> Column:
@@ -67,20 +85,19 @@ def as_expiry() -> Column:
     return F.coalesce(digits, iso)
 
 
-def approved_paths(found: DataFrame) -> DataFrame:
-    """path -> field (valueType or expireAt) from all leaves of all files.
+def approved_paths(shown: DataFrame) -> DataFrame:
+    """path -> field (valueType or expireAt) from the evidence of all files.
 
     Both fields describe a write: a path that also occurs on removals is neither. valueType: the values
     name or number a value type. expireAt: they are 0 or moments after the line's own ``ts``; it also
     occurs on bulk writes, which tells it from valueType where only zeros are seen.
     """
-    vt, ex = as_value_type().isNotNull(), as_expiry()
-    some = F.col("type") != "null"
     n = lambda c: F.count(F.when(c, True))
-    stats = found.groupBy("path").agg(
+    some = F.col("type") != "null"
+    stats = shown.filter("path is not null").groupBy("path").agg(
         n(some).alias("some"),
-        n(some & vt).alias("vt"),
-        n(some & ((ex == 0) | (ex > F.col("ts")))).alias("ex"),
+        n(some & F.col("vt")).alias("vt"),
+        n(some & F.col("ex")).alias("ex"),
         n(F.col("op").isin("DEL", "MDEL", "FLUSH")).alias("off"),
         n(F.col("op").isin("MSET", "MUPD")).alias("bulk"),
         F.count("*").alias("all"),
@@ -91,12 +108,11 @@ def approved_paths(found: DataFrame) -> DataFrame:
     return written.select("path", field.alias("field")).filter("field is not null")
 
 
-def file_fields(parsed: DataFrame, found: DataFrame, paths: DataFrame) -> DataFrame:
+def file_fields(shown: DataFrame, paths: DataFrame) -> DataFrame:
     """What each file with readable SET lines has: file_id, field, path and type; null where most of those lines show none."""
-    sets = F.expr("try_variant_get(fields['op'], '$', 'string')") == "SET"
-    lines = parsed.filter(sets).groupBy("file_id").agg(F.count("*").alias("lines"))
-    shown = found.filter("op = 'SET'").join(paths, "path")
-    by_type = shown.groupBy("file_id", "field", "path", "type").agg(F.count("*").alias("n"))
+    sets = shown.filter("op = 'SET'")
+    lines = sets.filter("first").groupBy("file_id").agg(F.count("*").alias("lines"))
+    by_type = sets.join(paths, "path").groupBy("file_id", "field", "path", "type").agg(F.count("*").alias("n"))
     typed = F.max(F.when(F.col("type") != "null", F.struct("n", "type"))).getField("type")
     by_path = by_type.groupBy("file_id", "field", "path").agg(F.sum("n").alias("n"), typed.alias("type"))
     top = by_path.groupBy("file_id", "field").agg(F.sum("n").alias("with"), F.max(F.struct("n", "path", "type")).alias("x"))
@@ -120,10 +136,9 @@ def schema_changes(lines: DataFrame, files: DataFrame) -> DataFrame:
     passed over; files without a node, and lines of unknown files, are left out; a field seen only
     as null keeps its name but has no type, so it is never retyped. Empty tables give no rows.
     """
-    parsed = json_lines(lines)
-    found = durable(leaves(parsed))
-    paths = small_side(approved_paths(found))
-    has = file_fields(parsed, found, paths)
+    shown = durable(evidence(leaves(json_lines(lines))))
+    paths = small_side(approved_paths(shown))
+    has = file_fields(shown, paths)
     wide = has.groupBy("file_id").agg(*[F.max(F.when(F.col("field") == f, F.struct("path", "type"))).alias(f) for f in ("valueType", "expireAt")])
     placed = wide.join(files.select("file_id", "nodeId", file_order().alias("o")), "file_id")
     ranked = durable(rank_in_key(placed, "nodeId", ["o"]).select("nodeId", "rank", "file_id", "valueType", "expireAt"))
@@ -149,8 +164,8 @@ def ingest(lines: DataFrame) -> DataFrame:
     """
     parsed = json_lines(lines)
     found = leaves(parsed)
-    paths = small_side(approved_paths(durable(found)))
-    tagged = found.join(paths, "path", "left")
+    paths = small_side(approved_paths(durable(evidence(found))))
+    tagged = found.filter("path is not null").join(paths, "path", "left")
     vt, ex = F.when(F.col("field") == "valueType", as_value_type()), F.when(F.col("field") == "expireAt", as_expiry())
     left = F.col("field").isNull() | ((F.col("type") != "null") & vt.isNull() & ex.isNull())
     told = tagged.groupBy("file_id", "line_no").agg(
