@@ -18,6 +18,8 @@ from keyloom.sources.derived import bulk_log, customer_state, end_of, event_log,
 from keyloom.sources.oplog import append_log, cluster_links, decode, read_log
 from keyloom.streaming.replica import current, follow
 
+#: Most globs that are matched against all keys in one pass.
+PATTERNS = 1000
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -209,7 +211,9 @@ def keys_literal(spark, sf_dir):
 def keys_pattern_column(spark, sf_dir):
     """Keys by globs that are data: a handful of patterns, sent to every task, against all keys."""
     patterns = table(spark, sf_dir, "region").select(F.col("r_name").alias("region"), F.concat(F.substring("r_name", 1, 1), F.lit("*:*"), "r_regionkey").alias("glob"))
-    some = [(r.region, r.glob) for r in patterns.limit(1000).collect()]  # region is a fixed table
+    some = [(r.region, r.glob) for r in patterns.limit(PATTERNS + 1).collect()]
+    if len(some) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} patterns at once")
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("region"), F.lit(g).alias("glob")) for n, g in some]))
     state = customer_state(spark, sf_dir).select("key", each.alias("p"))
     return state.filter(exprs.glob_match("key", F.col("p.glob"))).select("p.region", "key")

@@ -134,7 +134,7 @@ def execute(script: DataFrame, read_only: str | None = None, base: DataFrame | N
     told = []
     for r in scans:
         state = fold(log.filter((F.col("seq") < r.seq) & F.col("op").isin("SET", "DEL", "MSET", "MDEL", "MUPD", "FLUSH")), int(r.ts))
-        row = lambda kind, n=F.lit(0), s=F.lit(None), lines=F.lit(None), r=r: [F.lit(int(r.seq)).alias("seq"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), n.cast("int").alias("n"), s.cast("string").alias("s"), lines.cast("array<string>").alias("lines")]
+        row = lambda kind, n=F.lit(0), s=F.lit(None), lines=F.lit(None), r=r: [F.lit(int(r.seq)).alias("seq"), F.lit(kind).alias("kind"), n.cast("int").alias("n"), s.cast("string").alias("s"), lines.cast("array<string>").alias("lines")]
         sub = r.args[0].upper() if r.verb == "COLLECTION" else "KEYS"
         if sub == "KEYS":
             found = state.filter(glob_match("key", (r.args[0] if r.args else "") or "*"))
@@ -146,9 +146,11 @@ def execute(script: DataFrame, read_only: str | None = None, base: DataFrame | N
         name = r.args[1]
         if sub == "CREATE":
             wanted = spark.createDataFrame([(name,)], "name string")
-            error = C.create_errors(state, wanted)
-            meta = C.create(state, wanted).crossJoin(error).filter("error is null").select("key", "value")  # one row each
-            told.append(error.select(*row(F.when(F.col("error").isNull(), "OK").otherwise("ERROR"), s=F.col("error"))))
+            error = C.create_errors(state, wanted).first().error
+            told.append(spark.range(1).select(*row("OK" if error is None else "ERROR", s=F.lit(error))))
+            if error is not None:
+                continue
+            meta = C.create(state, wanted)
         else:
             told.append(C.dropped(state, name).select(*row("INTEGER", n=F.col("n"))))
             kept = C.declared(state).filter(F.col("name") != name).agg(F.array_sort(F.collect_list("name")).alias("l"))
