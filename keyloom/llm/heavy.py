@@ -107,9 +107,9 @@ def frequent(df: DataFrame, column: str, share: float, capacity: int | None = No
     total = kept.agg(F.sum("total")).first()[0] or 0
     exact_share = Fraction(share).limit_denominator(10**6)
     least = -(-total * exact_share.numerator // exact_share.denominator)
-    # at most 1 / share counters can reach the threshold beyond their errors; the counters number capacity at most
+    # the summary has ``capacity`` counters at most, so what is collected is bounded
     bounds = kept.filter(F.col("item").isNotNull() & (F.col("n") >= max(least, 1)))
-    found = [r[0] for r in bounds.select("item").limit(capacity).collect()]
+    found = [r[0] for r in bounds.select("item").collect()]
     if not found:
         return spark.createDataFrame([], "item string, n long, upper long, error long")
     value = F.col(f"`{column}`").cast("string")
