@@ -36,7 +36,7 @@ REGION, ISLANDS, EPOCHS = 400, 3, 2
 #: Solutions of an island and children born in an epoch.
 POPULATION, CHILDREN = 6, 12
 #: Bins filled less than this are opened and packed again; how often.
-REOPEN, ROUNDS = 0.985, 2
+REOPEN, ROUNDS = 0.995, 3
 
 Bin = tuple[int, tuple[int, ...]]  # fill, items
 
