@@ -56,4 +56,26 @@ SQL = {
         g AS (SELECT *, bool_and(kind <> 'U' OR p <= 0 OR ts < p) OVER (PARTITION BY nodeId, key, seg ORDER BY ts, seq) AS ok FROM l),
         z AS (SELECT *, row_number() OVER (PARTITION BY nodeId, key ORDER BY ts DESC, seq DESC) AS r FROM g WHERE ok)
         SELECT nodeId, key, seq FROM z JOIN n USING (nodeId) WHERE r = 1 AND kind <> 'D' AND (e IS NULL OR e <= 0 OR now < e)""",
+    "p5_found": r"""
+        WITH j AS (SELECT file_id, line_no, CAST(line AS JSON) AS j FROM log_lines WHERE json_valid(line) AND json_type(line) = 'OBJECT'),
+        t AS (SELECT file_id, line_no, j ->> 'op' AS op, TRY_CAST(j ->> 'ts' AS BIGINT) AS ts, u.fullkey AS path, u.type AS jt, u.atom AS a, u.value AS v
+              FROM j, json_tree(j.j) AS u WHERE u.type <> 'OBJECT' AND NOT contains(u.fullkey, '[') AND u.fullkey NOT IN ('$.op', '$.key', '$.value', '$.ts', '$.items', '$.keys')),
+        s AS (SELECT *, CASE WHEN jt = 'VARCHAR' THEN 'string' WHEN jt = 'ARRAY' THEN 'array' WHEN jt IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' WHEN jt = 'NULL' THEN 'null' ELSE 'other' END AS type, v ->> '$' AS txt FROM t),
+        e AS (SELECT *, coalesce(CASE type WHEN 'string' THEN upper(txt) IN ('STRING', 'LIST', 'MAP', 'SET') WHEN 'array' THEN json_array_length(v) = 1 AND upper(v ->> '$[0]') IN ('STRING', 'LIST', 'MAP', 'SET') WHEN 'number' THEN txt IN ('0', '1', '2', '3') END, FALSE) AS vt,
+                  CASE WHEN type = 'number' OR (type = 'string' AND regexp_full_match(txt, '\d{1,18}')) THEN TRY_CAST(txt AS BIGINT) WHEN type = 'string' AND regexp_matches(txt, '^\d{4}-\d\d-\d\d[T ]') THEN epoch_ms(TRY_CAST(txt AS TIMESTAMPTZ)) END AS x FROM s),
+        p AS (SELECT path, CASE WHEN is_ex AND (NOT is_vt OR bulk > 0) THEN 'expireAt' WHEN is_vt THEN 'valueType' END AS field FROM (
+              SELECT path, count(*) FILTER (type <> 'null') AS filled, count(*) FILTER (type <> 'null' AND vt) >= 0.9 * filled AS is_vt, count(*) FILTER (type <> 'null' AND (x = 0 OR x > ts)) >= 0.9 * filled AS is_ex,
+                     count(*) FILTER (op IN ('MSET', 'MUPD')) AS bulk, count(*) FILTER (op IN ('DEL', 'MDEL', 'FLUSH')) AS gone, count(*) AS n
+              FROM e GROUP BY path) WHERE filled > 0 AND gone <= 0.1 * n),
+        l AS (SELECT file_id, count(*) AS lines FROM j WHERE j ->> 'op' = 'SET' GROUP BY 1),
+        c AS (SELECT file_id, field, path, type, count(*) AS n FROM e JOIN p USING (path) WHERE op = 'SET' AND field IS NOT NULL GROUP BY ALL),
+        d AS (SELECT file_id, field, path, sum(n) AS n, max((n, type)) FILTER (type <> 'null') AS mt FROM c GROUP BY ALL),
+        g AS (SELECT file_id, field, sum(n) AS shown, max((n, path, mt[2])) AS x FROM d GROUP BY ALL),
+        h AS (SELECT l.file_id, f.field, CASE WHEN x[1] >= lines - shown THEN x[2] END AS path, CASE WHEN x[1] >= lines - shown THEN x[3] END AS type
+              FROM l CROSS JOIN (SELECT unnest(['valueType', 'expireAt']) AS field) f LEFT JOIN g ON g.file_id = l.file_id AND g.field = f.field),
+        o AS (SELECT h.*, lag(path) OVER w AS path0, lag(type) OVER w AS type0, row_number() OVER w AS r FROM h JOIN log_files USING (file_id) WHERE nodeId IS NOT NULL
+              WINDOW w AS (PARTITION BY nodeId, field ORDER BY starts_with(file_name, 'active.'), TRY_CAST(regexp_extract(file_name, '\d+') AS BIGINT), file_name, file_id))
+        SELECT file_id, field, change FROM (
+            SELECT file_id, field, unnest([CASE WHEN path IS NOT NULL AND path0 IS NULL THEN 'added' END, CASE WHEN path IS NULL AND path0 IS NOT NULL THEN 'removed' END, CASE WHEN path <> path0 THEN 'renamed' END,
+                CASE WHEN path IS NOT NULL AND path0 IS NOT NULL AND type <> type0 THEN 'retyped' END]) AS change FROM o WHERE r > 1) WHERE change IS NOT NULL""",
 }
