@@ -47,6 +47,12 @@ def _shared(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def _forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by ``_shared``, once nothing reads it any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 # ---- SQL of the derived logs and of the fold ---------------------------------------------------------
 
 _EVENTS = """ev AS (SELECT event_id AS seq, epoch_us(ts) // 1000 AS ts, CASE WHEN event_id % 4000 = 3999 THEN 'flush' ELSE event_type END AS kind, user_id, value, props FROM events)"""
@@ -376,7 +382,9 @@ def replay_log(spark, sf_dir):
     log = event_log(spark, sf_dir)
     append_log(log.withColumn("valueType", F.lit(None).cast("string")), path, gzip=True)
     back = read_log(spark, path)
-    return durable(fold(back, end_of(log)).select("key", "value", "expire_at"))
+    state = durable(fold(back, end_of(log)).select("key", "value", "expire_at"))
+    _forget(spark, path)
+    return state
 
 
 @query(f"WITH {_OPS}, {_STATE} SELECT key, value, expire_at AS \"expireAt\", created_at AS ts FROM st")
@@ -424,7 +432,9 @@ def stream_replica(spark, sf_dir):
     log = event_log(spark, sf_dir)
     log.withColumn("valueType", F.lit(None).cast("string")).repartitionByRange(4, "seq").write.json(f"{path}/log")
     follow(spark, f"{path}/log", f"{path}/state", f"{path}/checkpoint", once=True).awaitTermination()
-    return current(spark, f"{path}/state", 0, end_of(log)).select("key", "value", "expire_at")
+    state = durable(current(spark, f"{path}/state", 0, end_of(log)).select("key", "value", "expire_at"))
+    _forget(spark, path)
+    return state
 
 
 @query("SELECT nodeId, p.nodeId AS peer, p.host AS host, coalesce(p.port, 0) AS port, coalesce(p.clusterPort, 0) AS \"clusterPort\" FROM (SELECT nodeId, unnest(peers) AS p FROM nodes)")
