@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from keyloom.operators.compact import merge_runs, snapshot
 from keyloom.operators.fold import explode_ops, fold, op_counts, replies
 from keyloom.plans.session import batch_count, run_script
 from keyloom.runtime import durable, table, use_checkpoint_dir
-from keyloom.sources.derived import bulk_log, customer_state, end_of, event_log, user_probes
+from keyloom.sources.derived import EARLY, MANY, bulk_log, customer_state, end_of, event_log, user_probes
 from keyloom.sources.oplog import append_log, cluster_links, decode, read_log
 from keyloom.streaming.replica import current, follow
 
@@ -24,20 +25,23 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
+def query(sql: str | None = None, long: bool = False):
+    """Register a query under its function's name, and if ``long`` as NAME_long over the log with one early FLUSH."""
 
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
+        if long:
+            QUERIES[f"{f.__name__}_long"] = partial(f, flush=EARLY)
+            SQL[f"{f.__name__}_long"] = sql.replace(MANY, EARLY)
         return f
 
     return put
 
 
-def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = event_log(spark, sf_dir)
+def _state(spark: SparkSession, sf_dir: str, flush: str) -> DataFrame:
+    log = event_log(spark, sf_dir, flush=flush)
     return fold(log, end_of(log))
 
 
@@ -94,16 +98,16 @@ _QUOTE = """CASE WHEN {0} IS NULL OR regexp_matches({0}, '[\\n\\r]') THEN '(erro
 # ---- fold and replies --------------------------------------------------------------------------------
 
 
-@query(f"WITH {_OPS}, {_STATE} SELECT key, value, {_type_sql('value')} AS value_type, expire_at, created_at FROM st")
-def fold_state(spark, sf_dir):
+@query(f"WITH {_OPS}, {_STATE} SELECT key, value, {_type_sql('value')} AS value_type, expire_at, created_at FROM st", long=True)
+def fold_state(spark, sf_dir, flush=MANY):
     """The whole log folded to the current state."""
-    return _state(spark, sf_dir)
+    return _state(spark, sf_dir, flush)
 
 
-@query(f"WITH {_BULK}, {_STATE} SELECT key, value, expire_at FROM st")
-def fold_bulk(spark, sf_dir):
+@query(f"WITH {_BULK}, {_STATE} SELECT key, value, expire_at FROM st", long=True)
+def fold_bulk(spark, sf_dir, flush=MANY):
     """A log of bulk operations folded; of repeated keys in one operation the last pair wins."""
-    log = bulk_log(spark, sf_dir)
+    log = bulk_log(spark, sf_dir, flush)
     return fold(log, end_of(log)).select("key", "value", "expire_at")
 
 
@@ -172,27 +176,32 @@ def mset_dupes(spark, sf_dir):
 
 
 @query(f"WITH {_OPS}, {_STATE} SELECT value FROM st WHERE key = 'user:7'")
-def get_point(spark, sf_dir):
+def get_point(spark, sf_dir, flush=MANY, key="user:7"):
     """One key's value."""
-    return lookup.get(_state(spark, sf_dir), "user:7")
+    return lookup.get(_state(spark, sf_dir, flush), key)
+
+
+# user:7 ends deleted in the long log at sf0.1; user:1 lives at every size
+QUERIES["get_point_long"] = partial(get_point, flush=EARLY, key="user:1")
+SQL["get_point_long"] = SQL["get_point"].replace(MANY, EARLY).replace("'user:7'", "'user:1'")
 
 
-@query(f"WITH {_OPS}, {_STATE} SELECT c_custkey AS pos, 'user:' || c_custkey AS key, coalesce(value, '(nil)') AS value FROM customer LEFT JOIN st ON st.key = 'user:' || c_custkey")
-def mget(spark, sf_dir):
+@query(f"WITH {_OPS}, {_STATE} SELECT c_custkey AS pos, 'user:' || c_custkey AS key, coalesce(value, '(nil)') AS value FROM customer LEFT JOIN st ON st.key = 'user:' || c_custkey", long=True)
+def mget(spark, sf_dir, flush=MANY):
     """A value, or (nil), for every probe."""
-    return lookup.mget(_state(spark, sf_dir), user_probes(spark, sf_dir))
+    return lookup.mget(_state(spark, sf_dir, flush), user_probes(spark, sf_dir))
 
 
-@query(f"WITH {_OPS}, {_STATE} SELECT key FROM st WHERE key IN (SELECT 'user:' || c_custkey FROM customer)")
-def exists(spark, sf_dir):
+@query(f"WITH {_OPS}, {_STATE} SELECT key FROM st WHERE key IN (SELECT 'user:' || c_custkey FROM customer)", long=True)
+def exists(spark, sf_dir, flush=MANY):
     """The probes that exist."""
-    return lookup.exists(_state(spark, sf_dir), user_probes(spark, sf_dir))
+    return lookup.exists(_state(spark, sf_dir, flush), user_probes(spark, sf_dir))
 
 
-@query(f"WITH {_OPS}, {_STATE} SELECT 'user:' || c_custkey AS key, coalesce({_type_sql('value')}, 'none') AS type FROM customer LEFT JOIN st ON st.key = 'user:' || c_custkey")
-def type_of(spark, sf_dir):
+@query(f"WITH {_OPS}, {_STATE} SELECT 'user:' || c_custkey AS key, coalesce({_type_sql('value')}, 'none') AS type FROM customer LEFT JOIN st ON st.key = 'user:' || c_custkey", long=True)
+def type_of(spark, sf_dir, flush=MANY):
     """The type of every probe's value, or none."""
-    return lookup.type_of(_state(spark, sf_dir), user_probes(spark, sf_dir))
+    return lookup.type_of(_state(spark, sf_dir, flush), user_probes(spark, sf_dir))
 
 
 @query("SELECT c_mktsegment || ':' || c_custkey AS key FROM customer WHERE starts_with(c_mktsegment || ':' || c_custkey, 'BUILDING:1')")
@@ -225,37 +234,37 @@ def keys_pattern_column(spark, sf_dir):
     return state.filter(exprs.glob_match("key", F.col("p.glob"))).select("p.region", "key")
 
 
-@query(f"WITH {_OPS}, {_STATE} SELECT key, value FROM st WHERE key >= 'user:2' AND key < 'user:5'")
-def range_scan(spark, sf_dir):
+@query(f"WITH {_OPS}, {_STATE} SELECT key, value FROM st WHERE key >= 'user:2' AND key < 'user:5'", long=True)
+def range_scan(spark, sf_dir, flush=MANY):
     """Entries in a range of keys."""
-    return lookup.key_range(_state(spark, sf_dir), "user:2", "user:5").select("key", "value")
+    return lookup.key_range(_state(spark, sf_dir, flush), "user:2", "user:5").select("key", "value")
 
 
-@query(f"WITH {_OPS}, {_STATE} SELECT count(*) AS n FROM st")
-def size(spark, sf_dir):
+@query(f"WITH {_OPS}, {_STATE} SELECT count(*) AS n FROM st", long=True)
+def size(spark, sf_dir, flush=MANY):
     """Number of entries."""
-    return lookup.size(_state(spark, sf_dir))
+    return lookup.size(_state(spark, sf_dir, flush))
 
 
-@query(f"WITH {_OPS}, {_STATE} SELECT st.key, CASE WHEN c_custkey IS NULL THEN value ELSE c_name END AS value, CASE WHEN c_custkey IS NULL THEN expire_at ELSE 0 END AS expire_at FROM st LEFT JOIN customer ON st.key = 'user:' || c_custkey")
-def update_existing(spark, sf_dir):
+@query(f"WITH {_OPS}, {_STATE} SELECT st.key, CASE WHEN c_custkey IS NULL THEN value ELSE c_name END AS value, CASE WHEN c_custkey IS NULL THEN expire_at ELSE 0 END AS expire_at FROM st LEFT JOIN customer ON st.key = 'user:' || c_custkey", long=True)
+def update_existing(spark, sf_dir, flush=MANY):
     """The state after updating the customers' keys that exist."""
     pairs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("user:"), "c_custkey").alias("key"), F.col("c_name").alias("value"))
-    return lookup.update_existing(_state(spark, sf_dir), pairs)
+    return lookup.update_existing(_state(spark, sf_dir, flush), pairs)
 
 
-@query(f"WITH {_OPS}, {_STATE} SELECT key, value FROM st WHERE key NOT IN (SELECT 'user:' || s_suppkey FROM supplier)")
-def delete_keys(spark, sf_dir):
+@query(f"WITH {_OPS}, {_STATE} SELECT key, value FROM st WHERE key NOT IN (SELECT 'user:' || s_suppkey FROM supplier)", long=True)
+def delete_keys(spark, sf_dir, flush=MANY):
     """The state after deleting the suppliers' numbers."""
     gone = table(spark, sf_dir, "supplier").select(F.concat(F.lit("user:"), "s_suppkey").alias("key"))
-    return lookup.without(_state(spark, sf_dir), gone).select("key", "value")
+    return lookup.without(_state(spark, sf_dir, flush), gone).select("key", "value")
 
 
-@query(f"WITH {_OPS}, {_STATE} SELECT coalesce('moved:' || s_suppkey, key) AS key, value, CASE WHEN s_suppkey IS NULL THEN expire_at ELSE 0 END AS expire_at FROM st LEFT JOIN supplier ON key = 'user:' || s_suppkey")
-def rename(spark, sf_dir):
+@query(f"WITH {_OPS}, {_STATE} SELECT coalesce('moved:' || s_suppkey, key) AS key, value, CASE WHEN s_suppkey IS NULL THEN expire_at ELSE 0 END AS expire_at FROM st LEFT JOIN supplier ON key = 'user:' || s_suppkey", long=True)
+def rename(spark, sf_dir, flush=MANY):
     """The state after renaming the suppliers' numbers."""
     pairs = table(spark, sf_dir, "supplier").select(F.concat(F.lit("user:"), "s_suppkey").alias("old"), F.concat(F.lit("moved:"), "s_suppkey").alias("new"))
-    return lookup.rename(_state(spark, sf_dir), pairs)
+    return lookup.rename(_state(spark, sf_dir, flush), pairs)
 
 
 # ---- collections --------------------------------------------------------------------------------------
@@ -375,11 +384,11 @@ def decode_lines(spark, sf_dir):
     return lines.select("file_id", "line_no", "o.op", "o.key", "o.ts")
 
 
-@query(f"WITH {_OPS}, {_STATE} SELECT key, value, expire_at FROM st")
-def replay_log(spark, sf_dir):
+@query(f"WITH {_OPS}, {_STATE} SELECT key, value, expire_at FROM st", long=True)
+def replay_log(spark, sf_dir, flush=MANY):
     """The log written to rotated files, read back in order and folded."""
     path = _shared(spark, "log")
-    log = event_log(spark, sf_dir)
+    log = event_log(spark, sf_dir, flush=flush)
     append_log(log.withColumn("valueType", F.lit(None).cast("string")), path, gzip=True)
     back = read_log(spark, path)
     state = durable(fold(back, end_of(log)).select("key", "value", "expire_at"))
@@ -387,10 +396,10 @@ def replay_log(spark, sf_dir):
     return state
 
 
-@query(f"WITH {_OPS}, {_STATE} SELECT key, value, expire_at AS \"expireAt\", created_at AS ts FROM st")
-def compact_log(spark, sf_dir):
+@query(f"WITH {_OPS}, {_STATE} SELECT key, value, expire_at AS \"expireAt\", created_at AS ts FROM st", long=True)
+def compact_log(spark, sf_dir, flush=MANY):
     """The log compacted to one SET for each entry."""
-    log = event_log(spark, sf_dir)
+    log = event_log(spark, sf_dir, flush=flush)
     return snapshot(log, end_of(log)).select("key", "value", "expireAt", "ts")
 
 
@@ -425,11 +434,11 @@ def session_script(spark, sf_dir):
     return run_script(script).select("seq", "reply")
 
 
-@query(f"WITH {_OPS}, {_STATE} SELECT key, value, expire_at FROM st")
-def stream_replica(spark, sf_dir):
+@query(f"WITH {_OPS}, {_STATE} SELECT key, value, expire_at FROM st", long=True)
+def stream_replica(spark, sf_dir, flush=MANY):
     """A follower's state after the log has arrived as a stream of files."""
     path = _shared(spark, "stream")
-    log = event_log(spark, sf_dir)
+    log = event_log(spark, sf_dir, flush=flush)
     log.withColumn("valueType", F.lit(None).cast("string")).repartitionByRange(4, "seq").write.json(f"{path}/log")
     follow(spark, f"{path}/log", f"{path}/state", f"{path}/checkpoint", once=True).awaitTermination()
     state = durable(current(spark, f"{path}/state", 0, end_of(log)).select("key", "value", "expire_at"))

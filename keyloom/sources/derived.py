@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from keyloom.runtime import table
 
 _NO_ITEMS = "array<struct<key:string,value:string>>"
+#: Which events are a FLUSH: every 4,000th, so that replies cross many, or one early one, so that at every size the state comes from most of the log.
+MANY, EARLY = "event_id % 4000 = 3999", "event_id = 99"
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, flush: str) -> DataFrame:
     ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    flush = F.col("event_id") % 4000 == 3999
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), ms.alias("ts"), F.when(flush, "flush").otherwise(F.col("event_type")).alias("kind"), "user_id", "value", "props")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), ms.alias("ts"), F.when(F.expr(flush), "flush").otherwise(F.col("event_type")).alias("kind"), "user_id", "value", "props")
 
 
-def event_log(spark: SparkSession, sf_dir: str, view: str = "MUPD") -> DataFrame:
+def event_log(spark: SparkSession, sf_dir: str, view: str = "MUPD", flush: str = MANY) -> DataFrame:
     """An op log from events: signup, purchase (with a time to live) and click set, view updates (or is read, with ``view`` GET), error deletes."""
-    e = _events(spark, sf_dir)
+    e = _events(spark, sf_dir, flush)
     key, tag = F.concat(F.lit("user:"), "user_id"), F.col("seq").cast("string")
     op = F.when(F.col("kind").isin("signup", "purchase", "click"), "SET").when(F.col("kind") == "view", view).when(F.col("kind") == "error", "DEL").when(F.col("kind") == "flush", "FLUSH")
     value = F.when(F.col("kind") == "signup", F.col("props")).when(F.col("kind") == "purchase", F.concat(F.lit("p"), tag)).when(F.col("kind") == "click", F.concat(F.lit('["c'), tag, F.lit('"]')))
@@ -27,9 +28,9 @@ def event_log(spark: SparkSession, sf_dir: str, view: str = "MUPD") -> DataFrame
     return e.select("seq", "ts", op.alias("op"), F.when(op.isin("SET", "DEL", "GET"), key).alias("key"), value.alias("value"), exp.cast("bigint").alias("expireAt"), updated.cast(_NO_ITEMS).alias("items"), F.lit(None).cast("array<string>").alias("keys"))
 
 
-def bulk_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bulk_log(spark: SparkSession, sf_dir: str, flush: str = MANY) -> DataFrame:
     """An op log of bulk operations from events: signup and click MSET two neighbouring keys, purchase sets, view MUPDs two pairs, error MDELs with a repeated key."""
-    e = _events(spark, sf_dir)
+    e = _events(spark, sf_dir, flush)
     one, two, tag = F.concat(F.lit("user:"), "user_id"), F.concat(F.lit("user:"), F.col("user_id") + 1), F.col("seq").cast("string")
     op = F.when(F.col("kind").isin("signup", "click"), "MSET").when(F.col("kind") == "purchase", "SET").when(F.col("kind") == "view", "MUPD").when(F.col("kind") == "error", "MDEL").when(F.col("kind") == "flush", "FLUSH")
     pair = lambda k, p: F.struct(k.alias("key"), F.concat(F.lit(p), tag).alias("value"))
