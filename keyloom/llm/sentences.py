@@ -549,7 +549,7 @@ def chunk_starts(functions: list[dict], markup: Markup) -> tuple[list[tuple[Mark
 # ---- Spark ------------------------------------------------------------------------------------------
 
 _OUT = "doc_id long, end_pos long"
-_CHUNKS = "doc_id long, k int, base long, pre boolean, stop int, text string"
+_CHUNKS = "doc_id long, row long, k int, base long, pre boolean, stop int, text string"
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -563,12 +563,12 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "k", "base", "pre", "stop", "text"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.string()]
+    names = ["doc_id", "row", "k", "base", "pre", "stop", "text"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.string()]
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for i, t, row in zip(*[c.to_pylist() for c in b.columns]):
             at, pre = cuts(t, chunk), first_markup(t).mode == "pre"
-            rows = [(i, k, a, pre, z - a, t[a : z + AHEAD]) for k, (a, z) in enumerate(zip(at, at[1:]))]
+            rows = [(i, row, k, a, pre, z - a, t[a : z + AHEAD]) for k, (a, z) in enumerate(zip(at, at[1:]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*rows), types)], names=names)
 
 
@@ -577,7 +577,7 @@ def _functions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for d in frames:
         f = [pickle.dumps(chunk_function(t, stop, base)) for t, stop, base in zip(d["text"], d["stop"], d["base"])]
-        yield pd.DataFrame({"doc_id": d["doc_id"], "k": d["k"], "pre": d["pre"], "f": f})
+        yield pd.DataFrame({"row": d["row"], "k": d["k"], "pre": d["pre"], "f": f})
 
 
 def _scanned(d: pd.DataFrame) -> pd.DataFrame:
@@ -587,33 +587,37 @@ def _scanned(d: pd.DataFrame) -> pd.DataFrame:
     starts, end = chunk_starts([pickle.loads(x) for x in d["f"]], Markup("pre") if d["pre"].iloc[0] else Markup("body"))
     ends = finish(end)
     state = [pickle.dumps((m, s, ends if k == len(starts) - 1 else [])) for k, (m, s) in enumerate(starts)]
-    return pd.DataFrame({"doc_id": d["doc_id"], "k": d["k"], "state": state})
+    return pd.DataFrame({"row": d["row"], "k": d["k"], "state": state})
 
 
-def _emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import pickle
 
-    for d in frames:
-        rows: list[tuple[int, int]] = []
-        for i, t, stop, base, state in zip(d["doc_id"], d["text"], d["stop"], d["base"], d["state"]):
+    for b in batches:
+        ids, ends = [], []
+        for i, t, stop, base, state in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "stop", "base", "state")]):
             m, s, last = pickle.loads(state)
             out: list[int] = []
             run(t, 0, stop, base, m, s, out)
-            rows += [(i, p) for p in out + last]
-        yield pd.DataFrame(rows, columns=["doc_id", "end_pos"])
+            got = out + last
+            ids += [i] * len(got)
+            ends += got
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "end_pos"])
 
 
 def sentences(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row (doc_id, end_pos) for each sentence of each document.
 
     ``docs``: doc_id, text; other columns are not read. Null and empty texts, and texts without prose,
-    have no sentences. Repeated doc_ids among texts longer than ``chunk`` are not told apart; among
-    others each row counts. The result does not depend on ``chunk``.
+    have no sentences. Repeated and null doc_ids are kept: each row counts. The result does not depend on
+    ``chunk``.
     """
     texts = spread(docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.col("text") != "")))
     short = texts.filter(F.length("text") <= chunk).mapInArrow(_short, _OUT)
-    parts = durable(texts.filter(F.length("text") > chunk).mapInArrow(lambda b: _cut(b, chunk), _CHUNKS).repartition("doc_id", "k"))
-    fs = parts.mapInPandas(_functions, "doc_id long, k int, pre boolean, f binary")
-    starts = fs.groupBy("doc_id").applyInPandas(_scanned, "doc_id long, k int, state binary")
-    long = parts.drop("pre").join(starts, ["doc_id", "k"]).mapInPandas(_emit, _OUT)
+    # a number for each row, as doc_ids may repeat; fixed by the copy before it is read twice
+    numbered = texts.filter(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
+    parts = durable(numbered.mapInArrow(lambda b: _cut(b, chunk), _CHUNKS).repartition("row", "k"))
+    fs = parts.mapInPandas(_functions, "row long, k int, pre boolean, f binary")
+    starts = fs.groupBy("row").applyInPandas(_scanned, "row long, k int, state binary")
+    long = parts.drop("pre").join(starts, ["row", "k"]).mapInArrow(_emit, _OUT)
     return short.union(long)

@@ -95,3 +95,10 @@ def test_table(spark):
     got = sorted(map(tuple, S.sentences(df, 2_000).collect()))
     assert got == sorted((i, p) for i, t in docs if t for p in S.sentence_ends(t))
     assert S.sentences(df.limit(0)).collect() == []
+
+
+def test_repeated_and_null_ids_of_long_texts(spark):
+    a, b = "The mesh holds. It ends.\n" * 200 + "Open end", "\\iffalse\n" + "Not read. At all.\n" * 150 + "\\fi\n" + "One. Two\n" * 150
+    docs = [(1, a), (1, a), (1, b), (None, a), (None, b), (2**60 + 1, a)]
+    got = S.sentences(spark.createDataFrame(docs, "doc_id long, text string"), 2_000).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, p)) for i, t in docs for p in S.sentence_ends(t))
