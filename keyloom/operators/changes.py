@@ -28,21 +28,25 @@ _KINDS = {"SET": "W", "MSET": "W", "DEL": "D", "MDEL": "D", "MUPD": "U"}
 
 
 def merged_changes(feed: DataFrame, scope: str = "nodeId") -> DataFrame:
-    """One row for each (scope, seq): lowest ts, and op, touched keys and expireAt from the earliest copies that have them."""
-    touched = F.when(F.col("op").isin("SET", "DEL"), F.array("key")).when(F.col("op").isin("MSET", "MUPD"), F.col("items.key")).when(F.col("op") == "MDEL", F.col("keys"))
+    """One row for each (scope, seq): lowest ts, and op, touched keys and expireAt; each field is from the earliest copy that has it."""
     rows = feed.filter(F.col(scope).isNotNull() & F.col("seq").isNotNull() & F.col("ts").isNotNull()).select(
-        F.col(scope).alias("scope"), "seq", "ts", "line_id", "op", F.array_distinct(F.filter(touched, lambda k: k.isNotNull())).alias("touched"), F.col("expireAt").alias("exp")
+        F.col(scope).alias("scope"), "seq", "ts", "line_id", "op", "key", F.col("items.key").alias("items"), "keys", F.col("expireAt").alias("exp")
     )
     # partitioned first, so that the aggregation sorts once and needs no second exchange
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_id"))).alias(c)
-    return rows.repartition("scope", "seq").groupBy("scope", "seq").agg(F.min("ts").alias("ts"), first("op"), first("touched"), first("exp"))
+    whole = rows.repartition("scope", "seq").groupBy("scope", "seq").agg(F.min("ts").alias("ts"), *[first(c) for c in ("op", "key", "items", "keys", "exp")])
+    touched = F.when(F.col("op").isin("SET", "DEL"), F.array("key")).when(F.col("op").isin("MSET", "MUPD"), F.col("items")).when(F.col("op") == "MDEL", F.col("keys"))
+    return whole.select("scope", "seq", "ts", "op", F.array_distinct(F.filter(touched, lambda k: k.isNotNull())).alias("touched"), "exp")
 
 
 def scopes(feed: DataFrame, scope: str = "nodeId") -> DataFrame:
-    """For each scope: the highest time of any of its rows, the lowest, their number, and (ts, seq) of its last FLUSH."""
-    rows = feed.filter(F.col(scope).isNotNull() & F.col("ts").isNotNull()).select(F.col(scope).alias("scope"), "ts", "seq", "op")
+    """For each scope: the highest time of any of its rows, the lowest, their number, and (ts, seq) of its last FLUSH, merged like any change."""
+    rows = feed.filter(F.col(scope).isNotNull() & F.col("ts").isNotNull()).select(F.col(scope).alias("scope"), "ts", "seq", "op", "line_id")
     span = rows.groupBy("scope").agg(F.max("ts").alias("now"), F.min("ts").alias("start"), F.count("*").alias("rows"))
-    flush = rows.filter((F.col("op") == "FLUSH") & F.col("seq").isNotNull()).groupBy("scope", "seq").agg(F.min("ts").alias("ts")).groupBy("scope").agg(F.max(F.struct("ts", "seq")).alias("flush"))
+    # copies without an op may be the earliest ones of a FLUSH
+    marked = small_side(rows.filter((F.col("op") == "FLUSH") & F.col("seq").isNotNull()).select("scope", "seq").distinct())
+    copies = rows.join(marked, ["scope", "seq"], "left_semi").groupBy("scope", "seq").agg(F.min("ts").alias("ts"), F.min_by("op", F.when(F.col("op").isNotNull(), F.col("line_id"))).alias("op"))
+    flush = copies.filter("op = 'FLUSH'").groupBy("scope").agg(F.max(F.struct("ts", "seq")).alias("flush"))
     return span.join(flush, "scope", "left")
 
 

@@ -79,3 +79,21 @@ def test_nulls_empty_and_clashing_columns(spark):
     assert current_entries(spark.createDataFrame([], extra)).collect() == []
     rows = [(1, None, 1, "SET", "a", 0, 1, None, None), (2, "n", None, "SET", "b", 0, 1, None, None), (3, "n", 3, "SET", "c", 0, None, None, None), (4, "n", 4, "SET", "d", 0, 1, None, None)]
     assert [r.key for r in current_entries(spark.createDataFrame([(*r, "s", 1, 2, 3, "e", 4) for r in rows], extra)).collect()] == ["d"]
+
+
+def test_each_field_from_the_first_copy_that_has_it(spark):
+    rows = [
+        # the first copy lacks the key
+        (1, "n", 1, "SET", None, None, 1, None, None), (2, "n", 1, "SET", "a", 0, 1, None, None),
+        # the first copy lacks the op
+        (3, "n", 2, None, "b", 0, 2, None, None), (4, "n", 2, "SET", None, None, 2, None, None),
+        (5, "n", 3, "MSET", None, 0, 3, None, None), (6, "n", 3, None, None, None, 3, [("c", "v"), ("d", "v")], None),
+        # of two keys the first one counts
+        (7, "n", 4, "SET", "e", 0, 4, None, None), (8, "n", 4, "SET", "f", 0, 4, None, None),
+        (9, "n", 5, "MDEL", None, None, 5, None, None), (10, "n", 5, None, None, None, 5, None, ["c"]),
+        # a FLUSH whose earliest copy has no op: what was set at 3 is behind it
+        (11, "m", 1, "SET", "a", 0, 1, None, None), (12, "m", 2, None, None, None, 2, None, None), (13, "m", 2, "FLUSH", None, None, 4, None, None), (18, "m", 6, "SET", "g", 0, 3, None, None),
+        (14, "m", 3, "DEL", None, None, 4, None, None), (15, "m", 3, None, "b", None, 3, None, None), (16, "m", 4, "SET", "b", 0, 2, None, None), (17, "m", 5, "SET", "c", 0, 5, None, None),
+    ]
+    got = current_entries(spark.createDataFrame(rows, FEED), slices=3).collect()
+    assert sorted((r.nodeId, r.key, r.seq) for r in got) == [("m", "c", 5), ("m", "g", 6), ("n", "a", 1), ("n", "b", 2), ("n", "d", 3), ("n", "e", 4)]
