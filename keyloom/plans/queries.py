@@ -12,13 +12,15 @@ from keyloom.functions import exprs, protocol
 from keyloom.operators import collections as C
 from keyloom.operators import lookup
 from keyloom.operators.compact import merge_runs, snapshot
-from keyloom.operators.fold import explode_ops, fold, op_counts, replies
+from keyloom.operators.fold import bounds, explode_ops, fold, op_counts, replies
 from keyloom.plans.session import batch_count, run_script
 from keyloom.runtime import durable, table, use_checkpoint_dir
 from keyloom.sources.derived import EARLY, MANY, bulk_log, customer_state, end_of, event_log, user_probes
 from keyloom.sources.oplog import append_log, cluster_links, decode, read_log
-from keyloom.streaming.replica import current, follow
+from keyloom.streaming.replica import current, follow, last_batch
 
+#: Files in which the log arrives at the follower, each a batch of its own.
+STREAM_FILES = 4
 #: Most globs that are matched against all keys in one pass.
 PATTERNS = 1000
 QUERIES: dict = {}
@@ -439,9 +441,14 @@ def stream_replica(spark, sf_dir, flush=MANY):
     """A follower's state after the log has arrived as a stream of files."""
     path = _shared(spark, "stream")
     log = event_log(spark, sf_dir, flush=flush)
-    log.withColumn("valueType", F.lit(None).cast("string")).repartitionByRange(4, "seq").write.json(f"{path}/log")
-    follow(spark, f"{path}/log", f"{path}/state", f"{path}/checkpoint", once=True).awaitTermination()
-    state = durable(current(spark, f"{path}/state", 0, end_of(log)).select("key", "value", "expire_at"))
+    b = bounds(log)
+    low, step = b.low or 0, ((b.high or 0) - (b.low or 0)) // STREAM_FILES + 1
+    for i in range(STREAM_FILES):
+        # one file after the other, so that batches come in the order of seq
+        part = log.filter((F.col("seq") >= low + i * step) & (F.col("seq") < low + (i + 1) * step))
+        part.withColumn("valueType", F.lit(None).cast("string")).coalesce(1).write.mode("append").json(f"{path}/log")
+        follow(spark, f"{path}/log", f"{path}/state", f"{path}/checkpoint", once=True, files=1).awaitTermination()
+    state = durable(current(spark, f"{path}/state", last_batch(spark, f"{path}/state"), end_of(log)).select("key", "value", "expire_at"))
     _forget(spark, path)
     return state
 

@@ -19,14 +19,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def follow(spark: SparkSession, log_dir: str, state_dir: str, checkpoint_dir: str, once: bool = False) -> StreamingQuery:
+def follow(spark: SparkSession, log_dir: str, state_dir: str, checkpoint_dir: str, once: bool = False, files: int = 64) -> StreamingQuery:
     """Apply the JSON log files that arrive in ``log_dir`` (with seq rising over batches) to snapshots below ``state_dir``.
 
     Each micro-batch writes a snapshot of its own, named by its batch, from the one before; a batch that
     is run again after a failure writes the same snapshot, so nothing is applied twice. A file's lines that
-    do not parse are skipped. ``once`` ends the query when all present files are applied.
+    do not parse are skipped. ``once`` ends the query when all present files are applied. A batch takes
+    ``files`` files at most.
     """
-    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 64).json(log_dir)
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files).json(log_dir)
 
     def apply(batch: DataFrame, number: int) -> None:
         before = f"{state_dir}/batch={number - 1}"
@@ -39,6 +40,14 @@ def follow(spark: SparkSession, log_dir: str, state_dir: str, checkpoint_dir: st
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def last_batch(spark: SparkSession, state_dir: str) -> int:
+    """The number of the last batch whose snapshot is complete; -1 if there is none."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    return max([int(n[6:]) for n in names if n.startswith("batch=") and _exists(spark, f"{state_dir}/{n}/_SUCCESS")], default=-1)
+
+
 def current(spark: SparkSession, state_dir: str, batch: int, now: int) -> DataFrame:
     """The follower's state after a batch, at ``now``."""
     return fold(spark.read.parquet(f"{state_dir}/batch={batch}"), now)
