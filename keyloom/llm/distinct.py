@@ -56,19 +56,24 @@ def estimate(sketches: DataFrame, groups: Sequence[str], bits: int = BITS) -> Da
     return n.select(*groups, F.round(F.col("part") * F.col("scale")).cast("long").alias("n"), (SIGMAS * rel).alias("bound"))
 
 
-def distinct_by_day_and_ops(df: DataFrame, value: str, day: str, op: str, ops: Sequence[str], bits: int = BITS) -> DataFrame:
+def distinct_by_day_and_ops(df: DataFrame, value: str, day: str, op: str, ops: Sequence[str], bits: int = BITS, other: str | None = None) -> DataFrame:
     """Distinct values by day, by op, by day and op, and for every combination of two or more of ``ops``.
 
     Result: scope, day, ops (joined by +), n, bound; all from one sketch for each (day, op), merged
     by OR. Rows whose op is null or not in ``ops`` count by day and under their own op ("(null)" for
-    null). A null day is a day of its own. An empty table gives no rows.
+    null); with ``other``, a name that is no op, they are one more member of the combinations under that
+    name. A null day is a day of its own. An empty table gives no rows.
     """
-    if len(ops) > 12:
+    if other in ops:
+        raise ValueError(f"{other} is an op")
+    members = [*ops, *([other] if other is not None else [])]
+    if len(members) > 12:
         raise ValueError("combinations of more than 12 ops are not meant to be listed")
     rows = df.select(F.col(f"`{value}`").alias("v"), F.col(f"`{day}`").alias("day"), F.coalesce(F.col(f"`{op}`"), F.lit("(null)")).alias("op"))
     cells = sketch(rows, "v", ["day", "op"], bits)
-    sets = [list(c) for k in range(2, len(ops) + 1) for c in combinations(ops, k)]
-    member = F.array(*[F.when(F.col("op").isin(s), F.lit("+".join(s))) for s in sets])
+    sets = [list(c) for k in range(2, len(members) + 1) for c in combinations(members, k)]
+    name = F.when(F.col("op").isin(*ops), F.col("op")).otherwise(F.lit(other)) if other is not None else F.col("op")
+    member = F.array(*[F.when(name.isin(s), F.lit("+".join(s))) for s in sets])
     whole = [F.struct(F.lit("day").alias("scope"), F.lit(None).cast("string").alias("ops")), F.struct(F.lit("op").alias("scope"), F.col("op").alias("ops")), F.struct(F.lit("day_op").alias("scope"), F.col("op").alias("ops"))]
     combos = F.transform(F.filter(member, lambda s: s.isNotNull()), lambda s: F.struct(F.lit("ops").alias("scope"), s.alias("ops")))
     routed = cells.withColumn("r", F.explode(F.concat(F.array(*whole), combos))).select(

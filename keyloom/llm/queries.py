@@ -13,13 +13,15 @@ from keyloom.llm.sentences import sentences
 from keyloom.runtime import table
 
 OPS = ["SET", "DEL", "MSET", "MDEL", "MUPD", "FLUSH"]
+#: All other ops, null included, as one member of the combinations.
+OTHER = "(other)"
 FREQUENT_SHARE = 1 / 200
 
 
 def p2_distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated distinct keys by day, by op, by both, and by combination of ops, with the error bound."""
     rows = table(spark, sf_dir, "active").select("key", "op", F.floor(F.col("ts") / 86_400_000).alias("day"))
-    return distinct_by_day_and_ops(rows, "key", "day", "op", OPS)
+    return distinct_by_day_and_ops(rows, "key", "day", "op", OPS, other=OTHER)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

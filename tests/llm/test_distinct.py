@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from keyloom.llm import queries
 from keyloom.llm.distinct import distinct_by_day_and_ops, estimate, merge, sketch
 
 
@@ -50,3 +51,20 @@ def test_empty_and_too_many_ops(spark):
     assert distinct_by_day_and_ops(df, "key", "day", "op", ["a", "b"]).collect() == []
     with pytest.raises(ValueError):
         distinct_by_day_and_ops(df, "key", "day", "op", [str(i) for i in range(13)])
+
+
+def test_other_ops_are_a_member_of_the_combinations(spark):
+    rows = [(0, "SET", f"a{i}") for i in range(50)] + [(0, "x", f"b{i}") for i in range(40)] + [(0, None, f"c{i}") for i in range(30)] + [(1, "DEL", f"d{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "day long, op string, key string")
+    got = {r.ops: r for r in distinct_by_day_and_ops(df, "key", "day", "op", ["SET", "DEL"], other="(other)").collect() if r.scope == "ops"}
+    want = {"SET+DEL": 70, "SET+(other)": 120, "DEL+(other)": 90, "SET+DEL+(other)": 140}
+    assert set(got) == set(want) and all(abs(got[k].n - n) <= got[k].bound * n for k, n in want.items())
+    with pytest.raises(ValueError):
+        distinct_by_day_and_ops(df, "key", "day", "op", ["SET", "(other)"], other="(other)")
+
+
+def test_the_query_counts_every_op_in_some_combination(spark, tmp_path):
+    rows = [(1, "SET", "a"), (2, "set", "b"), (3, None, "c"), (4, "PING", "d")]
+    spark.createDataFrame(rows, "ts long, op string, key string").write.parquet(str(tmp_path / "active.parquet"))
+    got = {r.ops: r.n for r in queries.p2_distinct_keys(spark, str(tmp_path)).collect() if r.scope == "ops"}
+    assert len(got) == 2**7 - 8 - (2**5 - 6) and got["SET+DEL+MSET+MDEL+MUPD+FLUSH+(other)"] == 4
