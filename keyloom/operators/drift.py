@@ -1,12 +1,15 @@
 """One table from JSON files whose fields are renamed, moved, retyped, added or removed over time.
 
 Rescue-column ingestion. The target schema is enforced on each line; whatever is unknown to it or
-does not cast stays, as JSON, in a rescue column. Every leaf of the rescued JSON is evidence about
-its path: a path whose values fit the domain of a target field is approved for that field, and the
-rescued values of approved paths are replayed into the typed columns. The same approved paths tell
-what each file has, and thus every change between a file and the one before it.
-
-All of it runs on built-in functions; JSON is read as VARIANT.
+does not cast is kept, as JSON, in a rescue column. Every leaf of that JSON is evidence about its
+path in its file: where the values fit the domain of a target field, the path is approved for that
+field in that file, and the rescued values of approved paths are replayed into the typed columns.
+What a file has, and thus every change between a file and the one before it, is read off the
+replayed values of the ingested table.
+
+A line is parsed once, into an array of its leaves that later steps filter in place; only counts by
+file and path, and the approved paths of files, are shuffled. All of it runs on built-in functions;
+JSON is read as VARIANT.
 """
 
 from __future__ import annotations
@@ -19,100 +22,179 @@ from keyloom.runtime import durable, small_side
 
 #: The names of the value types, in the order of their numbers.
 VALUE_TYPES = ["STRING", "LIST", "MAP", "SET"]
-#: Fields of the target schema that never drift; they are no candidates for others.
-STEADY = ["op", "key", "value", "ts", "items", "keys"]
-#: Objects inside objects that are opened.
-DEPTH = 5
+#: Fields of the target schema that never drift, with their types; they are no candidates for others.
+STEADY = {"op": "string", "key": "string", "value": "string", "ts": "bigint", "items": "array<struct<key:string,value:string>>", "keys": "array<string>"}
+#: Objects in objects that one pass opens; deeper ones take more passes.
+LEVELS = 16
 #: Share of a path's non-null values that must fit a field's domain.
 FIT = 0.9
-_SEP = "\u001f"
+_MAP = "map<string,variant>"
 
 
-def json_lines(lines: DataFrame) -> DataFrame:
-    """file_id, line_no, ``fields``, the line's object as a map of VARIANT, and whether it may hold objects in it (``deep``).
+def _once(value: Column, name: str) -> Column:
+    """``value`` behind a generator, so that filters on it are not computed by evaluating it once more."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def depth(lines: DataFrame) -> int:
+    """The largest number of objects in objects of any line, never too small."""
+    bare = F.regexp_replace("line", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    braces = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
+    zero = F.struct(F.lit(0).alias("d"), F.lit(0).alias("m"))
+
+    def step(a: Column, c: Column) -> Column:
+        d = a.d + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        return F.struct(d.alias("d"), F.greatest(a.m, d).alias("m"))
+
+    some = lines.filter(F.col("line").rlike(r":\s*\{"))
+    return some.agg(F.max(F.aggregate(braces, zero, step, lambda a: a.m))).first()[0] or 1
 
-    Lines that hold no object are unreadable and left out.
-    """
-    fields = F.expr("try_variant_get(try_parse_json(line), '$', 'map<string,variant>')")
-    # generated, so that a filter on the result is not computed by parsing once more
-    parsed = lines.select("file_id", "line_no", F.col("line").rlike(r":\s*\{").alias("deep"), F.explode_outer(F.array(fields)).alias("fields"))
-    return parsed.filter("fields is not null")
 
+def _opened(leaves: Column) -> Column:
+    """Leaves with each object that is not empty replaced by its fields."""
 
-def leaves(parsed: DataFrame) -> DataFrame:
-    """file_id, line_no, op, ts and one row for each leaf outside the steady fields: path, type (string, number, array, null, other), leaf.
+    def fields(x: Column) -> Column:
+        inner = F.transform(F.array(F.try_variant_get(x.leaf, "$", _MAP)), lambda m: F.when(F.size(m) > 0, _named(m, F.concat(x.path, F.lit("/")))))
+        return F.coalesce(F.get(inner, F.lit(0)), F.array(x))
+
+    return F.flatten(F.transform(leaves, fields))
+
+
+def _named(fields: Column, before: Column) -> Column:
+    """A map's entries as (path, leaf); a path joins names by /, with / and ~ in them as ~1 and ~0."""
+    name = lambda k: F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+    return F.transform(F.map_entries(fields), lambda e: F.struct(F.concat(before, name(e.key)).alias("path"), e.value.alias("leaf")))
+
+
+def json_lines(lines: DataFrame) -> DataFrame:
+    """file_id, line_no, line, ``fields`` (the line's object as a map of VARIANT, null for an unreadable line) and ``leaves``.
 
-    A line without such leaves has one row without path; ``first`` marks one row of each line.
+    ``leaves``: path, leaf, type (string, number, array, null, other), json, vt and ex (the value type
+    and the expiry that the leaf may tell) of everything outside the steady fields.
     """
-    steady = ", ".join(f"'{x}'" for x in STEADY)
-    rest = F.expr(f"map_filter(fields, (k, v) -> k not in ({steady}))")
-    head = [F.expr("try_variant_get(fields['op'], '$', 'string')").alias("op"), F.expr("try_variant_get(fields['ts'], '$', 'bigint')").alias("ts")]
-    at = parsed.select("file_id", "line_no", "deep", *head, F.posexplode_outer(rest).alias("i", "path", "leaf")).withColumn("first", F.coalesce(F.col("i") == 0, F.lit(True)))
-    for _ in range(DEPTH - 1):
-        inner = F.expr("case when deep then try_variant_get(leaf, '$', 'map<string,variant>') end")
-        at = at.select("*", F.posexplode_outer(inner).alias("j", "k", "v")).select(
-            "file_id", "line_no", "deep", "op", "ts", F.when(F.col("k").isNull(), F.col("path")).otherwise(F.concat_ws(_SEP, "path", "k")).alias("path"), F.when(F.col("k").isNull(), F.col("leaf")).otherwise(F.col("v")).alias("leaf"), (F.col("first") & F.coalesce(F.col("j") == 0, F.lit(True))).alias("first")
-        )
-    kind = F.expr("coalesce(schema_of_variant(leaf), 'VOID')")
-    typ = F.when(kind == "STRING", "string").when(kind == "VOID", "null").when(kind.startswith("ARRAY"), "array").when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), "number").otherwise("other")
-    return at.select("file_id", "line_no", "op", "ts", "path", "first", "leaf", typ.alias("type"))
-
-
-def evidence(found: DataFrame) -> DataFrame:
-    """The leaves without their JSON: file_id, op, path, type, first, and whether the value fits valueType (vt) and expireAt (ex)."""
-    e = as_expiry()
-    fits = F.coalesce((e == 0) | (e > F.col("ts")), F.lit(False))
-    return found.select("file_id", "op", "path", "type", "first", as_value_type().isNotNull().alias("vt"), fits.alias("ex"))
-
-
-def _text() -> Column:
-    return F.expr("try_variant_get(leaf, '$', 'string')")
-
-
-def as_value_type() -> Column:
-    """The value type that ``leaf`` tells, by name, by number or as the only element of an array; else null."""
-    names = F.array(*[F.lit(x) for x in VALUE_TYPES])
-    only = F.expr("try_variant_get(leaf, '$', 'array<string>')")
-    word = F.when(F.col("type") == "string", _text()).when((F.col("type") == "array") & (F.size(only) == 1), only[0])
-    number = F.when(F.col("type") == "number", F.expr("try_variant_get(leaf, '$', 'int')"))
-    return F.coalesce(F.when(F.upper(word).isin(*VALUE_TYPES), F.upper(word)), F.get(names, number))
-
-
-def as_expiry() -> Column:
-    """The moment in epoch milliseconds that ``leaf`` tells, as a number, in digits or as ISO date and time; 0 is never; else null."""
-    digits = F.when((F.col("type") == "number") | ((F.col("type") == "string") & _text().rlike(r"^\d{1,18}$")), F.expr("try_variant_get(leaf, '$', 'bigint')"))
-    iso = F.when((F.col("type") == "string") & _text().rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d"), F.unix_millis(F.try_to_timestamp(_text())))
+    parsed = lines.select("file_id", "line_no", "line", _once(F.try_variant_get(F.try_parse_json("line"), "$", _MAP), "fields"))
+    rest = _named(F.map_filter("fields", lambda k, _: ~k.isin(*STEADY)), F.lit(""))
+    at = parsed.withColumn("leaves", rest)
+    levels = depth(lines) - 1
+    for i in range(levels):
+        at = at.withColumn("leaves", F.when(F.col("line").rlike(r":\s*\{"), _opened(F.col("leaves"))).otherwise(F.col("leaves")))
+        if i % LEVELS == LEVELS - 1:
+            at = durable(at)
+    typed = F.transform("leaves", lambda x: F.struct(x.path.alias("path"), x.leaf.alias("leaf"), _type(x.leaf).alias("type")))
+    told = F.transform(typed, lambda x: F.struct(x.path.alias("path"), x.type.alias("type"), F.to_json(x.leaf).alias("json"), as_value_type(x.leaf, x.type).alias("vt"), as_expiry(x.leaf, x.type).alias("ex")))
+    return at.select("file_id", "line_no", "line", "fields", _once(told, "leaves"))
+
+
+def _type(leaf: Column) -> Column:
+    kind = F.coalesce(F.schema_of_variant(leaf), F.lit("VOID"))
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    return F.when(kind == "STRING", "string").when(kind == "VOID", "null").when(kind.startswith("ARRAY"), "array").when(number, "number").otherwise("other")
+
+
+def as_value_type(leaf: Column, type_: Column) -> Column:
+    """The value type that a leaf tells, by name, by number or as the only element of an array; else null."""
+    only = F.try_variant_get(leaf, "$", "array<string>")
+    word = F.upper(F.when(type_ == "string", F.try_variant_get(leaf, "$", "string")).when((type_ == "array") & (F.size(only) == 1), F.get(only, F.lit(0))))
+    number = F.when(type_ == "number", F.try_variant_get(leaf, "$", "int"))
+    return F.coalesce(F.when(word.isin(*VALUE_TYPES), word), F.get(F.array(*[F.lit(x) for x in VALUE_TYPES]), number))
+
+
+def as_expiry(leaf: Column, type_: Column) -> Column:
+    """The moment in epoch milliseconds that a leaf tells, as a number, in digits or as ISO date and time; 0 is never; else null."""
+    text = F.try_variant_get(leaf, "$", "string")
+    digits = F.when((type_ == "number") | ((type_ == "string") & text.rlike(r"^\d{1,18}$")), F.try_variant_get(leaf, "$", "bigint"))
+    iso = F.when((type_ == "string") & text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d"), F.unix_millis(F.try_to_timestamp(text)))
     return F.coalesce(digits, iso)
 
 
-def approved_paths(shown: DataFrame) -> DataFrame:
-    """path -> field (valueType or expireAt) from the evidence of all files.
+def approved_paths(parsed: DataFrame) -> DataFrame:
+    """file_id, path -> field (valueType or expireAt), from the evidence of the file and of all files.
 
-    Both fields describe a write: a path that also occurs on removals is neither. valueType: the values
-    name or number a value type. expireAt: they are 0 or moments after the line's own ``ts``; it also
-    occurs on bulk writes, which tells it from valueType where only zeros are seen.
+    Both fields describe a write: a path that also occurs on removals is neither, nor is one whose
+    values fit neither domain. valueType: the values name or number a value type. expireAt: they are 0
+    or moments after the line's own ``ts``. The file's own values decide which; where they fit both
+    (zeros) or neither (nulls, a few odd lines) the path's values in all files do, and at last its
+    place: only an expiry occurs on bulk writes.
     """
-    n = lambda c: F.count(F.when(c, True))
-    some = F.col("type") != "null"
-    stats = shown.filter("path is not null").groupBy("path").agg(
-        n(some).alias("some"),
-        n(some & F.col("vt")).alias("vt"),
-        n(some & F.col("ex")).alias("ex"),
-        n(F.col("op").isin("DEL", "MDEL", "FLUSH")).alias("off"),
-        n(F.col("op").isin("MSET", "MUPD")).alias("bulk"),
-        F.count("*").alias("all"),
-    )
-    written = stats.filter((F.col("some") > 0) & (F.col("off") <= (1 - FIT) * F.col("all")))
-    is_ex, is_vt = F.col("ex") >= FIT * F.col("some"), F.col("vt") >= FIT * F.col("some")
-    field = F.when(is_ex & (~is_vt | (F.col("bulk") > 0)), "expireAt").when(is_vt, "valueType")
-    return written.select("path", field.alias("field")).filter("field is not null")
-
-
-def file_fields(shown: DataFrame, paths: DataFrame) -> DataFrame:
-    """What each file with readable SET lines has: file_id, field, path and type; null where most of those lines show none."""
-    sets = shown.filter("op = 'SET'")
-    lines = sets.filter("first").groupBy("file_id").agg(F.count("*").alias("lines"))
-    by_type = sets.join(paths, "path").groupBy("file_id", "field", "path", "type").agg(F.count("*").alias("n"))
+    ts = F.try_variant_get(F.col("fields")["ts"], "$", "bigint")
+    op = F.try_variant_get(F.col("fields")["op"], "$", "string")
+    shown = parsed.select("file_id", op.alias("op"), ts.alias("ts"), F.explode("leaves").alias("x")).select("file_id", "op", "ts", "x.path", "x.type", "x.vt", "x.ex")
+    n = lambda c, name: F.count(F.when(c, True)).alias(name)
+    some, vt = F.col("type") != "null", F.col("vt").isNotNull()
+    ex = F.coalesce((F.col("ex") == 0) | (F.col("ex") > F.col("ts")), F.lit(False))
+    counts = [n(some, "some"), n(some & vt, "vt"), n(some & ex, "ex"), n(some & (vt | ex), "either"), n(F.col("op").isin("DEL", "MDEL", "FLUSH"), "off"), n(F.col("op").isin("MSET", "MUPD"), "bulk"), F.count("*").alias("rows")]
+    by_file = durable(shown.groupBy("file_id", "path").agg(*counts))
+    names = ["some", "vt", "ex", "either", "off", "bulk", "rows"]
+    whole = by_file.groupBy("path").agg(*[F.sum(c).alias(f"all_{c}") for c in names])
+    likely = whole.filter((F.col("all_some") > 0) & (F.col("all_off") <= (1 - FIT) * F.col("all_rows")) & (F.col("all_either") >= FIT * F.col("all_some")))
+    fits = lambda c, of: (F.col(c) >= FIT * F.col(of)) & (F.col(of) > 0)
+    all_ex, all_vt = fits("all_ex", "all_some"), fits("all_vt", "all_some")
+    everywhere = F.when(all_ex & (~all_vt | (F.col("all_bulk") > 0)), "expireAt").when(all_vt, "valueType")
+    here_ex, here_vt = fits("ex", "some"), fits("vt", "some")
+    placed = F.when(here_ex & here_vt, F.when(F.col("bulk") > 0, "expireAt").otherwise("valueType"))
+    field = F.when(here_ex & ~here_vt, "expireAt").when(here_vt & ~here_ex, "valueType").otherwise(F.coalesce(everywhere, placed))
+    return by_file.join(small_side(likely), "path").select("file_id", "path", field.alias("field")).filter("field is not null")
+
+
+def ingested(lines: DataFrame) -> DataFrame:
+    """The table of ``ingest`` before its JSON is written: the steady fields, value_type, expire_at, ``told`` and ``left``.
+
+    ``told``: field, path, type and json of each leaf on an approved path; ``left``: path and json of what is rescued.
+    """
+    parsed = durable(json_lines(lines))
+    # the approved paths of one file: those of two fields and their variants in odd lines
+    paths = approved_paths(parsed.filter("fields is not null")).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "field"))).alias("fields_of"))
+    rows = parsed.join(small_side(paths), "file_id", "left")
+    known = F.transform("leaves", lambda x: F.struct(F.try_element_at("fields_of", x.path).alias("field"), x.path.alias("path"), x.type.alias("type"), x.json.alias("json"), x.vt.alias("vt"), x.ex.alias("ex")))
+    rows = rows.select("file_id", "line_no", "line", "fields", _once(known, "x"))
+    is_ = lambda field: lambda x: x.field == field
+    value_type = F.array_max(F.transform(F.filter("x", is_("valueType")), lambda x: x.vt))
+    expire_at = F.array_max(F.transform(F.filter("x", is_("expireAt")), lambda x: F.when(x.type == "null", F.lit(0).cast("bigint")).otherwise(x.ex)))
+    odd = lambda x: x.field.isNull() | ((x.type != "null") & F.when(x.field == "valueType", x.vt.isNull()).otherwise(x.ex.isNull()))
+    kept = lambda xs: F.transform(xs, lambda x: F.struct(x.path.alias("path"), x.json.alias("json")))
+    steady = {c: F.try_variant_get(F.col("fields")[c], "$", t) for c, t in STEADY.items()}
+    # a steady field that its column does not tell in full
+    raw = {c: F.to_json(F.col("fields")[c]) for c in STEADY}
+    full = {c: F.to_json(F.to_variant_object(F.array(v))) for c, v in steady.items()}
+    lost = [F.when((raw[c] != "null") & (full[c].isNull() | (full[c] != F.concat(F.lit("["), raw[c], F.lit("]")))), F.struct(F.lit(c).alias("path"), raw[c].alias("json"))) for c in STEADY]
+    left = F.array_sort(F.concat(kept(F.filter("x", odd)), F.filter(F.array(*lost), lambda x: x.isNotNull())))
+    return rows.select(
+        "file_id", "line_no", "line", F.col("fields").isNotNull().alias("readable"), *[v.alias(c) for c, v in steady.items()],
+        value_type.alias("value_type"), expire_at.alias("expire_at"), F.filter("x", lambda x: x.field.isNotNull()).alias("told"), left.alias("left"),
+    )
+
+
+def _object(pairs: Column) -> Column:
+    """(path, json) pairs as the text of a JSON object; null for none."""
+    name = lambda p: F.regexp_extract(F.to_json(F.create_map(p, F.lit(0))), r"(?s)\A\{(.*)0\}\z", 1)
+    text = F.array_join(F.transform(pairs, lambda x: F.concat(name(x.path), x.json)), ",")
+    return F.when(F.size(pairs) > 0, F.concat(F.lit("{"), text, F.lit("}")))
+
+
+def ingest(lines: DataFrame) -> DataFrame:
+    """All lines in one form: file_id, line_no, readable, op, key, value, ts, items, keys, value_type, expire_at, replayed, rescued.
+
+    ``rescued`` holds, as a JSON object by path, the fields that neither the target schema nor an
+    approved path explains, and those whose value is not told in full by its column: a value that does
+    not cast, digits in place of a number, an item with further fields. ``replayed`` holds, in the same
+    form, the values as they were from which value_type and expire_at come. Both are null where there is
+    nothing. So the columns of a readable line give its object back, but for steady fields that are
+    null in it. A null, blank, cut or foreign line, or one whose object names a field twice, is not
+    readable: its fields are null, and rescued is {"_line": the line}, null for a null line. value_type is
+    null on lines that tell none, expire_at null where none is told and 0 for never. Lines without
+    file_id have no approved paths. Empty tables give no rows.
+    """
+    t = ingested(lines)
+    rescued = F.when(F.col("readable"), _object(F.col("left"))).when(F.col("line").isNotNull(), F.to_json(F.create_map(F.lit("_line"), F.col("line"))))
+    replayed = _object(F.array_sort(F.transform("told", lambda x: F.struct(x.path.alias("path"), x.json.alias("json")))))
+    return t.select("file_id", "line_no", "readable", *STEADY, "value_type", "expire_at", replayed.alias("replayed"), rescued.alias("rescued"))
+
+
+def file_fields(table: DataFrame) -> DataFrame:
+    """What each file with readable SET lines has, off the ingested table: file_id, field, path and type; null where most of those lines show none."""
+    sets = table.filter("op = 'SET'")
+    lines = sets.groupBy("file_id").agg(F.count("*").alias("lines"))
+    by_type = sets.select("file_id", F.explode("told").alias("x")).groupBy("file_id", "x.field", "x.path", "x.type").agg(F.count("*").alias("n"))
     typed = F.max(F.when(F.col("type") != "null", F.struct("n", "type"))).getField("type")
     by_path = by_type.groupBy("file_id", "field", "path").agg(F.sum("n").alias("n"), typed.alias("type"))
     top = by_path.groupBy("file_id", "field").agg(F.sum("n").alias("with"), F.max(F.struct("n", "path", "type")).alias("x"))
@@ -136,9 +218,7 @@ def schema_changes(lines: DataFrame, files: DataFrame) -> DataFrame:
     passed over; files without a node, and lines of unknown files, are left out; a field seen only
     as null keeps its name but has no type, so it is never retyped. Empty tables give no rows.
     """
-    shown = durable(evidence(leaves(json_lines(lines))))
-    paths = small_side(approved_paths(shown))
-    has = file_fields(shown, paths)
+    has = file_fields(ingested(lines))
     wide = has.groupBy("file_id").agg(*[F.max(F.when(F.col("field") == f, F.struct("path", "type"))).alias(f) for f in ("valueType", "expireAt")])
     placed = wide.join(files.select("file_id", "nodeId", file_order().alias("o")), "file_id")
     ranked = durable(rank_in_key(placed, "nodeId", ["o"]).select("nodeId", "rank", "file_id", "valueType", "expireAt"))
@@ -153,28 +233,3 @@ def schema_changes(lines: DataFrame, files: DataFrame) -> DataFrame:
 
     both = F.concat(changes("valueType"), changes("expireAt"))
     return pairs.select("file_id", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select("file_id", "x.field", "x.change")
-
-
-def ingest(lines: DataFrame) -> DataFrame:
-    """All readable lines in one form: file_id, line_no, op, key, value, ts, value_type, expire_at, rescued.
-
-    ``rescued`` holds, as JSON, the fields that neither the target schema nor an approved path
-    explains and those whose value does not cast; null where nothing is left. value_type is null on
-    lines that tell none, expire_at null where none is told and 0 for never.
-    """
-    parsed = json_lines(lines)
-    found = leaves(parsed)
-    paths = small_side(approved_paths(durable(evidence(found))))
-    tagged = found.filter("path is not null").join(paths, "path", "left")
-    vt, ex = F.when(F.col("field") == "valueType", as_value_type()), F.when(F.col("field") == "expireAt", as_expiry())
-    left = F.col("field").isNull() | ((F.col("type") != "null") & vt.isNull() & ex.isNull())
-    told = tagged.groupBy("file_id", "line_no").agg(
-        F.max(vt).alias("value_type"),
-        F.max(F.when(F.col("field") == "expireAt", F.coalesce(ex, F.when(F.col("type") == "null", F.lit(0))))).alias("expire_at"),
-        F.array_sort(F.collect_list(F.when(left, F.struct(F.regexp_replace("path", _SEP, ".").alias("path"), F.expr("to_json(leaf)").alias("json"))))).alias("r"),
-    )
-    get = lambda c, t: F.expr(f"try_variant_get(fields['{c}'], '$', '{t}')").alias(c)
-    steady = parsed.select("file_id", "line_no", get("op", "string"), get("key", "string"), get("value", "string"), get("ts", "bigint"))
-    name = F.expr("transform(r, x -> concat(substring(to_json(map(x.path, 0)), 2, length(to_json(map(x.path, 0))) - 3), x.json))")
-    rescued = F.when(F.size("r") > 0, F.concat(F.lit("{"), F.array_join(name, ","), F.lit("}")))
-    return steady.join(told, ["file_id", "line_no"], "left").select("file_id", "line_no", "op", "key", "value", "ts", "value_type", "expire_at", rescued.alias("rescued"))

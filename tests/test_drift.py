@@ -2,7 +2,9 @@ import json
 import random
 from collections import Counter
 
-from keyloom.operators.drift import VALUE_TYPES, ingest, schema_changes
+import pytest
+
+from keyloom.operators.drift import STEADY, VALUE_TYPES, ingest, schema_changes
 
 LINES, FILES = "file_id long, line_no int, line string", "file_id long, nodeId string, file_name string"
 
@@ -70,36 +72,102 @@ def test_changes_are_found(spark):
     assert set(rows) == truth and len(rows) == len(set(rows))
 
 
-def test_ingest_types_rescues_and_keeps_every_readable_line(spark):
+def rebuilt(r):
+    """The object of a readable line, from the columns of its row; steady fields that are null are left out."""
+    o = {}
+    for part in (r["replayed"], r["rescued"]):
+        for path, v in json.loads(part or "{}").items():
+            names = [n.replace("~1", "/").replace("~0", "~") for n in path.split("/")]
+            at = o
+            for n in names[:-1]:
+                at = at.setdefault(n, {})
+            at[names[-1]] = v
+    for c in STEADY:
+        if c not in o and r[c] is not None:
+            o[c] = [i.asDict() for i in r[c]] if c == "items" else r[c]
+    return o
+
+
+def without_null_steady(o):
+    return {k: v for k, v in o.items() if v is not None or k not in STEADY}
+
+
+def test_every_line_can_be_rebuilt(spark):
     lines, _, _ = corpus(7)
+    odd = [
+        {"op": "MSET", "ts": "17", "items": [{"key": "a", "value": "b", "more": 1}, {"key": "c"}], "keys": None},
+        {"op": "MDEL", "ts": "soon", "keys": ["a", 5], "value": {"x": [1, {"y": 2}]}, "key": 9},
+        {"op": "SET", "ts": 5, "a/b": {"c~d": {"e": {"f": {"g": {"h": {"i": 1.5}}}}}}, "empty": {}, "none": None, "list": [{"z": {}}]},
+        {"op": 3, "ts": 1.25, "items": "text", "keys": {"k": 1}},
+    ]
+    lines = [*lines, *[(1000 + i, 1, json.dumps(o)) for i, o in enumerate(odd)], (None, 1, '{"op":"SET","valueType":"LIST"}'), (2000, 1, '{"a":1,"a":2}')]
     got = [r.asDict() for r in ingest(spark.createDataFrame(lines, LINES)).collect()]
-    readable = {}
+    assert len(got) == len(lines)
+    by = {(r["file_id"], r["line_no"]): r for r in got}
     for f, n, x in lines:
+        r = by[f, n]
         try:
-            o = json.loads(x)
+            o = json.loads(x, object_pairs_hook=lambda kv: dict(kv) if len(dict(kv)) == len(kv) else None)
         except (TypeError, ValueError):
-            continue
-        if isinstance(o, dict):
-            readable[f, n] = o
-    assert {(r["file_id"], r["line_no"]) for r in got} == set(readable)
+            o = None
+        assert r["readable"] == isinstance(o, dict)
+        if r["readable"]:
+            assert rebuilt(r) == without_null_steady(o)
+        else:
+            assert r["rescued"] is None if x is None else json.loads(r["rescued"]) == {"_line": x}
+            assert all(r[c] is None for c in (*STEADY, "value_type", "expire_at", "replayed"))
+    assert by[1000, 1]["ts"] == 17 and json.loads(by[1000, 1]["rescued"])["ts"] == "17"
+    assert by[1001, 1]["ts"] is None and json.loads(by[1001, 1]["rescued"])["ts"] == "soon"
+
+
+def test_ingest_types_what_it_replays(spark):
+    lines, _, _ = corpus(7)
+    got = [r.asDict() for r in ingest(spark.createDataFrame(lines, LINES)).collect() if r.readable]
     for r in got:
-        o = readable[r["file_id"], r["line_no"]]
-        assert r["op"] == o["op"] and r["ts"] == o["ts"]
         assert r["value_type"] in (None, *VALUE_TYPES)
         if r["op"] == "DEL":
             assert r["value_type"] is None and r["expire_at"] is None
-        if "crc" in o:
-            assert json.loads(r["rescued"])["crc"] == o["crc"]
     by = Counter(r["value_type"] for r in got if r["op"] == "SET")
     assert all(by[v] for v in VALUE_TYPES)
 
 
+def nested(path, v):
+    for p in reversed(path):
+        v = {p: v}
+    return v
+
+
+def changes_of(spark, files):
+    """Changes between files of one node, each a list of objects."""
+    lines = [(f, i, json.dumps(o)) for f, body in enumerate(files) for i, o in enumerate(body)]
+    names = [(f, "n", f"rotated-{f:03d}.jsonl") for f in range(len(files))]
+    return sorted(map(tuple, schema_changes(spark.createDataFrame(lines, LINES), spark.createDataFrame(names, FILES)).collect()))
+
+
+@pytest.mark.parametrize("deep", [4, 5, 6, 20, 40])
+def test_fields_in_many_objects_are_found(spark, deep):
+    path = [f"o{i}" for i in range(deep)]
+    body = lambda p: [{"op": "SET", "ts": i, "key": "k"} | nested(p, VALUE_TYPES[i % 4]) for i in range(6)]
+    assert changes_of(spark, [body(["valueType"]), body([*path, "valueType"])]) == [(1, "valueType", "renamed")]
+
+
+def test_one_name_may_stand_for_either_field(spark):
+    sets = lambda v: [{"op": "SET", "ts": 100 + i, "key": "k", "meta": v(i)} for i in range(6)]
+    named, expiry = sets(lambda i: VALUE_TYPES[i % 4]), sets(lambda i: 5000 + i if i else 0)
+    want = [(1, "expireAt", "added"), (1, "valueType", "removed")]
+    assert changes_of(spark, [named, expiry]) == want
+    assert changes_of(spark, [named, expiry, expiry, expiry, expiry]) == want
+    numbered = sets(lambda i: i % 4)
+    assert changes_of(spark, [numbered, expiry]) == want
+
+
 def test_empty_and_odd_inputs(spark):
     empty = schema_changes(spark.createDataFrame([], LINES + ", path string"), spark.createDataFrame([], FILES + ", rank int"))
     assert empty.collect() == [] and ingest(spark.createDataFrame([], LINES)).collect() == []
     lines = [(1, 1, '{"op":"SET","ts":1,"expireAt":0,"expireAt":5}'), (None, 1, '{"op":"SET","ts":1}'), (9, 1, "[" * 5000), (9, 2, '{"op":"SET","a":{}}')]
     got = schema_changes(spark.createDataFrame(lines, LINES), spark.createDataFrame([(1, "n", "active.jsonl"), (9, None, None)], FILES))
     assert got.collect() == []
+    assert ingest(spark.createDataFrame(lines, LINES)).count() == 4
 
 
 def test_iso_and_digit_expiries(spark):
