@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keyloom.operators.slices import cut_points, slice_at
 from keyloom.runtime import small_side
 
-#: There is a time slice of each scope for this many rows of the feed, so that a hot key spreads over as many tasks.
+#: There is a time slice for this many rows of the feed, so that a hot key spreads over as many tasks.
 SLICE_ROWS = 1_000_000
 _KINDS = {"SET": "W", "MSET": "W", "DEL": "D", "MDEL": "D", "MUPD": "U"}
 
@@ -40,9 +41,9 @@ def merged_changes(feed: DataFrame, scope: str = "nodeId") -> DataFrame:
 
 
 def scopes(feed: DataFrame, scope: str = "nodeId") -> DataFrame:
-    """For each scope: the highest time of any of its rows, the lowest, their number, and (ts, seq) of its last FLUSH, merged like any change."""
+    """For each scope: the highest time of any of its rows, their number, and (ts, seq) of its last FLUSH, merged like any change."""
     rows = feed.filter(F.col(scope).isNotNull() & F.col("ts").isNotNull()).select(F.col(scope).alias("scope"), "ts", "seq", "op", "line_id")
-    span = rows.groupBy("scope").agg(F.max("ts").alias("now"), F.min("ts").alias("start"), F.count("*").alias("rows"))
+    span = rows.groupBy("scope").agg(F.max("ts").alias("now"), F.count("*").alias("rows"))
     # copies without an op may be the earliest ones of a FLUSH
     marked = small_side(rows.filter((F.col("op") == "FLUSH") & F.col("seq").isNotNull()).select("scope", "seq").distinct())
     copies = rows.join(marked, ["scope", "seq"], "left_semi").groupBy("scope", "seq").agg(F.min("ts").alias("ts"), F.min_by("op", F.when(F.col("op").isNotNull(), F.col("line_id"))).alias("op"))
@@ -82,12 +83,13 @@ def current_entries(feed: DataFrame, scope: str = "nodeId", slices: int | None =
     slices = slices or (spans.agg(F.sum("rows")).first()[0] or 0) // SLICE_ROWS + 1
     changes = merged_changes(feed, scope).filter(F.col("op").isin(*_KINDS)).join(spans, "scope")
     later = changes.filter(F.col("flush").isNull() | (F.struct("ts", "seq") > F.col("flush")))
-    low = F.coalesce("flush.ts", "start")
+    # equal numbers of rows, whatever times a burst or a wrong clock gives them
+    cuts = cut_points(feed, ["ts", "seq"], slices)
     kind = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])[F.col("op")]
     ops = later.select(
         "scope",
         F.explode("touched").alias("key"),
-        F.floor((F.col("ts") - low) * slices / (F.col("now") - low + 1)).alias("slice"),
+        slice_at(["ts", "seq"], cuts).alias("slice"),
         "ts",
         "seq",
         kind.alias("kind"),

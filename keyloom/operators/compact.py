@@ -39,7 +39,7 @@ def compact_segment(log: DataFrame) -> DataFrame:
     """
     b = bounds(log)
     rest = log if b.flush is None else log.filter(F.col("seq") > b.flush)
-    ops = explode_ops(rest).filter("kind <> 'R'").withColumn("slice", slice_of(b, None)).withColumn("at", F.col("ts"))
+    ops = explode_ops(rest).filter("kind <> 'R'").withColumn("slice", slice_of(rest, b, None)).withColumn("at", F.col("ts"))
     part = replay(ops, ["key", "slice"], ["seq", "pos"], ["value", "ts", "seq"])
     ends = replay(part.withColumnRenamed("seq", "last"), ["key"], ["slice"], ["value", "ts", "last"])
     op = F.when(F.col("kind") == "W", "SET").when(F.col("kind") == "D", "DEL").otherwise("MUPD")

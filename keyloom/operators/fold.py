@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.exprs import live, value_type
 from keyloom.operators.changes import replay
+from keyloom.operators.slices import cut_points, search, slice_at
 from keyloom.runtime import small_side
 
 #: A log is cut into slices of about this many operations; a key's run in a slice is no longer, so hot keys spread over tasks.
 SLICE_OPS = 500_000
-#: Buckets of the log that know the truncations before them.
-BUCKETS = 1024
+#: Truncations of a stretch of the log that knows how many came before it.
+FLUSHES = 1024
 STATE = "key string, value string, value_type string, expire_at bigint, created_at bigint"
 
 
@@ -39,11 +40,9 @@ def bounds(log: DataFrame):
     return log.agg(F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.max(F.when(F.col("op") == "FLUSH", F.col("seq"))).alias("flush")).first()
 
 
-def slice_of(b, slices: int | None) -> Column:
-    """The slice of a row by its seq, for a log of bounds ``b``."""
-    slices = slices or b.n // SLICE_OPS + 1
-    low, high = b.low or 0, b.high or 0
-    return F.floor((F.col("seq") - F.lit(low)) / max(1, (high - low) // slices + 1))
+def slice_of(log: DataFrame, b, slices: int | None) -> Column:
+    """The slice of a row by its seq; the slices of ``log``, of bounds ``b``, hold about as many operations each."""
+    return slice_at(["seq"], cut_points(log, ["seq"], slices or b.n // SLICE_OPS + 1))
 
 
 def fold(log: DataFrame, now: int, slices: int | None = None) -> DataFrame:
@@ -52,26 +51,41 @@ def fold(log: DataFrame, now: int, slices: int | None = None) -> DataFrame:
     An empty log gives no rows; extra columns of the log are not read. The type is inferred from the value.
     """
     b = bounds(log)
-    ops = explode_ops(log if b.flush is None else log.filter(F.col("seq") > b.flush)).filter("kind <> 'R'")
-    sliced = ops.withColumn("slice", slice_of(b, slices)).withColumn("at", F.col("ts"))
+    later = log if b.flush is None else log.filter(F.col("seq") > b.flush)
+    ops = explode_ops(later).filter("kind <> 'R'")
+    sliced = ops.withColumn("slice", slice_of(later, b, slices)).withColumn("at", F.col("ts"))
     part = replay(sliced, ["key", "slice"], ["seq", "pos"], ["value", "ts"])
     ends = replay(part, ["key"], ["slice"], ["value", "ts"]).filter("kind = 'W'")
     return ends.filter(live("exp", now)).select("key", "value", value_type("value").alias("value_type"), F.col("exp").alias("expire_at"), F.col("ts").alias("created_at"))
 
 
+def count_before(rows: DataFrame, marks: DataFrame, name: str, at: str = "seq") -> DataFrame:
+    """``rows`` with ``name``, the number of ``marks`` (a column m, no nulls) below the row's ``at``.
+
+    The marks are kept in stretches that know the number of marks before them; a row finds its stretch,
+    and its place there, by binary search.
+    """
+    n = marks.count()
+    if not n:
+        return rows.withColumn(name, F.lit(0).cast("bigint"))
+    cuts = cut_points(marks, ["m"], n // FLUSHES + 1)
+    held = marks.groupBy(slice_at(["m"], cuts).alias("__s")).agg(F.sort_array(F.collect_list("m")).alias("__m"))
+    every = rows.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("__s")).join(held, "__s", "left")
+    every = every.withColumn("__m", F.coalesce("__m", F.array().cast(dict(held.dtypes)["__m"]))).withColumn("__n", F.size("__m"))
+    # a row for each stretch, SLICES at most
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(F.lit(0)).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    known = small_side(every.withColumn("__b", before))
+    most = known.agg(F.max("__n")).first()[0]
+    found = rows.withColumn("__s", slice_at([at], cuts)).join(known, "__s")
+    inside = search(F.col("__m"), F.col("__n"), F.col(at), most, lambda a, b: a < b)
+    return found.withColumn(name, F.col("__b") + inside).drop("__s", "__m", "__n", "__b")
+
+
 def with_epoch(rows: DataFrame, log: DataFrame, b) -> DataFrame:
-    """``rows`` with epoch, the number of FLUSHes before their seq, by buckets of the log (of bounds ``b``)."""
+    """``rows`` with epoch, the number of FLUSHes of ``log`` (of bounds ``b``) before their seq."""
     if b.flush is None:
         return rows.withColumn("epoch", F.lit(0).cast("bigint"))
-    low = b.low or 0
-    bucket = F.floor((F.col("seq") - F.lit(low)) / max(1, ((b.high or 0) - low) // BUCKETS + 1))
-    flushes = log.filter("op = 'FLUSH'").groupBy(bucket.alias("bucket")).agg(F.sort_array(F.collect_list("seq")).alias("at"))
-    every = rows.sparkSession.range(BUCKETS + 1).select(F.col("id").alias("bucket")).join(flushes, "bucket", "left")
-    # BUCKETS rows in all
-    before = F.coalesce(F.sum(F.coalesce(F.size("at"), F.lit(0))).over(W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    known = small_side(every.withColumn("at", F.coalesce("at", F.array().cast("array<bigint>"))).select("bucket", "at", before.alias("before")))
-    inside = F.size(F.filter("at", lambda f: f < F.col("seq")))
-    return rows.withColumn("bucket", bucket).join(known, "bucket").withColumn("epoch", F.col("before") + inside).drop("bucket", "at", "before")
+    return count_before(rows, log.filter("op = 'FLUSH'").select(F.col("seq").alias("m")), "epoch")
 
 
 def _running(ops: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -100,7 +114,7 @@ def replies(log: DataFrame, slices: int | None = None) -> DataFrame:
     """
     b = bounds(log)
     slices = slices or b.n // SLICE_OPS + 1
-    ops = with_epoch(explode_ops(log), log, b).withColumn("slice", slice_of(b, slices)).withColumn("at", F.col("ts"))
+    ops = with_epoch(explode_ops(log), log, b).withColumn("slice", slice_of(log, b, slices)).withColumn("at", F.col("ts"))
     by, order = ["key", "epoch", "slice"], [F.col("seq").asc_nulls_first(), F.col("pos")]
     if slices > 1:
         part = replay(ops.filter("kind <> 'R'"), by, ["seq", "pos"], ["value"])

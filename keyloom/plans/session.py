@@ -15,6 +15,7 @@ from keyloom.functions.exprs import META_KEY, apply_prefix, expire_at, glob_matc
 from keyloom.functions.protocol import parse, to_wire
 from keyloom.operators import collections as C
 from keyloom.operators.fold import fold, replies
+from keyloom.operators.slices import cut_points, slice_at
 from keyloom.runtime import durable
 
 #: Most KEYS and COLLECTION commands of one script; each costs a fold.
@@ -29,12 +30,13 @@ _NOT_INT = "value is not an integer or out of range"
 
 def last_before(df: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
     """``df`` with the last non-null value of its key on earlier rows; hot keys are cut into slices."""
-    b = df.agg(F.min(order).alias("a"), F.max(order).alias("z"), F.count("*").alias("n")).first()
-    width = max(1, ((b.z or 0) - (b.a or 0)) // (b.n // SLICE_LINES + 1) + 1)
-    sliced = df.withColumn("__v", value).withColumn("__s", F.floor((F.col(order) - F.lit(b.a or 0)) / width))
+    cuts = cut_points(df, [order], df.count() // SLICE_LINES + 1)
+    sliced = df.withColumn("__v", value).withColumn("__s", slice_at([order], cuts))
+    inside = F.last("__v", ignorenulls=True).over(W.partitionBy(key, "__s").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    if not cuts:
+        return sliced.withColumn(name, inside).drop("__v", "__s")
     ends = sliced.groupBy(key, "__s").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(order))).alias("__e"))
     carried = ends.select(key, "__s", F.last("__e", ignorenulls=True).over(W.partitionBy(key).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)).alias("__c"))
-    inside = F.last("__v", ignorenulls=True).over(W.partitionBy(key, "__s").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
     return sliced.withColumn("__i", inside).join(carried, [key, "__s"]).withColumn(name, F.coalesce("__i", "__c")).drop("__v", "__s", "__i", "__c")
 
 

@@ -48,7 +48,7 @@ class Store:
         replies, writes = execute(script, self.leader, base)
         replies, writes = durable(replies), durable(writes)
         if not writes.isEmpty():
-            append_log(writes.withColumn("valueType", F.lit("STRING")), self.path, files=1 if not isinstance(lines, DataFrame) else 8)
+            append_log(writes.withColumn("valueType", F.lit("STRING")), self.path)
         return replies.withColumn("seq", F.col("seq") - high - 1)
 
     def state(self, now: int | None = None) -> DataFrame:

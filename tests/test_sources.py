@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from keyloom.operators.fold import fold
+from keyloom.operators.fold import bounds, fold, slice_of
 from keyloom.sources.oplog import append_log, cluster_links, decode, lines_of, read_cluster, read_log
 from keyloom.streaming.replica import current, follow
 from tests.logs import LOG, random_log, sequential
@@ -36,12 +36,30 @@ def test_flush_between_files(spark, tmp_path):
 def test_append_and_read_back(spark, tmp_path):
     log = random_log(5, n=200, reads=False)
     df = spark.createDataFrame(log, LOG).withColumn("valueType", F.lit("STRING"))
-    append_log(df.filter("seq < 120"), str(tmp_path), gzip=True, files=3)
-    append_log(df.filter("seq >= 120"), str(tmp_path), files=2)
+    assert append_log(df.filter("seq < 0"), str(tmp_path)) == 0
+    first = append_log(df.filter("seq < 120"), str(tmp_path), gzip=True, rotate=3000)
+    size = lines_of(df.filter("seq < 120")).agg(F.sum(F.length("value") + 1)).first()[0]
+    assert first == -(-size // 3000) > 1  # files by size
+    assert append_log(df.filter("seq >= 120"), str(tmp_path)) == first + 1
     back = read_log(spark, str(tmp_path))
     assert [r.ts for r in back.orderBy("seq").collect()] == [r[1] for r in log]
     now = log[-1][1]
     assert state(back, now) == {k: v[0] for k, v in sequential(log, now)[0].items()}
+    assert read_log(spark, str(tmp_path), behind=first - 1).count() == 80 and read_log(spark, str(tmp_path), behind=first).count() == 0
+
+
+def test_slices_of_a_log_read_back_are_even(spark, tmp_path):
+    df = spark.range(20_000).selectExpr("id as seq", "id as ts", "'SET' as op", "'k' as key", "'v' as value", "'STRING' as valueType", "0L as expireAt", "cast(null as array<struct<key:string,value:string>>) as items", "cast(null as array<string>) as keys")
+    append_log(df, str(tmp_path), rotate=400_000)
+    back = read_log(spark, str(tmp_path))
+    n = [r.n for r in back.groupBy(slice_of(back, bounds(back), 100).alias("s")).agg(F.count("*").alias("n")).collect()]
+    assert len(n) == 100 and max(n) < 3 * 200
+
+
+def test_files_without_numbers_go_by_name(spark, tmp_path):
+    for name, ts in (("b-2.jsonl", 2), ("b-10.jsonl", 3), ("a.jsonl", 1), ("active.jsonl", 4)):
+        (tmp_path / name).write_text(f'{{"op":"DEL","key":"k","ts":{ts}}}\n')
+    assert [r.ts for r in read_log(spark, str(tmp_path)).orderBy("seq").collect()] == [1, 2, 3, 4]
 
 
 def test_lines_have_their_own_fields(spark):
