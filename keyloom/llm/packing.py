@@ -1,9 +1,10 @@
 """Filling containers of a fixed capacity with documents measured in tokens.
 
 A grouping genetic algorithm after Falkenauer: a solution is a list of bins, not of items. Crossover
-injects whole, well-filled bins of one parent into the other, drops the bins that then hold an item
-twice, and puts the displaced documents back, largest first, where they fit best; mutation empties a
-few badly filled bins in the same way. Fitness is the mean of (fill / capacity)^2.
+injects whole, well-filled bins of one parent into the other and drops the bins that then hold an item
+twice; mutation empties badly filled bins. The displaced documents are put back by local search: new
+bins are made of them that are full by a subset sum, so that no other filling dominates them, and the
+rest goes, largest first, where it fits best. Fitness is the mean of (fill / capacity)^2.
 
 Documents are dealt at random into regions of about ``REGION`` documents, whose size does not depend
 on the data. Each region is evolved by several islands with populations of their own, all in parallel;
@@ -32,11 +33,15 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level vocabulary's public tokenizer cuts a text into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents of a region, islands of a region, epochs between migrations.
-REGION, ISLANDS, EPOCHS = 400, 3, 2
+REGION, ISLANDS, EPOCHS = 5000, 3, 2
 #: Solutions of an island and children born in an epoch.
-POPULATION, CHILDREN = 6, 12
+POPULATION, CHILDREN = 6, 24
+#: Documents among which a subset sum is looked for.
+POOL = 40
+#: Most tasks of an epoch for each core of the session.
+TASKS = 16
 #: Bins filled less than this are opened and packed again; how often.
-REOPEN, ROUNDS = 0.995, 3
+REOPEN, ROUNDS = 0.999, 2
 
 Bin = tuple[int, tuple[int, ...]]  # fill, items
 
@@ -63,8 +68,40 @@ def fitness(bins: Sequence[Bin], capacity: int) -> float:
     return sum((fill / capacity) ** 2 for fill, _ in bins) / max(1, len(bins))
 
 
+def _subset(sizes: Sequence[int], room: int) -> list[int]:
+    """Places of the sizes whose sum comes closest to ``room`` from below. Bit n of a number stands for the sum n."""
+    mask, sums = (1 << (room + 1)) - 1, [1]
+    for x in sizes:
+        sums.append((sums[-1] | (sums[-1] << x)) & mask)
+        if sums[-1] >> room:
+            break
+    left, some = sums[-1].bit_length() - 1, []
+    for k in range(len(sums) - 2, -1, -1):
+        if not sums[k] >> left & 1:
+            some.append(k)
+            left -= sizes[k]
+    return some
+
+
+def refill(bins: list[Bin], loose: Sequence[int], sizes: Sequence[int], capacity: int, rnd: random.Random) -> list[Bin]:
+    """``bins`` and the loose items: full bins are made of them by subset sums, what is left over is best-fitted."""
+    wait = sorted((i for i in loose if sizes[i]), key=lambda i: (sizes[i], i))
+    rest = [i for i in loose if not sizes[i]]
+    made = list(bins)
+    while wait:
+        first = wait.pop()
+        room = capacity - sizes[first]
+        at = rnd.sample(range(len(wait)), min(POOL, len(wait)))
+        chosen = sorted((at[k] for k in _subset([sizes[wait[k]] for k in at], room)), reverse=True)
+        if sum(sizes[wait[k]] for k in chosen) == room:
+            made.append((capacity, (first, *[wait.pop(k) for k in chosen])))
+        else:
+            rest.append(first)
+    return _best_fit(made, rest, sizes, capacity)
+
+
 def crossover(one: list[Bin], other: list[Bin], sizes: Sequence[int], capacity: int, rnd: random.Random) -> list[Bin]:
-    """``one`` with whole bins of ``other``: some of its fullest, none sharing an item with another injected one."""
+    """``one`` with whole bins of ``other``: some of its fullest; bins that share an item with them, and a few bad ones, are taken apart."""
     ranked = sorted(other, key=lambda b: -b[0])
     some = ranked[: max(1, len(ranked) // 2)]
     injected = rnd.sample(some, max(1, len(some) // 2))
@@ -75,14 +112,14 @@ def crossover(one: list[Bin], other: list[Bin], sizes: Sequence[int], capacity:
             kept.append(b)
         else:
             loose += [i for i in b[1] if i not in taken]
-    return _best_fit(kept, loose, sizes, capacity)
+    return refill(kept, loose, sizes, capacity, rnd)
 
 
 def mutate(bins: list[Bin], sizes: Sequence[int], capacity: int, rnd: random.Random) -> list[Bin]:
-    """Empty the worst bin and a few others, and put their items back."""
-    order = sorted(range(len(bins)), key=lambda k: bins[k][0])
-    out = {order[0], *rnd.sample(range(len(bins)), min(len(bins), 3))}
-    return _best_fit([b for k, b in enumerate(bins) if k not in out], [i for k in out for i in bins[k][1]], sizes, capacity)
+    """Empty all bins that are not full and as many full ones, and put their items back."""
+    bad = [k for k, (fill, _) in enumerate(bins) if fill < capacity]
+    out = {*bad, *rnd.sample(range(len(bins)), min(len(bins), len(bad) + 2))}
+    return refill([b for k, b in enumerate(bins) if k not in out], [i for k in sorted(out) for i in bins[k][1]], sizes, capacity, rnd)
 
 
 def _start(sizes: Sequence[int], capacity: int, rnd: random.Random, plain: bool) -> list[Bin]:
@@ -98,12 +135,12 @@ def _start(sizes: Sequence[int], capacity: int, rnd: random.Random, plain: bool)
 
 
 def evolve(sizes: Sequence[int], population: list[list[Bin]], capacity: int, children: int, rnd: random.Random) -> list[list[Bin]]:
-    """The population after so many births, best first; stops where no solution can have fewer bins and be fuller."""
+    """The population after so many births, best first; stops where no solution can have fewer bins."""
     least = -(-sum(sizes) // capacity)
     pool = sorted(population, key=lambda b: -fitness(b, capacity))
     for _ in range(children):
         best = pool[0]
-        if len(best) <= max(1, least) and sum(fill >= REOPEN * capacity for fill, _ in best) >= len(best) - 1:
+        if len(best) <= max(1, least):
             break
         a, b = (min(rnd.sample(range(len(pool)), min(2, len(pool)))) for _ in "ab")
         child = crossover(pool[a], pool[b], sizes, capacity, rnd)
@@ -149,9 +186,12 @@ def pack_items(items: DataFrame, capacity: int, region: int = REGION, islands: i
     # a region's size is bounded by the random deal, whatever the documents are
     tasks = dealt.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("rid", "size"))).alias("x")).select("region", F.col("x.rid").alias("ids"), F.col("x.size").alias("sizes"))
     tasks = durable(tasks)
+    slots = min(regions * islands, TASKS * items.sparkSession.sparkContext.defaultParallelism)
     state = tasks.select("region", "sizes", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.lit(None).cast("binary").alias("pop"), F.lit(None).cast("binary").alias("guest"))
     for e in range(epochs):
-        bred = state.repartition("region", "island").mapInPandas(lambda f, e=e: _epoch(f, capacity, population, children, e), _STATE)
+        # a task for each island while there are no more than the cores can take at once a few times over
+        slot = F.pmod(F.col("region") * islands + F.col("island"), F.lit(slots)).cast("int")
+        bred = state.repartitionById(slots, slot).mapInPandas(lambda f, e=e: _epoch(f, capacity, population, children, e), _STATE)
         bred = durable(bred)
         if e < epochs - 1:
             migrants = bred.select("region", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), "guest")

@@ -1,5 +1,6 @@
 import os
 import random
+from itertools import product
 
 import pytest
 
@@ -75,9 +76,38 @@ def test_documents_are_whole_unless_too_long(spark):
         assert [r.part for r in rows] == list(range(len(rows))) and sum(r.tokens for r in rows) == counts[d]
         assert len(rows) == max(1, -(-counts[d] // 1000)) and [r.first_token for r in rows] == [1000 * i for i in range(len(rows))]
     assert by[501][0].tokens == by[502][0].tokens == 0
-    # packing in regions costs at most a container a region over best fit of everything at once
     sizes = [r.tokens for r in out]
-    assert len(loads) <= len(P._best_fit([], range(len(sizes)), sizes, 1000)) + 2
+    assert len(loads) <= len(P._best_fit([], range(len(sizes)), sizes, 1000))
+
+
+def test_subset_sums_equal_brute_force():
+    rnd = random.Random(2)
+    for _ in range(200):
+        sizes, room = [rnd.randint(1, 30) for _ in range(rnd.randint(0, 8))], rnd.randint(0, 60)
+        best = max(t for c in product([0, 1], repeat=len(sizes)) if (t := sum(x for x, y in zip(sizes, c) if y)) <= room)
+        some = P._subset(sizes, room)
+        assert len(set(some)) == len(some) and sum(sizes[k] for k in some) == best
+
+
+def test_evolution_beats_best_fit_on_many_items():
+    rnd = random.Random(4)
+    sizes = [min(4096, int(rnd.lognormvariate(6.8, 0.8))) for _ in range(3000)]
+    first = [P._start(sizes, 4096, rnd, k == 0) for k in range(3)]
+    best = P.evolve(sizes, first, 4096, P.CHILDREN, rnd)[0]
+    valid(best, sizes, 4096)
+    assert len(best) < len(first[0]) and len(best) <= -(-sum(sizes) // 4096) + 1
+
+
+@needs_vocabulary
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_fewer_containers_than_best_fit_of_everything(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    n = P.fill_containers(docs).select("container").distinct().count()
+    tokens = [r.tokens for r in P.token_counts(docs).collect()]
+    rest = [x % P.CAPACITY if x > P.CAPACITY else x for x in tokens if x <= P.CAPACITY or x % P.CAPACITY]
+    full = sum(x // P.CAPACITY for x in tokens if x > P.CAPACITY)
+    best_fit = len(P._best_fit([], range(len(rest)), rest, P.CAPACITY))
+    assert -(-sum(tokens) // P.CAPACITY) <= n < best_fit + full
 
 
 @needs_vocabulary
