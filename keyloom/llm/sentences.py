@@ -1,21 +1,21 @@
 """Sentence boundaries in prose with typesetting markup, for many languages and scripts.
 
-The boundary rules form a finite transducer over lexical tokens, in two coupled parts:
+A text is read in two coupled parts:
 
 * the markup part knows where prose is: before, in or after the document body, in mathematics,
-  in a figure, in a switched-off block, or so deep in an argument that is skipped;
-* the sentence part works on prose only: whether a sentence is open, which kind of end mark is
-  pending, and which quotation or bracket is open. The positions of the pending mark and of the last
-  character of prose are registers that it only copies.
-
-A pending mark is confirmed or dropped by the class of what follows it. Documents beyond
-``CHUNK`` characters are cut; each chunk becomes a state-transition function (from every markup state
-to the state behind the chunk), the functions are composed by a parallel prefix scan, and every chunk
-then emits its boundaries from its true start state.
+  in a figure, in a switched-off block, or so deep in an argument that is skipped. It turns prose into
+  the symbols of a small alphabet, whatever the sentence part's state;
+* the sentence part is a finite transducer over these symbols, compiled into a table (``transducer``).
+
+Documents beyond ``CHUNK`` characters are cut at line ends; each chunk becomes a state-transition function
+(from every markup and sentence state to those behind the chunk). The functions are composed by a
+prefix scan: blocks of neighbours bottom-up, all blocks of a level in parallel, then the states before
+each block top-down; at last every chunk emits its boundaries from its true start state.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -25,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm import transducer as T
+from keyloom.llm.transducer import Config, Function
 from keyloom.runtime import durable, spread
 
-#: Longest text, in characters, that one step reads from start to end.
+#: Characters after which a text is cut, at the next place where no token can stand across the cut.
 CHUNK = 1 << 16
-#: What a chunk sees of the next one.
-AHEAD = 64
+#: What a chunk sees of the next one and of the one before.
+AHEAD, BEHIND = 64, 32
+#: Neighbours that one task of the scan composes.
+FAN = 16
 
 # Abbreviations, without their last full stop.
 #: They never end a sentence while text follows.
@@ -63,7 +67,7 @@ TOKEN = re.compile(
     |(\r?\n[ \t\r]*\n[ \t\r\n]*)                          # 2 paragraph
     |(\r?\n|\r)                                           # 3 line end
     |(\.\.\.+|…+|[.!?]+|[。．｡？！।॥؟۔]+)                 # 4 mark
-    |(\\(?:[a-zA-Z@]+\*?|.|$))                            # 5 command
+    |(\\(?:[a-zA-Z@]+\*?|.|\Z))                           # 5 command
     |(\$\$|\$(?:[^$\\\n]|\\[^\n])*\$|\$)                  # 6 dollar
     |(%[^\n]*)                                            # 7 comment
     |([{{}}])                                             # 8 brace
@@ -80,7 +84,9 @@ _PAREN_MATH = re.compile(r"(?:[^\\\n]|\\[^)\n])*\\\)")
 _NAME = re.compile(r"\\[a-zA-Z@]+|\{\\[a-zA-Z@]+\}")
 _THAI_GAP = re.compile("(?<=[\u0e00-\u0e7f])[ \t]+(?=[\u0e00-\u0e7f])")
 _BEFORE = re.compile(r"(?:^|(?<=[\s~(\[{«“„‘’'`\"（「\\,;/–—-]))((?:[^\W\d_]|[\u0900-\u097f])(?:[^\W\d_]|[\u0900-\u097f]|[.-](?=\w))*|\d{1,2})$")
-_NEVER, _MAYBE = frozenset(NEVER), frozenset(MAYBE)
+_NEVER, _MAYBE, _MONTHS = frozenset(NEVER), frozenset(MAYBE), tuple(MONTHS)
+#: A line end behind which a line begins; what may begin a token that goes on over blanks; a blank between two words; Thai.
+_CUT, _SPECIAL, _BLANK, _THAI = re.compile(r"\n(?![\r\n \t])"), re.compile(r"[\\%${}\[]"), re.compile(r"(?<=\w) (?=\w)"), re.compile("[\u0e00-\u0e7f]")
 #: In each state outside prose, the characters that can matter there.
 _JUMP = {**dict.fromkeys(("pre", "display", "float", "off", "iffalse", "bracket"), re.compile(r"[\\%]")), **dict.fromkeys(("aside", "heading"), re.compile(r"[\\%{}]")), **dict.fromkeys(("dollar", "paren"), re.compile(r"[\\%$\r\n]"))}
 _BEGIN = re.compile(r"^[^%\n]*?\\begin\{document\}", re.M)
@@ -90,98 +96,103 @@ _DO |= {"item": "item", "begin": "begin", "end": "end", "bibliography": "stop",
 
 
 class Markup(NamedTuple):
-    """Where the reader is: pre, body, stop; display, float, off (an environment), dollar, paren, bracket (mathematics), iffalse, aside, heading, wait (an argument is due)."""
+    """Where the reader is: pre, body, stop; display, float, off (an environment), dollar, dollars, paren, bracket (mathematics), iffalse, aside, heading (with a depth), wait-aside, wait-heading (an argument is due)."""
 
     mode: str = "body"
     depth: int = 0
 
 
-class Sentence(NamedTuple):
-    """The sentence part's state; last and pend_at are registers (-1 and -2: as they were before this chunk)."""
-
-    open: bool = False
-    pend: str = ""
-    near: bool = False
-    quote: str = ""
-    headed: bool = False
-    bracket: int = 0
-    thai: bool = False
-    last: int = 0
-    pend_at: int = 0
-
-
-#: What a chunk does to the sentence state: nothing; lead to one state; or a table of states.
-SAME, CONST, TABLE = "same", "const", "table"
-DEPTHS = 6
-#: All markup states; a chunk's function is a table over these.
-MARKUP = [Markup(m) for m in ("pre", "body", "stop", "display", "float", "off", "dollar", "paren", "bracket")] + [Markup(m, d) for m in ("iffalse", "aside", "heading") for d in range(1, DEPTHS + 1)] + [Markup(m) for m in ("wait-aside", "wait-heading")]
-
-
-def sentence_states() -> list[Sentence]:
-    """All sentence states of a chunk's start, registers unknown."""
-    pends = [("", False), *[(p, n) for p in "ABNDEFTOQ" for n in (False, True)]]
-    return [Sentence(o, p, n, q, h, b, t, -1, -2) for o in (False, True) for p, n in pends for q, h in [("", False), *[(q, h) for q in "g\"„" for h in (False, True)]] for b in (0, 1, 2) for t in (False, True)]
+#: Markup states without a depth, and those with one, of which there are as many as a text has depths.
+FLAT = ("pre", "body", "stop", "display", "float", "off", "dollar", "dollars", "paren", "bracket", "wait-aside", "wait-heading")
+NESTED = ("iffalse", "aside", "heading")
 
 
 def _class(c: str) -> str:
-    if "\u0e00" <= c <= "\u0e7f":
+    if "฀" <= c <= "๿":
         return "thai"
     if c.isalpha():
         return "low" if c.islower() else "up" if c.isupper() or c.istitle() else "plain"
-    return "digit" if c.isdigit() else "plain" if "\u0900" <= c <= "\u097f" else "punct"
-
-
-def _ends(pend: str, cls: str, word: str) -> bool:
-    """Whether a pending mark of this kind ends the sentence before a token of this class."""
-    if pend == "E":
-        return True
-    if pend == "A":
-        return cls not in ("low", "punct")
-    if pend == "O":
-        return cls not in ("low", "punct") and not word.startswith(tuple(MONTHS))
-    if pend in ("B", "D"):  # scripts without case go on behind a quoted sentence
-        return cls in ("up", "digit", "sign", "macro")
-    if pend == "T":
-        return cls == "thai"
-    return pend == "F" and cls == "up"
-
-
-def run(text: str, start: int, stop: int, base: int, markup: Markup, s: Sentence, out: list[int] | None, seen: set | None = None, known: set | None = None) -> tuple[Markup, Sentence, str] | None:
-    """Read text[start:stop]; positions are 1-based and ``base`` is what text[0] lacks to its place in the document.
-
-    Appends ends to ``out`` and tells the states behind, and what they owe to the sentence state at the start:
-    ``CONST``, nothing, as a paragraph, list item or block ended; ``SAME``, all, as no prose was read;
-    ``TABLE``, something. Places of such ends, with the markup
-    state there, are put into ``seen``; at one that is in ``known`` the reading stops, with None, as what
-    follows is what followed there.
+    return "digit" if c.isdigit() else "plain" if "ऀ" <= c <= "ॿ" else "punct"
+
+
+def _unit(text: str, at: int) -> bool:
+    """Whether a single capital letter at this place is the unit of a number."""
+    before = text[max(0, at - 2) : at]
+    return len(before) == 2 and before[1] == "~" and (before[0].isdigit() or before[0] == "%")
+
+
+def _mark(text: str, at: int, skip: int) -> tuple:
+    """The symbol of the end marks text[at:skip]."""
+    marks, nxt = text[at:skip], text[skip : skip + 1]
+    if marks == "." and (nxt.isalnum() or "ऀ" <= nxt <= "ॿ"):
+        return T.JOIN
+    if marks == "．" and nxt.isdigit() and text[at - 1 : at].isdigit():
+        return T.WIDE
+    if marks[0] == "…" or marks.startswith(".."):
+        kind = "F"
+    elif marks[0] in "。．｡？！।॥؟۔":
+        kind = "E"
+    elif marks == "." and nxt == "~":  # a tie keeps what stands on its sides together
+        kind = "N"
+    else:
+        kind = "A"
+        if marks == "." and (b := _BEFORE.search(text, max(0, at - 16), at)):
+            w = b.group(1)
+            if w in _NEVER or (len(w) == 1 and w.isupper() and not _unit(text, b.start(1))):
+                kind = "N"
+            elif w in _MAYBE:
+                kind = "B"
+            elif w.isdigit():
+                kind = "O"
+    return T.mark(kind, marks[-1] in ".…")
+
+
+def _ahead(text: str, skip: int) -> str:
+    """The class of what an opener stands before."""
+    rest = text[skip : skip + AHEAD].lstrip(" \t\n\r~“„«「『(（[`\"'")
+    return _class(rest[0]) if rest else "sign"
+
+
+def lex(text: str, start: int, stop: int, base: int, markup: Markup, more: bool, end: list, seen: dict | None = None, known: dict | None = None) -> Iterator[tuple]:
+    """The (symbol, place) pairs of text[start:stop]; places are 1-based, and ``base`` is what text[0] lacks to its place in the document.
+
+    ``more``: whether a $$ comes behind ``stop``. The markup state behind is put into ``end``. Into
+    ``seen`` go the places where a token of the body begins, with the number of symbols before them; at
+    such a place in ``known`` the reading stops, and the place is put into ``end``.
     """
     mode, depth = markup
-    open_, pend, near, quote, headed, bracket, thai, last, pend_at = s
-    emit = out.append if out is not None else (lambda _: None)
-    owes = SAME
-    skip = start
     match = TOKEN.match
-    size = stop
+    skip, size, count = start, stop, 0
     while skip < size:
-        if mode in _JUMP:
+        if mode == "body":
+            if seen is not None:
+                seen.setdefault(skip, count)
+            elif known is not None and skip in known:
+                end.append(skip)
+                return
+        elif mode in _JUMP:
             j = _JUMP[mode].search(text, skip, size)
             if not j:
                 break
             skip = j.start()
-        elif mode == "body" and owes == SAME:
-            owes = TABLE
+        elif mode == "dollars":
+            # a display between double dollars ends at the next pair
+            close = text.find("$$", skip, size)
+            if close < 0:
+                break
+            mode, skip = "body", close + 2
+            continue
+        elif mode == "stop":
+            break
         m = match(text, skip, size)
         if m is None:  # no token starts here only if the pattern lacks a character
             skip += 1
             continue
         kind, at, skip = m.lastindex, skip, m.end()
-        # ---- markup part -------------------------------------------------------------------
-        cls, word, end = "", "", skip
+        # ---- outside prose -----------------------------------------------------------------
         if kind == 7:
             continue
         if mode != "body":
-            if mode == "stop":
-                break
             if mode.startswith("wait-"):
                 if kind == 8 and text[at] == "{":
                     mode, depth = mode[5:], 1
@@ -189,7 +200,6 @@ def run(text: str, start: int, stop: int, base: int, markup: Markup, s: Sentence
                 if kind == 3 or (kind == 1 and text[at:skip].isspace()):
                     continue
                 mode = "body"  # no argument came; the token is read as prose below
-                owes = owes if owes == CONST else TABLE
         if mode != "body":
             if kind == 5:
                 name = text[at + 1 : skip].rstrip("*")
@@ -201,54 +211,69 @@ def run(text: str, start: int, stop: int, base: int, markup: Markup, s: Sentence
                         mode, skip = "body", e.end()
                 elif mode == "iffalse":
                     if name.startswith("if"):
-                        depth = min(depth + 1, DEPTHS)
+                        depth += 1
                     elif name == "fi" or (name == "else" and depth == 1):
                         depth -= 1
                         mode = mode if depth else "body"
-                elif (mode == "paren" and name == ")") or (mode == "bracket" and name == "]"):
-                    if mode == "paren":
-                        last, owes = base + skip, owes if owes == CONST else TABLE
+                elif mode == "paren" and name == ")":
+                    mode = "body"
+                    yield T.HERE, base + skip
+                    count += 1
+                elif mode == "bracket" and name == "]":
                     mode = "body"
             elif kind == 6 and mode == "dollar":
-                mode, last, owes = "body", base + skip, owes if owes == CONST else TABLE
+                mode = "body"
+                yield T.HERE, base + skip
+                count += 1
             elif kind == 8 and mode in ("aside", "heading"):
-                depth = min(depth + (1 if text[at] == "{" else -1), DEPTHS)
+                depth += 1 if text[at] == "{" else -1
                 mode = mode if depth else "body"
             elif kind == 2 and mode in ("dollar", "paren"):
                 mode = "body"
                 skip = at  # the paragraph end is read again, as prose
-            if mode == "body":
-                depth = 0
             continue
-        # ---- tokens of the body --------------------------------------------------------------
+        # ---- prose ---------------------------------------------------------------------------
         if kind == 1:
-            body = text[at:skip]
-            bare = body.lstrip(" \t~\u3000\u00a0")
+            token = text[at:skip]
+            bare = token.lstrip(" \t~　 ")
             if not bare:
-                near = False
-                if thai and open_ and not pend:
-                    pend, pend_at = "T", last
-                continue
-            lead = len(body) - len(bare)
-            if lead:
-                near = False
-                if thai and open_ and not pend and "~" not in body[:lead]:
-                    pend, pend_at = "T", last
-            cls, word = _class(bare[0]), bare
-            tail = body.rstrip(" \t~\u3000\u00a0")
-            end = at + len(tail)
+                sym, pos = T.GAP, 0
+            else:
+                lead = len(token) - len(bare)
+                if lead:
+                    yield (T.TIE if "~" in token[:lead] else T.GAP), 0
+                    count += 1
+                last = at + len(token.rstrip(" \t~　 "))
+                cls, c, pos = _class(bare[0]), text[last - 1], base + last
+                thai = "฀" <= c <= "๿"
+                sym = T.word(cls, bare.startswith(_MONTHS), thai, thai and last < skip and "~" not in text[last:skip])
+                if cls != "punct" and " " in bare and "฀" <= max(bare):
+                    inner = [g.start() for g in _THAI_GAP.finditer(text, at, skip) if g.start() < last]
+                    if inner:
+                        # a pending mark is dealt with before the gaps, as the token begins before them
+                        yield sym, pos
+                        count += 1 + len(inner)
+                        for g in inner:
+                            yield T.END, base + g
+                        continue
         elif kind == 3:
-            near = False
-            if thai and open_ and not pend:
-                pend, pend_at = "T", last
-            continue
+            sym, pos = T.GAP, 0
+        elif kind == 4:
+            sym, pos = _mark(text, at, skip), base + skip
+        elif kind == 2:
+            sym, pos = T.PARA, 0
         elif kind == 5:
             raw = text[at + 1 : skip]
             name = raw.rstrip("*")
             do = _DO.get(name)
+            cls = "macro"
             if do is None:
                 if raw in (" ", "\\", "\n", "~", "/", ",", ";", ":", "!", "-", "", "\r"):
-                    near = near and raw in ("/", ",", "-", "")
+                    if raw in ("/", ",", "-", ""):
+                        continue
+                    sym, pos = T.TIE, 0
+                    yield sym, pos
+                    count += 1
                     continue
                 if raw == "[":
                     mode = "bracket"
@@ -258,34 +283,30 @@ def run(text: str, start: int, stop: int, base: int, markup: Markup, s: Sentence
                         skip = p.end()
                     else:
                         mode = "paren"
-                    cls, end = "sign", skip
+                    cls = "sign"
                 elif name.startswith("cite") or name == "nocite":
                     if a := _ARG.match(text, skip):
                         skip = min(a.end(), size)
-                    if pend in ("B", "T"):
-                        pend = ""
-                    if open_ and not pend:
-                        last, thai = base + skip, False
+                    yield T.CITE, base + skip
+                    count += 1
                     continue
                 elif name.endswith("ref"):
                     if a := _ARG.match(text, skip):
                         skip = min(a.end(), size)
-                    cls, end = "digit", skip
+                    cls = "digit"
                 elif raw[0].isalpha() or raw[0] == "@":
                     if text.startswith("{}", skip):
                         skip += 2
-                    cls, end = "macro", skip
                 elif raw in "'`^\"=.uvHtcdb":
                     # an accent belongs to the letter after it
                     c = text[skip : skip + 3].lstrip("{\\")[:1]
-                    cls, end = (_class(c) if c else "low"), skip
+                    cls = _class(c) if c else "low"
                 else:
-                    cls, end = "punct" if raw not in ("%", "$", "#", "&", "_", "{", "}") else "digit", skip
+                    cls = "punct" if raw not in ("%", "$", "#", "&", "_", "{", "}") else "digit"
             elif do == "look":
                 if len(name) > 2 or not text.startswith("{}", skip):
                     continue
                 skip += 2  # a macro of the author's own under a known short name
-                cls, end = "macro", skip
             elif do == "iffalse":
                 mode, depth = "iffalse", 1
                 continue
@@ -307,11 +328,11 @@ def run(text: str, start: int, stop: int, base: int, markup: Markup, s: Sentence
                         continue
                 elif what:
                     continue
-                kind = 2
+                cls = ""
                 if (env == "document" and do == "end") or (env == "thebibliography" and do == "begin"):
                     mode = "stop"
             else:
-                kind = 2
+                cls = ""
                 if do == "heading":
                     mode = "wait-heading"
                     if o := _OPTION.match(text, skip):
@@ -320,141 +341,29 @@ def run(text: str, start: int, stop: int, base: int, markup: Markup, s: Sentence
                     mode = "stop"
                 elif do == "item" and (o := _OPTION.match(text, skip)):
                     skip = o.end()
+            sym, pos = (T.word(cls, thai="฀" <= text[skip - 1] <= "๿"), base + skip) if cls else (T.PARA, 0)
         elif kind == 6:
             if m.group() == "$$":
-                # a display between double dollars ends at the next pair
-                close = text.find("$$", skip, size)
-                mode, skip = ("body", close + 2) if close >= 0 else ("dollar", skip)
+                mode = "dollars" if more or text.find("$$", skip, size) >= 0 else "dollar"
                 continue
             if skip - at == 1:
                 mode = "dollar"
-            cls = "sign"
+            sym, pos = T.word("sign"), base + skip
         elif kind == 8:
-            if text[at] == "}" and open_ and not pend:
-                last = base + skip
-            continue
-        # ---- sentence part -------------------------------------------------------------------
-        if kind == 2:
-            if pend and pend != "T":
-                emit(pend_at)
-            elif open_:
-                emit(last)
-            open_, pend, near, quote, headed, bracket, thai = False, "", False, "", False, 0, False
-            owes = CONST
-            if seen is not None:
-                seen.add((skip, mode, depth))
-            elif known is not None and (skip, mode, depth) in known:
-                return None
-            continue
-        if kind == 4:
-            marks = m.group()
-            nxt = text[skip : skip + 1]
-            if marks == "." and (nxt.isalnum() or "\u0900" <= nxt <= "\u097f"):
-                cls = "punct"
-                if pend:
-                    pend = ""
-                last, open_, thai = base + skip, True, False
+            if text[at] == "{":
                 continue
-            if marks == "．" and nxt.isdigit() and text[at - 1 : at].isdigit():
-                last, thai = base + skip, False
-                continue
-            if not open_ and not pend:
-                continue  # a mark without a sentence
-            if pend and near:
-                pend_at = base + skip
-                pend = "F" if marks[-1] in ".…" and pend == "F" else "A" if pend in "ABNOF" else pend
-                continue
-            if marks[0] == "…" or marks.startswith(".."):
-                new = "F"
-            elif marks[0] in "。．｡？！।॥؟۔":
-                new = "E"
-            else:
-                new = "A"
-                if marks == "." and nxt == "~":  # a tie keeps what stands on its sides together
-                    new = "N"
-                elif marks == ".":
-                    b = _BEFORE.search(text, max(start, at - 16), at)
-                    if b:
-                        w = b.group(1)
-                        if w in _NEVER or (len(w) == 1 and w.isupper() and not _unit(text, b.start(1))):
-                            new = "N"
-                        elif w in _MAYBE:
-                            new = "B"
-                        elif w.isdigit():
-                            new = "O"
-            if quote and not headed:
-                new = "Q"
-            pend, pend_at, near, thai = new, base + skip, True, False
-            continue
-        if kind == 11:
+            sym, pos = T.BRACE, base + skip
+        elif kind == 11 and text[at] != '"':
+            sym, pos = T.UPRIGHT, base + skip
+        elif kind == 10:
             c = text[at]
-            if c != '"':
-                if open_ and not pend:
-                    last, thai = base + skip, False
-                continue
-            kind = 10 if quote == '"' else 9
-        if kind == 9 and text[at] == "“" and quote == "„":
-            kind = 10
-        if kind == 10:
-            c = text[at]
-            if c in ")]）":
-                if pend and near:
-                    pend_at = base + skip
-                    if bracket == 1 and pend in ("A", "E", "O", "B", "N"):
-                        pend = "D"
-                else:
-                    if pend:
-                        pend = ""
-                    last, thai, open_ = base + skip, False, True
-                bracket = 0
-                continue
-            if pend and (near or c == "»"):
-                pend_at = base + skip
-                pend = "D"
-                near = True
-            else:
-                pend = ""
-                last, thai, open_ = base + skip, False, True
-            quote, headed = "", False
-            continue
-        if kind == 9:
-            rest = text[skip : skip + AHEAD].lstrip(" \t\n\r~“„«「『(（[`\"'")
-            cls = _class(rest[0]) if rest else "sign"
-            if cls in ("punct", "plain", "thai"):
-                cls = "sign" if not (pend == "D" and cls == "plain") else cls
-        if pend:
-            if _ends(pend, cls, word):
-                emit(pend_at)
-                open_, quote, headed, bracket = False, "", False, 0
-            pend = ""
-        if kind == 9:
+            sym, pos = T.closer(")" if c in ")]）" else "»" if c == "»" else "q"), base + skip
+        else:
             c = text[at]
-            if c in "([（":
-                bracket = 2 if not open_ else 1
-            elif not quote:
-                quote = '"' if c == '"' else "„" if c == "„" else "g"
-                headed = not open_
-        elif kind == 1 and cls != "punct" and " " in word and "\u0e00" <= max(word):
-            for g in _THAI_GAP.finditer(text, at, skip):
-                if g.start() < end:
-                    emit(base + g.start())
-        open_, near, last = True, False, base + end
-        c = text[end - 1]
-        thai = "\u0e00" <= c <= "\u0e7f"
-        if kind == 1 and end < skip and thai and "~" not in text[end:skip]:
-            pend, pend_at = "T", last
-    return Markup(mode, depth), Sentence(open_, pend, near, quote, headed, bracket, thai, last, pend_at), owes
-
-
-def _unit(text: str, at: int) -> bool:
-    """Whether a single capital letter at this place is the unit of a number."""
-    before = text[max(0, at - 2) : at]
-    return len(before) == 2 and before[1] == "~" and (before[0].isdigit() or before[0] == "%")
-
-
-def finish(s: Sentence) -> list[int]:
-    """The end of a sentence that is open at the end of a document."""
-    return [s.pend_at] if s.pend and s.pend != "T" else [s.last] if s.open else []
+            sym, pos = T.opener("(" if c in "([（" else c if c in '„“"' else "g", _ahead(text, skip)), base + skip
+        yield sym, pos
+        count += 1
+    end.append(Markup(mode, depth))
 
 
 def first_markup(text: str) -> Markup:
@@ -465,91 +374,145 @@ def first_markup(text: str) -> Markup:
 def sentence_ends(text: str) -> list[int]:
     """1-based positions of the last characters of a text's sentences."""
     out: list[int] = []
-    _, s, _ = run(text, 0, len(text), 0, first_markup(text), Sentence(), out)
-    return out + finish(s)
+    end = T.read(lex(text, 0, len(text), 0, first_markup(text), False, []), Config(), out)
+    return out + T.finish(end)
 
 
 # ---- long documents: chunks as functions, composed by a prefix scan ------------------------------
 
 
+class Exit(NamedTuple):
+    """What becomes of one markup state over a stretch: the markup state behind it, and the function of the sentence states."""
+
+    markup: Markup
+    function: Function
+
+
+class Nest(NamedTuple):
+    """A mode with depths over a stretch: what becomes of the depths up to len(out), and what the others change by."""
+
+    out: list[Exit]
+    change: int
+
+
+#: A stretch as a function: mode -> Exit, or Nest for a mode with depths.
+Stretch = dict
+
+
 def cuts(text: str, chunk: int = CHUNK) -> list[int]:
-    """Where to cut: behind line ends, else blanks, else anywhere between two letters."""
+    """Where to cut: behind a line end outside a paragraph end, at the first one ``chunk`` characters on.
+
+    No token stands across such a place. Inside a line it is cut only while no markup and no Thai has come
+    in it, behind a blank; a line that gives no such place stays whole.
+    """
     at, places = 0, [0]
     while len(text) - at > chunk:
-        half = at + chunk // 2
-        p = text.rfind("\n", half, at + chunk)
-        while p > half and text[p + 1 : p + 2] in "\r\n \t":  # never inside a paragraph end
-            p = text.rfind("\n", half, p)
-        if p <= half:
-            p = text.rfind(" ", half, at + chunk)
-        at = p + 1 if p > half else at + chunk
-        places.append(at)
+        m = _CUT.search(text, at + chunk)
+        end = m.end() if m else len(text)
+        line = text.rfind("\n", 0, at + chunk) + 1
+        special = _SPECIAL.search(text, line, end)
+        if special is None or special.start() > at + chunk:
+            b = _BLANK.search(text, at + chunk, special.start() if special else end)
+            end = b.start() + 1 if b and not _THAI.search(text, line, end) else end
+        at = end
+        if at < len(text):
+            places.append(at)
     return [*places, len(text)]
 
 
-def _carried(end: Sentence, start: Sentence) -> Sentence:
-    """``end`` with registers that still mean the chunk's start filled from ``start``."""
-    fill = lambda r: start.last if r == -1 else start.pend_at if r == -2 else r
-    return end._replace(last=fill(end.last), pend_at=fill(end.pend_at))
-
-
-def chunk_function(text: str, stop: int, base: int) -> dict[Markup, tuple[Markup, str, object]]:
-    """For each markup state at the chunk's start: the one behind, and what becomes of the sentence state."""
-    f: dict[Markup, tuple[Markup, str, object]] = {}
-    places: set = set()
-    body = run(text, 0, stop, base, Markup(), Sentence(last=-1, pend_at=-2), None, seen=places)
-    for m in MARKUP:
-        # most starts soon meet the run from plain prose, and end where it ends
-        end, s, owes = run(text, 0, stop, base, m, Sentence(last=-1, pend_at=-2), None, known=places) or (*body[:2], CONST)
-        if owes == TABLE:
-            f[m] = (end, TABLE, {q: run(text, 0, stop, base, m, q, None)[1] for q in sentence_states()})
+def _nest(text: str, start: int, stop: int, mode: str) -> tuple[dict[int, int], int]:
+    """For a start in ``mode``: the place where each depth is left, and what the depth has changed by at the end."""
+    jump, match, left, change, skip = _JUMP[mode], TOKEN.match, {}, 0, start
+    while j := jump.search(text, skip, stop):
+        at = j.start()
+        m = match(text, at, stop)
+        skip = m.end() if m else at + 1
+        if m is None or m.lastindex == 7:
+            continue
+        if m.lastindex == 8 and mode != "iffalse":
+            change += 1 if text[at] == "{" else -1
+        elif m.lastindex == 5 and mode == "iffalse":
+            name = text[at + 1 : skip].rstrip("*")
+            if name.startswith("if"):
+                change += 1
+            elif name == "fi":
+                change -= 1
+            elif name == "else" and change <= 0:
+                left.setdefault(1 - change, skip)
+        if change < 0:
+            left.setdefault(-change, skip)
+    return left, change
+
+
+def chunk_function(text: str, start: int, stop: int, base: int, more: bool) -> Stretch:
+    """The function of a chunk text[start:stop] from every markup state and every sentence state."""
+    behind, seen = [], {}
+    pairs = list(lex(text, start, stop, base, Markup(), more, behind, seen=seen))
+    syms, places = [x for x, _ in pairs], [p for _, p in pairs]
+    body_end, made = behind[0], {}
+
+    def from_body(at: int, before: list[tuple]) -> Exit:
+        """Prose is read from here, behind some symbols."""
+        joined: list = []
+        own = before + list(lex(text, at, stop, base, Markup(), more, joined, known=seen))
+        if isinstance(joined[0], Markup):
+            return Exit(joined[0], T.function_of([x for x, _ in own], [p for _, p in own], 0))
+        i = seen[joined[0]]
+        if i not in made:
+            made[i] = T.function_of(syms, places, i)
+        return Exit(body_end, T.then(T.function_of([x for x, _ in own], [p for _, p in own], 0), made[i]))
+
+    f: Stretch = {}
+    for mode in FLAT:
+        joined: list = []
+        own = list(lex(text, start, stop, base, Markup(mode), more, joined, known=seen))
+        if isinstance(joined[0], Markup):
+            f[mode] = Exit(joined[0], T.function_of([x for x, _ in own], [p for _, p in own], 0))
         else:
-            f[m] = (end, owes, s if owes == CONST else None)
+            f[mode] = from_body(joined[0], own)
+    for mode in NESTED:
+        left, change = _nest(text, start, stop, mode)
+        f[mode] = Nest([from_body(left[d], []) for d in range(1, len(left) + 1)], change)
     return f
 
 
-def apply(f: tuple[Markup, str, object], s: Sentence) -> Sentence:
-    """The sentence state behind a chunk, from the one before."""
-    _, how, what = f
-    return s if how == SAME else what if how == CONST else _carried(what[s._replace(last=-1, pend_at=-2)], s)
+def enter(f: Stretch, m: Markup) -> Exit:
+    """What a stretch makes of one markup state."""
+    x = f[m.mode]
+    if isinstance(x, Exit):
+        return x
+    return x.out[m.depth - 1] if m.depth <= len(x.out) else Exit(Markup(m.mode, m.depth + x.change), None)
 
 
-def compose(first: dict, second: dict) -> dict:
-    """The function of two neighbouring chunks."""
-    out = {}
-    for m, (mid, how, what) in first.items():
-        end, how2, what2 = second[mid]
-        if how2 == CONST or how == SAME:
-            out[m] = (end, how2, what2)
-        elif how2 == SAME:
-            out[m] = (end, how, what)
-        elif how == CONST:
-            out[m] = (end, CONST, apply(second[mid], what))
-        else:
-            out[m] = (end, TABLE, {q: _carried(what2[r._replace(last=-1, pend_at=-2)], r) for q, r in what.items()})
-    return out
+def compose(first: Stretch, second: Stretch) -> Stretch:
+    """The function of two neighbouring stretches."""
 
+    def onward(x: Exit) -> Exit:
+        y = enter(second, x.markup)
+        return Exit(y.markup, T.then(x.function, y.function))
 
-def prefix_scan(functions: list[dict]) -> list[dict]:
-    """All prefixes' compositions, in log2(n) rounds of independent compositions."""
-    scan, step = list(functions), 1
-    while step < len(scan):
-        scan = [compose(scan[i - step], f) if i >= step else f for i, f in enumerate(scan)]
-        step *= 2
-    return scan
+    f: Stretch = {}
+    for mode, x in first.items():
+        if isinstance(x, Exit):
+            f[mode] = onward(x)
+            continue
+        # depths that the first stretch keeps may be left in the second
+        deeper = range(len(x.out) + 1, len(second[mode].out) - x.change + 1)
+        out = [onward(e) for e in x.out] + [onward(Exit(Markup(mode, d + x.change), None)) for d in deeper]
+        f[mode] = Nest(out, x.change + second[mode].change)
+    return f
 
 
-def chunk_starts(functions: list[dict], markup: Markup) -> tuple[list[tuple[Markup, Sentence]], Sentence]:
-    """The true start states of all chunks, and the sentence state at the end."""
-    scan = prefix_scan(functions)
-    states = [(markup, Sentence())] + [(f[markup][0], apply(f[markup], Sentence())) for f in scan]
-    return states[:-1], states[-1][1]
+def through(f: Stretch, m: Markup, c: Config) -> tuple[Markup, Config]:
+    """Both states behind a stretch, from those before it."""
+    x = enter(f, m)
+    return x.markup, T.apply(x.function, c)
 
 
 # ---- Spark ------------------------------------------------------------------------------------------
 
 _OUT = "doc_id long, end_pos long"
-_CHUNKS = "doc_id long, row long, k int, base long, pre boolean, stop int, text string"
+_CHUNKS = "doc_id long, row long, k int, base long, pre boolean, start int, stop int, more boolean, last boolean, text string"
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -562,49 +525,79 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "end_pos"])
 
 
+def _chunks(text: str, chunk: int) -> list[tuple]:
+    """(k, base, pre, start, stop, more, last, text) of each chunk of a text; its text has some characters before and behind it."""
+    at, pre, dollars = cuts(text, chunk), first_markup(text).mode == "pre", text.rfind("$$")
+    lows = [max(0, a - BEHIND) for a in at]
+    return [(k, low, pre, a - low, z - low, dollars >= z, z == len(text), text[low : z + AHEAD]) for k, (a, z, low) in enumerate(zip(at, at[1:], lows))]
+
+
 def _cut(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "row", "k", "base", "pre", "stop", "text"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.string()]
+    names = ["doc_id", "row", "k", "base", "pre", "start", "stop", "more", "last", "text"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
     for b in batches:
         for i, t, row in zip(*[c.to_pylist() for c in b.columns]):
-            at, pre = cuts(t, chunk), first_markup(t).mode == "pre"
-            rows = [(i, row, k, a, pre, z - a, t[a : z + AHEAD]) for k, (a, z) in enumerate(zip(at, at[1:]))]
+            rows = [(i, row, *x) for x in _chunks(t, chunk)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*rows), types)], names=names)
 
 
 def _functions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pickle
-
     for d in frames:
-        f = [pickle.dumps(chunk_function(t, stop, base)) for t, stop, base in zip(d["text"], d["stop"], d["base"])]
+        f = [pickle.dumps(chunk_function(*x)) for x in zip(d["text"], d["start"], d["stop"], d["base"], d["more"])]
         yield pd.DataFrame({"row": d["row"], "k": d["k"], "pre": d["pre"], "f": f})
 
 
-def _scanned(d: pd.DataFrame) -> pd.DataFrame:
-    import pickle
+def _composed(d: pd.DataFrame) -> pd.DataFrame:
+    """One function of a block's FAN at most."""
+    d = d.sort_values("k")
+    whole = pickle.loads(d["f"].iloc[0])
+    for x in d["f"].iloc[1:]:
+        whole = compose(whole, pickle.loads(x))
+    return pd.DataFrame({"row": d["row"].iloc[:1], "k": d["k"].iloc[:1] // FAN, "pre": d["pre"].iloc[:1], "f": [pickle.dumps(whole)]})
+
 
+def _started(d: pd.DataFrame) -> pd.DataFrame:
+    """The state before each of a block's FAN at most, from the one before the block."""
     d = d.sort_values("k")
-    starts, end = chunk_starts([pickle.loads(x) for x in d["f"]], Markup("pre") if d["pre"].iloc[0] else Markup("body"))
-    ends = finish(end)
-    state = [pickle.dumps((m, s, ends if k == len(starts) - 1 else [])) for k, (m, s) in enumerate(starts)]
-    return pd.DataFrame({"row": d["row"], "k": d["k"], "state": state})
+    m, c = pickle.loads(d["before"].iloc[0])
+    out = []
+    for x in d["f"]:
+        out.append(pickle.dumps((m, c)))
+        m, c = through(pickle.loads(x), m, c)
+    return pd.DataFrame({"row": d["row"], "k": d["k"], "before": out})
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import pickle
-
     for b in batches:
         ids, ends = [], []
-        for i, t, stop, base, state in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "stop", "base", "state")]):
-            m, s, last = pickle.loads(state)
-            out: list[int] = []
-            run(t, 0, stop, base, m, s, out)
-            got = out + last
+        for i, t, start, stop, base, more, last, before in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "start", "stop", "base", "more", "last", "before")]):
+            m, c = pickle.loads(before)
+            got: list[int] = []
+            c = T.read(lex(t, start, stop, base, m, more, []), c, got)
+            got += T.finish(c) if last else []
             ids += [i] * len(got)
             ends += got
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "end_pos"])
 
 
+def _starts(functions: DataFrame, chunks: int) -> DataFrame:
+    """row, k, before (the states before each chunk) from the chunks' functions; a text has ``chunks`` chunks at most."""
+    levels, size = [functions], chunks
+    while size > FAN:
+        levels.append(durable(levels[-1].groupBy("row", F.floor(F.col("k") / FAN).alias("b")).applyInPandas(_composed, functions.schema)))
+        size = -(-size // FAN)
+    first = {pre: pickle.dumps((Markup("pre" if pre else "body"), Config())) for pre in (True, False)}
+    top = F.when(F.col("pre"), F.lit(first[True])).otherwise(F.lit(first[False]))
+    before = None
+    for level in reversed(levels):
+        if before is None:
+            known = level.withColumn("before", top).withColumn("b", F.lit(0).cast("long"))
+        else:
+            known = level.withColumn("b", F.floor(F.col("k") / FAN)).join(before.select("row", F.col("k").cast("long").alias("b"), "before"), ["row", "b"])
+        before = known.groupBy("row", "b").applyInPandas(_started, "row long, k int, before binary")
+    return before
+
+
 def sentences(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row (doc_id, end_pos) for each sentence of each document.
 
@@ -617,7 +610,9 @@ def sentences(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     # a number for each row, as doc_ids may repeat; fixed by the copy before it is read twice
     numbered = texts.filter(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
     parts = durable(numbered.mapInArrow(lambda b: _cut(b, chunk), _CHUNKS).repartition("row", "k"))
-    fs = parts.mapInPandas(_functions, "row long, k int, pre boolean, f binary")
-    starts = fs.groupBy("row").applyInPandas(_scanned, "row long, k int, state binary")
-    long = parts.drop("pre").join(starts, ["row", "k"]).mapInArrow(_emit, _OUT)
+    most = parts.agg(F.max("k")).first()[0]
+    if most is None:
+        return short
+    fs = durable(parts.mapInPandas(_functions, "row long, k int, pre boolean, f binary"))
+    long = parts.join(_starts(fs, most + 1), ["row", "k"]).mapInArrow(_emit, _OUT)
     return short.union(long)

@@ -1,8 +1,12 @@
+import os
 import random
+import time
 
+import pyarrow.parquet as pq
 import pytest
 
 from keyloom.llm import sentences as S
+from keyloom.llm import transducer as T
 
 
 def split(text):
@@ -57,35 +61,88 @@ def test_markup():
 
 
 def fragments(rnd):
-    parts = ["The mesh holds. ", "As in K. Low et al. ", "\n\n", "\n", "$a_1 = 2.5$ ", "\\[ x. \\]\n", "\\begin{equation}\n", "\\end{equation}\n", "\\iffalse\n", "\\fi\n", "“It is. ", "” ", "(see Fig. 2) ", "{", "}", "\\footnote{See. ", "\\section{", "% c. D\n", "\\item ", "ระบบ คลื่น\n", "系。", "。」", "「", "\\begin{comment}\n", "\\end{comment}\n", "\\begin{document}\n", "\\end{document}\n", "... and ", "no. 5 ", "25. ", "August ", "word ", "\\em{} ", '"', "\\begin{figure}\n", "\\end{figure}\n", "\\cite{a} ", "\\foo{} "]
+    parts = ["The mesh holds. ", "As in K. Low et al. ", "\n\n", "\n", "$a_1 = 2.5$ ", "\\[ x. \\]\n", "\\begin{equation}\n", "\\end{equation}\n", "\\iffalse\n", "\\fi\n", "“It is. ", "” ", "(see Fig. 2) ", "{", "}", "\\footnote{See. ", "\\section{", "% c. D\n", "\\item ", "ระบบ คลื่น\n", "系。", "。」", "「", "\\begin{comment}\n", "\\end{comment}\n", "\\begin{document}\n", "\\end{document}\n", "... and ", "no. 5 ", "25. ", "August ", "word ", "\\em{} ", '"', "\\begin{figure}\n", "\\end{figure}\n", "\\cite{a} ", "\\foo{} ", "$$", "$", "\\(", "\\)", "\\else\n", "\\ifx\n", "}}}\n", "{{{", "\\marginpar", "long plain words without any end " * 8, "%" + " comment. Here" * 20, "\r\n", "\\begin{thebibliography}{9}\n"]
     return "".join(rnd.choice(parts) for _ in range(rnd.randint(20, 120)))
 
 
 def chunked(text, size):
-    at = S.cuts(text, size)
-    spans = list(zip(at, at[1:]))
-    starts, end = S.chunk_starts([S.chunk_function(text[a : z + S.AHEAD], z - a, a) for a, z in spans], S.first_markup(text))
-    out = []
-    for (a, z), (m, s) in zip(spans, starts):
-        S.run(text[a : z + S.AHEAD], 0, z - a, a, m, s, out)
-    return out + S.finish(end)
-
-
-@pytest.mark.parametrize("seed", range(25))
+    """Ends by chunks, each from the state that the functions of those before it give."""
+    parts = S._chunks(text, size)
+    fs = [S.chunk_function(x[-1], x[3], x[4], x[1], x[5]) for x in parts]
+    m, c, out = S.first_markup(text), T.Config(), []
+    for x, f in zip(parts, fs):
+        end = []
+        behind = T.read(S.lex(x[-1], x[3], x[4], x[1], m, x[5], end), c, out)
+        m, c = S.through(f, m, c)
+        assert end == [m] and behind.state == c.state
+        out += T.finish(behind) if x[6] else []
+    assert S.through(composed(fs), S.first_markup(text), T.Config()) == (m, c)
+    return sorted(out)
+
+
+def composed(fs):
+    """All functions as one, by a tree."""
+    if len(fs) < 2:
+        return fs[0]
+    return S.compose(composed(fs[: len(fs) // 2]), composed(fs[len(fs) // 2 :]))
+
+
+@pytest.mark.parametrize("seed", range(40))
 def test_chunks_compose_to_the_whole(seed):
     rnd = random.Random(seed)
     text = fragments(rnd)
-    assert chunked(text, rnd.choice([120, 300])) == S.sentence_ends(text)
-
-
-def test_prefix_scan_is_sequential_composition():
-    texts = ["One. Two \n", "three.\n\n", "\\iffalse ", "x. Y. ", "\\fi Z. ", "A"]
-    fs = [S.chunk_function(t, len(t), 100 * i) for i, t in enumerate(texts)]
-    scan, acc = S.prefix_scan(fs), None
-    for f, got in zip(fs, scan):
-        acc = f if acc is None else S.compose(acc, f)
-        for m in S.MARKUP:
-            assert got[m][0] == acc[m][0] and S.apply(got[m], S.Sentence()) == S.apply(acc[m], S.Sentence())
+    for size in (1, 60, 300, 2000):
+        assert chunked(text, size) == sorted(S.sentence_ends(text)), size
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+@pytest.mark.parametrize("sf,size", [("sf0.001", 300), ("sf0.001", 1000), ("sf0.01", 3000), ("sf0.01", 20_000), ("sf0.01", 65_536)])
+def test_chunks_of_whole_tables(sf, size):
+    texts = pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    for t in texts:
+        if t and len(t) > size:
+            assert chunked(t, size) == sorted(S.sentence_ends(t))
+
+
+@pytest.mark.parametrize("depth", [5, 6, 7, 50])
+def test_arguments_in_many_braces(depth):
+    text = "One\\footnote{" + "{" * depth + "Inner one. Inner two." + "}" * depth + " Still. In it.} goes on. Two."
+    assert split(text) == [text[: text.index(" Two.")], "Two."]
+    assert chunked(text.replace(" ", "\n"), 1) == S.sentence_ends(text.replace(" ", "\n"))
+    nested = "Yes. \\iffalse " + "\\ifx " * depth + "Not. Not. " + "\\fi " * depth + "Not. \\fi Now."
+    assert [x[-4:] for x in split(nested)] == ["Yes.", "Now."]
+
+
+def test_a_long_comment_is_no_prose_wherever_it_is_cut():
+    text = "Start. " + "%" + " not read. At all" * 3000 + "\nNext one. " + "word " * 9000 + "end."
+    want = S.sentence_ends(text)
+    assert [text[p - 5 : p] for p in want] == ["tart.", " one.", " end."]
+    for size in (500, 30_000, 65_536):
+        assert chunked(text, size) == want
+    assert len(S.cuts("word " * 9000, 500)) > 50  # a line of words is cut inside
+
+
+def test_states_are_finite_and_their_table_is_closed():
+    states = set(T.states())
+    assert len(states) < 400 and all(T.TABLE[sym][s].state in states for sym in T.symbols() for s in states)
+
+
+def test_one_paragraph_costs_little_more_than_a_reading():
+    text = ("This is a plain sentence of usual length that ends. Another one follows it, as usual!\n" * 900)[:64_800]
+    T.states(), S.sentence_ends(text)  # tables are made
+    began = time.perf_counter()
+    S.sentence_ends(text)
+    read = time.perf_counter() - began
+    began = time.perf_counter()
+    S.chunk_function(text, 0, len(text), 0, False)
+    assert time.perf_counter() - began < 30 * read  # about 10 on a quiet machine
+
+
+def test_scan_over_several_levels(spark):
+    text = "\n".join(f"The mesh {i} holds. It ends {'in a' if i % 7 else '(see it'}" + ("\n" if i % 50 == 0 else "") for i in range(1500))
+    assert len(S.cuts(text, 100)) > S.FAN**2
+    got = S.sentences(spark.createDataFrame([(1, text), (2, "\\begin{document}\n" + text)], "doc_id long, text string"), 100).collect()
+    assert sorted(map(tuple, got)) == sorted([(1, p) for p in S.sentence_ends(text)] + [(2, p) for p in S.sentence_ends("\\begin{document}\n" + text)])
 
 
 def test_table(spark):
