@@ -1,17 +1,16 @@
 """Per-key results when a few keys hold most rows: exact offset chunking.
 
-1. Rows are counted for each (input partition, key).
-2. A prefix sum over the partitions gives each (partition, key) the exact rank of its first row.
-3. Rows are numbered in place: a sort inside the partition puts a key's rows side by side, and the
-   running row number minus the start of the key's run is the rank inside the partition.
-4. rank // chunk_rows cuts every key into chunks of equal size; each (key, chunk) is reduced to a
-   state by partial aggregation on the map side, so no row crosses the network.
-5. The ordered chunk states are merged into one result for each key.
-
-Only keys with more than ``chunk_rows`` rows need offsets, at most rows / chunk_rows of them; unless
-given, ``chunk_rows`` grows with the table beyond ``CHUNK_ROWS``, so that there are at most ``CHUNKS``.
-The input must be a deterministic scan (files) or a durable copy: both passes have to see the same
-rows in the same partitions.
+1. Every input partition is sorted in place by key and order, and its rows are numbered; every
+   ``chunk_rows`` numbers make a piece, so a key's rows are cut into pieces of no more than that.
+2. Each (key, partition, piece) is reduced to a state and its number of rows by partial aggregation on
+   the map side. Rows do not cross the network, only states do.
+3. A prefix sum of the numbers over a key's pieces, in the order of partitions, gives the exact rank
+   at which each piece begins among the key's rows; rank // chunk_rows is its chunk.
+4. The pieces of a chunk, and then the ordered chunks of a key, are merged.
+
+What one task gets of a key is its pieces, about one for each ``chunk_rows`` rows and input partition.
+``rank_in_key`` numbers the rows themselves; both of its passes have to see the same rows in the same
+partitions, so it keeps a durable copy.
 """
 
 from __future__ import annotations
@@ -24,16 +23,16 @@ from pyspark.sql import functions as F
 
 from keyloom.runtime import durable, small_side
 
-CHUNK_ROWS = 100_000
-CHUNKS = 2_000
-_PID, _POS, _IDX, _CHUNK, _RANK = "__pid", "__pos", "__idx", "__chunk", "__rank"
+#: Rows of a chunk: a hundredth of the table, within these bounds.
+CHUNK_LEAST, CHUNK_ROWS = 1_000, 100_000
+_PID, _IDX, _PIECE, _CHUNK, _RANK = "__pid", "__idx", "__piece", "__chunk", "__rank"
 _LOCAL = (1 << 33) - 1
 
 
-def _offsets(counts: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+def _offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(partition, key) -> start of the key's run in its sorted partition, rows of the key in earlier partitions.
 
-    ``counts``: rows of each (partition, key). For keys with more than ``least`` rows only.
+    ``counts``: rows of each (partition, key).
     """
     placed = counts.select(
         _PID,
@@ -43,26 +42,19 @@ def _offsets(counts: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
     )
     by_key = W.partitionBy(*keys)
     return (
-        placed.withColumn("__total", F.sum("__n").over(by_key))
-        .filter(F.col("__total") > least)
-        .withColumn("__offset", F.coalesce(F.sum("__n").over(by_key.orderBy(_PID).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        placed.withColumn("__offset", F.coalesce(F.sum("__n").over(by_key.orderBy(_PID).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .select(_PID, *keys, "__start", "__offset")
     )
 
 
-def _numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], least: int | None) -> tuple[DataFrame, int]:
-    """``df`` with the exact 0-based rank of each row among its key's rows; null for keys of up to ``least`` rows.
-
-    Also the ``least`` that was taken if none was given.
-    """
+def _numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df``, a durable copy, with the exact 0-based rank of each row among its key's rows."""
     with_pid = df.withColumn(_PID, F.spark_partition_id())
     counts = durable(with_pid.groupBy(_PID, *keys).agg(F.count("*").alias("__n")))
-    if least is None:
-        least = max(CHUNK_ROWS, (counts.agg(F.sum("__n")).first()[0] or 0) // CHUNKS)
-    offsets = small_side(_offsets(counts, keys, least))
+    offsets = small_side(_offsets(counts, keys))
     runs = with_pid.sortWithinPartitions(*keys, *order).withColumn(_IDX, F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL)))
-    ranked = runs.join(offsets, [_PID, *keys], "left").withColumn(_RANK, F.col("__offset") + F.col(_IDX) - F.col("__start"))
-    return ranked.drop(_PID, _IDX, "__start", "__offset"), least
+    ranked = runs.join(offsets, [_PID, *keys]).withColumn(_RANK, F.col("__offset") + F.col(_IDX) - F.col("__start"))
+    return ranked.drop(_PID, _IDX, "__start", "__offset")
 
 
 def chunk_states(
@@ -79,40 +71,39 @@ def chunk_states(
     (the column's value at the lowest or highest ``order``). Null keys form a group of their own;
     an empty table gives no rows; ties in ``order`` are broken by the smaller (first) or larger
     (last) value, so repeated rows change nothing but count and sum. Other columns of the table
-    are not read and may have any name.
+    are not read and may have any name. The result does not depend on ``chunk_rows``.
     """
     if chunk_rows is not None and chunk_rows < 1:
         raise ValueError("chunk_rows must be at least 1")
     if unknown := {k for k, _ in states.values()} - {"min", "max", "sum", "count", "first", "last"}:
         raise ValueError(f"unknown state kinds: {sorted(unknown)}")
-    used = list(dict.fromkeys([*keys, *groups, order, *(c for _, c in states.values())]))
-    rows = df.select(*used)
+    if chunk_rows is None:
+        chunk_rows = min(CHUNK_ROWS, max(CHUNK_LEAST, df.count() // 100))
     ks, gs = [f"__k{i}" for i in range(len(keys))], [f"__g{i}" for i in range(len(groups))]
-    rows = rows.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keys, ks)], *[F.col(f"`{c}`").alias(a) for c, a in zip(groups, gs)], F.col(f"`{order}`").alias("__o"), *[F.col(f"`{c}`").alias(f"__v{i}") for i, (_, c) in enumerate(states.values())])
-    # null-safe: the join on offsets uses equality, so a null key is marked by a flag and an empty literal
-    flags = [F.col(k).isNull().alias(f"{k}n") for k in ks]
-    types = dict(rows.dtypes)
-    rows = rows.select(*flags, *[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"{k}s") for k in ks], *rows.columns)
-    ident = [x for k in ks for x in (f"{k}n", f"{k}s")]
-    numbered, chunk_rows = _numbered(rows, ident, [F.col("__o")], chunk_rows)
-    chunked = numbered.withColumn(_CHUNK, F.coalesce(F.floor(F.col(_RANK) / chunk_rows), F.lit(0)))
+    named = [*zip(keys, ks), *zip(groups, gs), (order, "__o"), *[(c, f"__v{i}") for i, (_, c) in enumerate(states.values())]]
+    rows = df.select(*[F.col(f"`{c}`").alias(a) for c, a in named], F.spark_partition_id().alias(_PID))
+    numbered = rows.sortWithinPartitions(*ks, "__o").withColumn(_IDX, F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL)))
+    cut = numbered.withColumn(_PIECE, F.floor(F.col(_IDX) / chunk_rows))
 
     def part(i: int, kind: str) -> Column:
         v, o = F.col(f"__v{i}"), F.col("__o")
         return {"min": F.min(v), "max": F.max(v), "sum": F.sum(v), "count": F.count(v), "first": F.min(F.struct(o, v)), "last": F.max(F.struct(o, v))}[kind].alias(f"__s{i}")
 
-    def merge(i: int, name: str, kind: str) -> Column:
+    def merge(i: int, kind: str) -> Column:
         s = F.col(f"__s{i}")
-        got = {"min": F.min(s), "max": F.max(s), "sum": F.sum(s), "count": F.sum(s), "first": F.min(s), "last": F.max(s)}[kind]
-        return (got.getField(f"__v{i}") if kind in ("first", "last") else got).alias(name)
-
-    kinds = [(n, k) for n, (k, _) in states.items()]
-    chunks = chunked.groupBy(*ident, _CHUNK, *gs).agg(*[part(i, k) for i, (_, k) in enumerate(kinds)])
-    merged = chunks.groupBy(*ident, *gs).agg(*[merge(i, n, k) for i, (n, k) in enumerate(kinds)])
+        return {"min": F.min(s), "max": F.max(s), "sum": F.sum(s), "count": F.sum(s), "first": F.min(s), "last": F.max(s)}[kind].alias(f"__s{i}")
+
+    kinds = [k for k, _ in states.values()]
+    pieces = cut.groupBy(*ks, _PID, _PIECE, *gs).agg(F.count("*").alias("__n"), *[part(i, k) for i, k in enumerate(kinds)])
+    before = W.partitionBy(*ks).orderBy(_PID, _PIECE, *gs).rowsBetween(W.unboundedPreceding, -1)
+    placed = pieces.withColumn(_CHUNK, F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / chunk_rows))
+    chunks = placed.groupBy(*ks, _CHUNK, *gs).agg(*[merge(i, k) for i, k in enumerate(kinds)])
+    merged = chunks.groupBy(*ks, *gs).agg(*[merge(i, k) for i, k in enumerate(kinds)])
+    value = lambda i, k: F.col(f"__s{i}").getField(f"__v{i}") if k in ("first", "last") else F.col(f"__s{i}")
     return merged.select(
-        *[F.when(~F.col(f"{k}n"), F.col(f"{k}s")).cast(types[k]).alias(c) for c, k in zip(keys, ks)],
+        *[F.col(k).alias(c) for c, k in zip(keys, ks)],
         *[F.col(g).alias(c) for c, g in zip(groups, gs)],
-        *[F.col(n) for n, _ in kinds],
+        *[value(i, k).alias(name) for i, (name, (k, _)) in enumerate(states.items())],
     )
 
 
@@ -124,4 +115,4 @@ def rank_in_key(df: DataFrame, key: str, order: Sequence[str], partitions: int |
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = durable(df.filter(F.col(key).isNotNull()).repartitionByRange(n, key, *order).sortWithinPartitions(key, *order))
-    return _numbered(placed, [key], [F.col(o) for o in order], 0)[0].withColumnRenamed(_RANK, "rank")
+    return _numbered(placed, [key], [F.col(o) for o in order]).withColumnRenamed(_RANK, "rank")

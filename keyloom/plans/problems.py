@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.operators.changes import current_entries
-from keyloom.operators.chunks import chunk_states
+from keyloom.operators.chunks import chunk_states, rank_in_key
 from keyloom.operators.drift import ingest, schema_changes
 from keyloom.runtime import table
 
@@ -19,6 +19,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_states(rows, ["key"], ["utc_day"], {"first_line": ("min", "line_id"), "last_line": ("max", "line_id")}, "line_id")
 
 
+def p1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key's rows numbered in order of line_id and cut into chunks of 1,000: their rows, first and last line_id."""
+    rows = table(spark, sf_dir, "active").filter("key is not null").select("key", "line_id")
+    ranked = rank_in_key(rows, "key", ["line_id"]).withColumn("chunk", F.floor(F.col("rank") / 1000))
+    return ranked.groupBy("key", "chunk").agg(F.count("*").alias("n"), F.min("line_id").alias("first_line"), F.max("line_id").alias("last_line"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of each node at its highest ts, with the seq of the change that last wrote them."""
     return current_entries(table(spark, sf_dir, "active")).select("nodeId", "key", "seq")
@@ -50,11 +57,14 @@ _PATHS = r"""
               FROM f GROUP BY path HAVING sum(filled) > 0 AND sum(gone) <= 0.1 * sum(n) AND sum(nany) >= 0.9 * sum(filled)),
         p AS (SELECT * FROM (SELECT file_id, path, CASE WHEN filled > 0 AND nex >= 0.9 * filled AND nvt < 0.9 * filled THEN 'expireAt' WHEN filled > 0 AND nvt >= 0.9 * filled AND nex < 0.9 * filled THEN 'valueType'
                      WHEN common IS NOT NULL THEN common WHEN filled > 0 AND nex >= 0.9 * filled THEN CASE WHEN bulk > 0 THEN 'expireAt' ELSE 'valueType' END END AS field FROM f JOIN w USING (path)) WHERE field IS NOT NULL),"""
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_table": p5_table}
+QUERIES = {"p1_found": p1_found, "p1_chunks": p1_chunks, "p4_found": p4_found, "p5_found": p5_found, "p5_table": p5_table}
 SQL = {
     "p1_found": """
         SELECT key, CAST(floor(ts / 86400000.0) AS BIGINT) AS utc_day, min(line_id) AS first_line, max(line_id) AS last_line
         FROM active WHERE key IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2""",
+    "p1_chunks": """
+        SELECT key, r // 1000 AS chunk, count(*) AS n, min(line_id) AS first_line, max(line_id) AS last_line
+        FROM (SELECT key, line_id, row_number() OVER (PARTITION BY key ORDER BY line_id) - 1 AS r FROM active WHERE key IS NOT NULL) GROUP BY 1, 2""",
     "p4_found": """
         WITH c AS (
             SELECT nodeId, seq, min(ts) AS ts, arg_min(op, line_id) AS op, arg_min(expireAt, line_id) FILTER (expireAt IS NOT NULL) AS e,

@@ -35,6 +35,21 @@ def test_empty_ties_and_clashing_columns(spark):
     assert found(spark.createDataFrame(rows, schema), 2) == [("k", 1, 5, 5, 3, "a", "b")]
 
 
+def test_no_row_is_shuffled_and_no_side_is_broadcast(spark, tmp_path):
+    spark.range(5000).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) as k", "1 as g", "id as o", "'v' as v").write.parquet(str(tmp_path / "t"))
+    df = chunk_states(spark.read.parquet(str(tmp_path / "t")), ["k"], ["g"], {"n": ("count", "o")}, "o", 100)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange") :]
+    assert "partial_count" in below and "Join" not in plan and plan.count("Exchange") == 2
+    assert {r.k: r.n for r in df.collect()}["hot"] == 1667
+
+
+def test_null_and_float_keys(spark):
+    rows = [(None, 1), (float("nan"), 2), (0.5, 3), (None, 4), (float("nan"), 5)]
+    got = chunk_states(spark.createDataFrame(rows, "k double, o long"), ["k"], [], {"a": ("min", "o"), "n": ("count", "o")}, "o", 1).collect()
+    assert sorted((str(r.k), r.a, r.n) for r in got) == [("0.5", 3, 1), ("None", 1, 2), ("nan", 2, 2)]
+
+
 def test_bad_arguments(spark):
     df = spark.createDataFrame([], "k string, g int, o long, v string")
     with pytest.raises(ValueError):
