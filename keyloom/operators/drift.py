@@ -67,10 +67,11 @@ def _named(fields: Column, before: Column) -> Column:
 
 
 def json_lines(lines: DataFrame) -> DataFrame:
-    """file_id, line_no, line, ``fields`` (the line's object as a map of VARIANT, null for an unreadable line) and ``leaves``.
+    """Each line once parsed: file_id, line_no, readable, raw (an unreadable line), the steady fields, lost and leaves.
 
-    ``leaves``: path, leaf, type (string, number, array, null, other), json, vt and ex (the value type
-    and the expiry that the leaf may tell) of everything outside the steady fields.
+    ``lost``: path and json of the steady fields that their columns do not tell in full. ``leaves``: path,
+    type (string, number, array, null, other), json, vt and ex (the value type and the expiry that the
+    leaf may tell) of everything else. No VARIANT is left, so that a copy of it is cheap.
     """
     parsed = lines.select("file_id", "line_no", "line", _once(F.try_variant_get(F.try_parse_json("line"), "$", _MAP), "fields"))
     rest = _named(F.map_filter("fields", lambda k, _: ~k.isin(*STEADY)), F.lit(""))
@@ -80,31 +81,55 @@ def json_lines(lines: DataFrame) -> DataFrame:
         at = at.withColumn("leaves", F.when(F.col("line").rlike(r":\s*\{"), _opened(F.col("leaves"))).otherwise(F.col("leaves")))
         if i % LEVELS == LEVELS - 1:
             at = durable(at)
-    typed = F.transform("leaves", lambda x: F.struct(x.path.alias("path"), x.leaf.alias("leaf"), _type(x.leaf).alias("type")))
-    told = F.transform(typed, lambda x: F.struct(x.path.alias("path"), x.type.alias("type"), F.to_json(x.leaf).alias("json"), as_value_type(x.leaf, x.type).alias("vt"), as_expiry(x.leaf, x.type).alias("ex")))
-    return at.select("file_id", "line_no", "line", "fields", _once(told, "leaves"))
+    # stage by stage, as a lambda's expressions are evaluated anew wherever they stand
+    kinds = F.transform("leaves", lambda x: F.struct(x.path.alias("path"), x.leaf.alias("leaf"), F.schema_of_variant(x.leaf).alias("kind")))
+    typed = F.transform(kinds, lambda x: F.struct(x.path.alias("path"), x.leaf.alias("leaf"), _type(x.kind).alias("type")))
+    told = F.transform(typed, lambda x: F.struct(x.path.alias("path"), x.leaf.alias("leaf"), x.type.alias("type"), _word(x).alias("text"), _number(x).alias("number")))
+    known = F.transform(told, lambda x: F.struct(x.path.alias("path"), x.type.alias("type"), F.to_json(x.leaf).alias("json"), as_value_type(x).alias("vt"), as_expiry(x).alias("ex")))
+    steady = {c: F.try_variant_get(F.col("fields")[c], "$", t) for c, t in STEADY.items()}
+    kind = {c: F.schema_of_variant(F.col("fields")[c]) for c in STEADY}
+    raw = {c: F.to_json(F.col("fields")[c]) for c in STEADY}
+
+    def full(c: str) -> Column:
+        if t := {"string": "STRING", "bigint": "BIGINT"}.get(STEADY[c]):
+            return kind[c] == t
+        return F.coalesce(F.concat(F.lit("["), raw[c], F.lit("]")) == F.to_json(F.to_variant_object(F.array(steady[c]))), F.lit(False))
+
+    lost = [F.when((kind[c] != "VOID") & ~full(c), F.struct(F.lit(c).alias("path"), raw[c].alias("json"))) for c in STEADY]
+    readable = F.col("fields").isNotNull()
+    return at.select(
+        "file_id", "line_no", readable.alias("readable"), F.when(~readable, F.col("line")).alias("raw"), *[v.alias(c) for c, v in steady.items()],
+        F.filter(F.array(*lost), lambda x: x.isNotNull()).alias("lost"), known.alias("leaves"),
+    )
 
 
-def _type(leaf: Column) -> Column:
-    kind = F.coalesce(F.schema_of_variant(leaf), F.lit("VOID"))
+def _type(kind: Column) -> Column:
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    return F.when(kind == "STRING", "string").when(kind == "VOID", "null").when(kind.startswith("ARRAY"), "array").when(number, "number").otherwise("other")
+    return F.when(kind == "STRING", "string").when(kind.isNull() | (kind == "VOID"), "null").when(kind.startswith("ARRAY"), "array").when(number, "number").otherwise("other")
+
 
+def _word(x: Column) -> Column:
+    """The text of a string, or of the only element of an array."""
+    only = F.try_variant_get(x.leaf, "$", "array<string>")
+    return F.when(x.type == "string", F.try_variant_get(x.leaf, "$", "string")).when(x.type == "array", F.when(F.size(only) == 1, F.get(only, F.lit(0))))
 
-def as_value_type(leaf: Column, type_: Column) -> Column:
-    """The value type that a leaf tells, by name, by number or as the only element of an array; else null."""
-    only = F.try_variant_get(leaf, "$", "array<string>")
-    word = F.upper(F.when(type_ == "string", F.try_variant_get(leaf, "$", "string")).when((type_ == "array") & (F.size(only) == 1), F.get(only, F.lit(0))))
-    number = F.when(type_ == "number", F.try_variant_get(leaf, "$", "int"))
-    return F.coalesce(F.when(word.isin(*VALUE_TYPES), word), F.get(F.array(*[F.lit(x) for x in VALUE_TYPES]), number))
 
+def _number(x: Column) -> Column:
+    return F.when(x.type == "number", F.try_variant_get(x.leaf, "$", "bigint"))
 
-def as_expiry(leaf: Column, type_: Column) -> Column:
-    """The moment in epoch milliseconds that a leaf tells, as a number, in digits or as ISO date and time; 0 is never; else null."""
-    text = F.try_variant_get(leaf, "$", "string")
-    digits = F.when((type_ == "number") | ((type_ == "string") & text.rlike(r"^\d{1,18}$")), F.try_variant_get(leaf, "$", "bigint"))
-    iso = F.when((type_ == "string") & text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d"), F.unix_millis(F.try_to_timestamp(text)))
-    return F.coalesce(digits, iso)
+
+def as_value_type(x: Column) -> Column:
+    """The value type that a leaf (type, text, number) tells, by name, by number or as the only element of an array; else null."""
+    named = F.array_position(F.array(*[F.lit(v) for v in VALUE_TYPES]), F.upper(x.text))
+    at = F.when(x.type == "number", F.when(x.number.between(0, len(VALUE_TYPES) - 1), x.number + 1)).otherwise(named)
+    return F.when(at > 0, F.element_at(F.array(*[F.lit(v) for v in VALUE_TYPES]), at.cast("int")))
+
+
+def as_expiry(x: Column) -> Column:
+    """The moment in epoch milliseconds that a leaf (type, text, number) tells, as a number, in digits or as ISO date and time; 0 is never; else null."""
+    digits, iso = x.text.rlike(r"^\d{1,18}$"), x.text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d")
+    said = F.when(digits, x.text.try_cast("bigint")).when(iso, F.unix_millis(F.try_to_timestamp(x.text)))
+    return F.when(x.type == "number", x.number).when(x.type == "string", said)
 
 
 def approved_paths(parsed: DataFrame) -> DataFrame:
@@ -116,9 +141,7 @@ def approved_paths(parsed: DataFrame) -> DataFrame:
     (zeros) or neither (nulls, a few odd lines) the path's values in all files do, and at last its
     place: only an expiry occurs on bulk writes.
     """
-    ts = F.try_variant_get(F.col("fields")["ts"], "$", "bigint")
-    op = F.try_variant_get(F.col("fields")["op"], "$", "string")
-    shown = parsed.select("file_id", op.alias("op"), ts.alias("ts"), F.explode("leaves").alias("x")).select("file_id", "op", "ts", "x.path", "x.type", "x.vt", "x.ex")
+    shown = parsed.select("file_id", "op", "ts", F.explode("leaves").alias("x")).select("file_id", "op", "ts", "x.path", "x.type", "x.vt", "x.ex")
     n = lambda c, name: F.count(F.when(c, True)).alias(name)
     some, vt = F.col("type") != "null", F.col("vt").isNotNull()
     ex = F.coalesce((F.col("ex") == 0) | (F.col("ex") > F.col("ts")), F.lit(False))
@@ -143,25 +166,17 @@ def ingested(lines: DataFrame) -> DataFrame:
     """
     parsed = durable(json_lines(lines))
     # the approved paths of one file: those of two fields and their variants in odd lines
-    paths = approved_paths(parsed.filter("fields is not null")).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "field"))).alias("fields_of"))
+    paths = approved_paths(parsed).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "field"))).alias("fields_of"))
     rows = parsed.join(small_side(paths), "file_id", "left")
     known = F.transform("leaves", lambda x: F.struct(F.try_element_at("fields_of", x.path).alias("field"), x.path.alias("path"), x.type.alias("type"), x.json.alias("json"), x.vt.alias("vt"), x.ex.alias("ex")))
-    rows = rows.select("file_id", "line_no", "line", "fields", _once(known, "x"))
+    rows = rows.withColumn("x", known)
     is_ = lambda field: lambda x: x.field == field
     value_type = F.array_max(F.transform(F.filter("x", is_("valueType")), lambda x: x.vt))
     expire_at = F.array_max(F.transform(F.filter("x", is_("expireAt")), lambda x: F.when(x.type == "null", F.lit(0).cast("bigint")).otherwise(x.ex)))
     odd = lambda x: x.field.isNull() | ((x.type != "null") & F.when(x.field == "valueType", x.vt.isNull()).otherwise(x.ex.isNull()))
-    kept = lambda xs: F.transform(xs, lambda x: F.struct(x.path.alias("path"), x.json.alias("json")))
-    steady = {c: F.try_variant_get(F.col("fields")[c], "$", t) for c, t in STEADY.items()}
-    # a steady field that its column does not tell in full
-    raw = {c: F.to_json(F.col("fields")[c]) for c in STEADY}
-    full = {c: F.to_json(F.to_variant_object(F.array(v))) for c, v in steady.items()}
-    lost = [F.when((raw[c] != "null") & (full[c].isNull() | (full[c] != F.concat(F.lit("["), raw[c], F.lit("]")))), F.struct(F.lit(c).alias("path"), raw[c].alias("json"))) for c in STEADY]
-    left = F.array_sort(F.concat(kept(F.filter("x", odd)), F.filter(F.array(*lost), lambda x: x.isNotNull())))
-    return rows.select(
-        "file_id", "line_no", "line", F.col("fields").isNotNull().alias("readable"), *[v.alias(c) for c, v in steady.items()],
-        value_type.alias("value_type"), expire_at.alias("expire_at"), F.filter("x", lambda x: x.field.isNotNull()).alias("told"), left.alias("left"),
-    )
+    kept = F.transform(F.filter("x", odd), lambda x: F.struct(x.path.alias("path"), x.json.alias("json")))
+    told = F.filter("x", lambda x: x.field.isNotNull())
+    return rows.select("file_id", "line_no", "readable", "raw", *STEADY, value_type.alias("value_type"), expire_at.alias("expire_at"), told.alias("told"), F.array_sort(F.concat(kept, "lost")).alias("left"))
 
 
 def _object(pairs: Column) -> Column:
@@ -185,7 +200,7 @@ def ingest(lines: DataFrame) -> DataFrame:
     file_id have no approved paths. Empty tables give no rows.
     """
     t = ingested(lines)
-    rescued = F.when(F.col("readable"), _object(F.col("left"))).when(F.col("line").isNotNull(), F.to_json(F.create_map(F.lit("_line"), F.col("line"))))
+    rescued = F.when(F.col("readable"), _object(F.col("left"))).when(F.col("raw").isNotNull(), F.to_json(F.create_map(F.lit("_line"), F.col("raw"))))
     replayed = _object(F.array_sort(F.transform("told", lambda x: F.struct(x.path.alias("path"), x.json.alias("json")))))
     return t.select("file_id", "line_no", "readable", *STEADY, "value_type", "expire_at", replayed.alias("replayed"), rescued.alias("rescued"))
 
