@@ -106,10 +106,10 @@ def _running(ops: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 
 def replies(log: DataFrame, slices: int | None = None) -> DataFrame:
-    """What each touched key looked like before its operation: seq, pos, ts, op, kind, key, value, exp, existed, old_value.
+    """What each touched key looked like before its operation: seq, pos, ts, op, kind, key, value, exp, existed, old_value, epoch.
 
     ``existed``: the key was there; ``old_value``: its value then, null if it was not. For DEL, MDEL and
-    MUPD ``existed`` is also whether the operation took effect; for reads it is the answer. Slices of a
+    MUPD ``existed`` is also whether the operation took effect; for reads it is the answer; ``epoch`` counts the FLUSHes before. Slices of a
     key are given the state that the slices before them leave, so a hot key is spread over tasks.
     """
     b = bounds(log)
@@ -125,7 +125,7 @@ def replies(log: DataFrame, slices: int | None = None) -> DataFrame:
         ops = ops.select(*head.columns).union(head)
     seen = _running(ops, by, order).filter("pos >= 0")
     existed = F.coalesce((F.col("prev.kind") != "D") & ((F.coalesce("prev.exp", F.lit(0)) <= 0) | (F.col("ts") < F.col("prev.exp"))), F.lit(False))
-    return seen.withColumn("existed", existed).select("seq", "pos", "ts", "op", "kind", "key", "value", "exp", "existed", F.when(F.col("existed"), F.col("prev.value")).alias("old_value"))
+    return seen.withColumn("existed", existed).select("seq", "pos", "ts", "op", "kind", "key", "value", "exp", "existed", F.when(F.col("existed"), F.col("prev.value")).alias("old_value"), "epoch")
 
 
 def op_counts(log: DataFrame) -> DataFrame:

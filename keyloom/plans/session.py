@@ -1,8 +1,8 @@
 """Command scripts: a DataFrame of command lines to a DataFrame of replies.
 
-All key commands of a script are one op log, answered at once by ``replies``. Commands that look at
-or change the whole key space (KEYS, COLLECTION) are few; each is answered from a fold of the log
-before it, and what it changes becomes operations of that log.
+All key commands of a script are one op log, answered at once by ``replies``. Commands that look at the
+whole key space (KEYS, COLLECTION) are answered together, from the stretches of the log in which each entry
+and each declared collection lived; what they change becomes operations of that log.
 """
 
 from __future__ import annotations
@@ -11,15 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyloom.functions.exprs import META_KEY, apply_prefix, expire_at, glob_match, value_type
+from keyloom.functions.exprs import META_KEY, apply_prefix, collection_of, expire_at, live, value_type
 from keyloom.functions.protocol import parse, to_wire
-from keyloom.operators import collections as C
-from keyloom.operators.fold import fold, replies
+from keyloom.operators.fold import count_before, explode_ops, replies
+from keyloom.operators.listing import holding, listed, lives, match_globs, took_effect
 from keyloom.operators.slices import cut_points, slice_at
 from keyloom.runtime import durable
 
-#: Most KEYS and COLLECTION commands of one script; each costs a fold.
-SCANS = 100
 #: A script is cut into slices of about this many lines, so that a long session is spread over tasks.
 SLICE_LINES = 500_000
 KEY_VERBS = ["SET", "GET", "DEL", "EXISTS", "TYPE", "MSET", "MGET", "MDEL", "MUPD", "FLUSH"]
@@ -80,7 +78,7 @@ def checked(reqs: DataFrame, read_only: str | None = None) -> DataFrame:
         .when(coll & (n < 1), "wrong number of arguments for 'COLLECTION' — usage: COLLECTION LIST|CREATE|DROP ...")
         .when(coll & (sub == "CREATE") & (n < 2), "usage: COLLECTION CREATE <name>")
         .when(coll & (sub == "DROP") & (n < 2), "usage: COLLECTION DROP <name>")
-        .when(coll & ~sub.isin("LIST", "CREATE", "DROP"), F.concat(F.lit("unknown COLLECTION sub-command: "), sub))
+        .when(coll & ~sub.isin("LIST", "CREATE", "DROP"), F.concat(F.lit("unknown COLLECTION sub-command: "), sub, F.lit(" — valid: LIST, CREATE, DROP")))
     )
     return reqs.withColumn("error", error)
 
@@ -103,9 +101,8 @@ def log_of(reqs: DataFrame) -> DataFrame:
     )
 
 
-def _key_replies(log: DataFrame) -> DataFrame:
-    """seq, kind, n, s, lines for the key commands of a log."""
-    r = replies(log)
+def _key_replies(log: DataFrame, r: DataFrame) -> DataFrame:
+    """seq, kind, n, s, lines for the key commands of a log, from its ``replies``."""
     by = r.groupBy("seq").agg(F.sum(F.col("existed").cast("int")).alias("n"), F.array_sort(F.collect_list(F.struct("pos", F.col("old_value").alias("v")))).alias("x"))
     v, first = F.col("op"), F.get("x", F.lit(0)).v
     kind = F.when(v.isin("SET", "MSET", "FLUSH"), "OK").when(v.isin("DEL", "EXISTS", "MDEL", "MUPD"), "INTEGER").when(v == "GET", F.when(first.isNull(), "NIL").otherwise("VALUE")).when(v == "TYPE", "VALUE").when(v == "MGET", "MULTI")
@@ -113,6 +110,83 @@ def _key_replies(log: DataFrame) -> DataFrame:
     return log.select("seq", "op").join(by, "seq", "left").select("seq", kind.alias("kind"), F.coalesce("n", F.lit(0)).cast("int").alias("n"), s.alias("s"), F.when(v == "MGET", F.transform("x", lambda e: F.coalesce(e.v, F.lit("(nil)")))).alias("lines"))
 
 
+def _as_ops(rows: DataFrame, op: str) -> DataFrame:
+    """seq, ts, key, value as SET or DEL operations of a log."""
+    null = lambda t: F.lit(None).cast(t)
+    return rows.select("seq", "ts", F.lit(op).alias("op"), "key", "value", F.lit(0).cast("bigint").alias("expireAt"), null("array<struct<key:string,value:string>>").alias("items"), null("array<string>").alias("keys"))
+
+
+def _declared(told: DataFrame, marks: DataFrame, creates: DataFrame, drops: DataFrame) -> DataFrame:
+    """name, era, start, stop, exp: the stretches in which collections were declared.
+
+    An era begins with each of the ``marks``, the FLUSHes and the key commands that changed the meta key. In it a
+    name is declared by its last CREATE, or by the list that began the era, until its DROP.
+    """
+    own = told.filter((F.col("key") == META_KEY) & took_effect()).groupBy("seq").agg(F.max_by(F.struct("kind", "value", "exp"), "pos").alias("x"))
+    listed_ = own.filter("x.kind <> 'D'").select("seq", "x.exp", F.explode(F.array_distinct(F.from_json("x.value", "array<string>"))).alias("name")).filter("name is not null")
+    raw = count_before(listed_, marks, "era").select("name", (F.col("era") + 1).alias("era"), "seq", "exp", F.lit(True).alias("there"))
+    event = lambda df, there: count_before(df.select("seq", "name"), marks, "era").select("name", "era", "seq", F.lit(0).cast("bigint").alias("exp"), F.lit(there).alias("there"))
+    every = raw.union(event(creates, True)).union(event(drops, False))
+    return every.withColumn("stop", F.lead("seq").over(W.partitionBy("name", "era").orderBy("seq"))).filter("there").select("name", "era", F.col("seq").alias("start"), "stop", "exp")
+
+
+def _scans(reqs: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For a script with KEYS or COLLECTION commands: the replies to its key operations, those to the scans
+    (seq, kind, n, s, lines), and what the scans change as operations.
+
+    The meta key is written without expiry. A MUPD of it counts if a key command wrote it before.
+    """
+    sub = F.when(F.col("verb") == "KEYS", "KEYS").otherwise(F.upper(F.get("args", F.lit(0))))
+    name = F.get("args", F.when(F.col("verb") == "KEYS", 0).otherwise(1))
+    scans = durable(reqs.filter(F.col("error").isNull() & F.col("verb").isin("KEYS", "COLLECTION")).select(F.col("seq").cast("bigint").alias("seq"), F.col("ts").cast("bigint").alias("ts"), sub.alias("sub"), name.alias("name")))
+    of = lambda what: scans.filter(F.col("sub") == what)
+    creates, drops, lists = of("CREATE"), of("DROP"), of("LIST")
+    flushes = log.filter("op = 'FLUSH'").select(F.col("seq").alias("m"))
+    # a DROP deletes the keys that any write before or after it touches; of those only what exists then is lost
+    touched = explode_ops(log).filter("kind in ('W', 'U')").select("key").distinct()
+    globs = drops.select("seq", "ts", F.concat("name", F.lit(":*")).alias("glob"))
+    dels = durable(_as_ops(match_globs(touched, globs).select("seq", "ts", "key", F.lit(None).cast("string").alias("value")), "DEL"))
+    told = durable(replies(log.union(dels)))
+    held = lives(told)
+    # a command sees what was there before it, what it ends itself included
+    inside = (F.col("start") < F.col("at")) & (F.col("stop").isNull() | (F.col("at") <= F.col("stop"))) & live("exp", F.col("ts"))
+    moment = lambda df, marks, epoch: count_before(df.withColumnRenamed("seq", "at"), marks, epoch, "at")
+    # names that keys have: at each CREATE whether it is one, at each LIST all
+    named = held.withColumn("name", collection_of("key")).filter("name is not null").drop("key", "value")
+    at = moment(creates, flushes, "epoch")
+    blocked = durable(at.join(named, (at.name == named.name) & (at.epoch == named.epoch) & (named.start < at["at"]) & (named.stop.isNull() | (at["at"] <= named.stop)) & live(named.exp, at.ts), "left_semi").select(F.col("at").alias("seq")))
+    marks = durable(flushes.union(told.filter((F.col("key") == META_KEY) & took_effect()).select("seq")).distinct())
+    free = creates.filter(~F.col("name").contains(":") & (F.col("name") != "")).join(blocked, "seq", "left_anti")
+    spans = durable(_declared(told, marks, free, drops))
+    known = moment(creates, marks, "in_era").join(spans.withColumnRenamed("name", "span"), (F.col("span") == F.col("name")) & (F.col("in_era") == F.col("era")) & inside, "left_semi").select(F.col("at").alias("seq"))
+    taken = durable(known.union(blocked).distinct())
+    bad = F.when(F.col("name").contains(":"), "collection name cannot contain ':'").when((F.col("name") == "") | F.col("taken"), F.concat(F.lit("collection already exists: "), "name"))
+    created = durable(creates.join(taken.withColumn("taken", F.lit(True)), "seq", "left").withColumn("bad", bad))
+    # the meta key behind each change of it
+    changes = moment(created.filter("bad is null").select("seq", "ts").union(drops.select("seq", "ts")), marks, "in_era")
+    after = (F.col("in_era") == F.col("era")) & (F.col("start") <= F.col("at")) & (F.col("stop").isNull() | (F.col("at") < F.col("stop"))) & live("exp", F.col("ts"))
+    names = changes.join(spans, after, "left").groupBy("at", "ts").agg(F.array_sort(F.collect_set("name")).alias("l"))
+    metas = durable(_as_ops(names.select(F.col("at").alias("seq"), "ts", F.lit(META_KEY).alias("key"), F.to_json("l").alias("value")), "SET"))
+    on_meta = (F.col("op") == "FLUSH") | (F.col("key") == META_KEY) | F.coalesce(F.exists("items", lambda i: i.key == META_KEY), F.lit(False)) | F.coalesce(F.array_contains("keys", META_KEY), F.lit(False))
+    r = durable(told.filter(F.col("key") != META_KEY).unionByName(replies(log.filter(on_meta).union(metas)).filter(F.col("key") == META_KEY)))
+    # what the listings find
+    keys = listed(lives(r), of("KEYS").select("seq", "ts", F.when(F.length("name") > 0, F.col("name")).otherwise("*").alias("glob")), flushes).select("seq", F.col("key").alias("line"))
+    order = lists.select(F.col("seq").alias("m"))
+    numbered = count_before(lists, order, "number")
+    seen = holding(named, lists).withColumn("number", F.explode(F.expr("sequence(lo, hi - 1)"))).join(numbered.select("number", F.col("seq").alias("at"), "ts"), "number")
+    by_key = count_before(seen, flushes, "in_epoch", "at").filter((F.col("in_epoch") == F.col("epoch")) & inside).select(F.col("at").alias("seq"), F.col("name").alias("line")).distinct()
+    by_name = moment(lists.drop("name"), marks, "in_era").join(spans, (F.col("in_era") == F.col("era")) & inside).select(F.col("at").alias("seq"), F.col("name").alias("line"))
+    lines = keys.union(by_key.union(by_name).distinct()).groupBy("seq").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    gone = r.join(drops.select("seq"), "seq", "left_semi").filter((F.col("key") != META_KEY) & (F.col("kind") == "D") & F.col("existed"))
+    n = gone.groupBy("seq").agg(F.count("*").cast("int").alias("n"))
+    kind = F.when(F.col("sub").isin("KEYS", "LIST"), "MULTI").when(F.col("sub") == "DROP", "INTEGER").when(F.col("bad").isNull(), "OK").otherwise("ERROR")
+    every = scans.join(lines, "seq", "left").join(n, "seq", "left").join(created.select("seq", "bad"), "seq", "left")
+    empty = F.when(kind == "MULTI", F.coalesce("lines", F.array().cast("array<string>")))
+    answers = every.select("seq", kind.alias("kind"), F.coalesce("n", F.lit(0)).alias("n"), F.col("bad").alias("s"), empty.alias("lines"))
+    lost = dels.join(gone.select("seq", "key"), ["seq", "key"], "left_semi").select(*metas.columns)
+    return r, answers, lost.union(metas)
+
+
 def run_script(script: DataFrame, read_only: str | None = None, base: DataFrame | None = None) -> DataFrame:
     """session, seq, reply (wire text) for every line of a script: session, seq (unique order), ts, line.
 
@@ -126,50 +200,14 @@ def execute(script: DataFrame, read_only: str | None = None, base: DataFrame | N
     """The replies of ``run_script``, and the script's writes as an op log."""
     reqs = durable(checked(requests(script), read_only))
     own_log = log_of(reqs)
-    names = own_log.columns
-    log = own_log if base is None else base.select(*names).union(own_log)
+    log = own_log if base is None else base.select(*own_log.columns).union(own_log)
     changed = own_log.filter(F.col("op").isin(*WRITES))
-    scans = reqs.filter(F.col("error").isNull() & F.col("verb").isin("KEYS", "COLLECTION")).orderBy("seq").limit(SCANS + 1).collect()
-    if len(scans) > SCANS:
-        raise ValueError(f"a script may hold {SCANS} KEYS and COLLECTION commands")
-    spark = script.sparkSession
-    told = []
-    for r in scans:
-        state = fold(log.filter((F.col("seq") < r.seq) & F.col("op").isin("SET", "DEL", "MSET", "MDEL", "MUPD", "FLUSH")), int(r.ts))
-        row = lambda kind, n=F.lit(0), s=F.lit(None), lines=F.lit(None), r=r: [F.lit(int(r.seq)).alias("seq"), F.lit(kind).alias("kind"), n.cast("int").alias("n"), s.cast("string").alias("s"), lines.cast("array<string>").alias("lines")]
-        sub = r.args[0].upper() if r.verb == "COLLECTION" else "KEYS"
-        if sub == "KEYS":
-            found = state.filter(glob_match("key", (r.args[0] if r.args else "") or "*"))
-            told.append(found.agg(F.array_sort(F.collect_list("key")).alias("l")).select(*row("MULTI", lines=F.col("l"))))
-            continue
-        if sub == "LIST":
-            told.append(C.names(state).agg(F.array_sort(F.collect_list("name")).alias("l")).select(*row("MULTI", lines=F.col("l"))))
-            continue
-        name = r.args[1]
-        if sub == "CREATE":
-            wanted = spark.createDataFrame([(name,)], "name string")
-            error = C.create_errors(state, wanted).first().error
-            told.append(spark.range(1).select(*row("OK" if error is None else "ERROR", s=F.lit(error))))
-            if error is not None:
-                continue
-            meta = C.create(state, wanted)
-        else:
-            told.append(C.dropped(state, name).select(*row("INTEGER", n=F.col("n"))))
-            kept = C.declared(state).filter(F.col("name") != name).agg(F.array_sort(F.collect_list("name")).alias("l"))
-            meta = kept.select(F.lit(META_KEY).alias("key"), F.to_json("l").alias("value"))
-        null = lambda t: F.lit(None).cast(t)
-        pairs, names = "array<struct<key:string,value:string>>", "array<string>"
-        change = meta.select(F.lit(int(r.seq)).alias("seq"), F.lit(int(r.ts)).alias("ts"), F.lit("SET").alias("op"), "key", "value", F.lit(0).cast("bigint").alias("expireAt"), null(pairs).alias("items"), null(names).alias("keys"))
-        if sub == "DROP":
-            gone = state.filter(glob_match("key", f"{name}:*"))
-            change = change.union(gone.select(F.lit(int(r.seq)), F.lit(int(r.ts)), F.lit("DEL"), "key", null("string"), F.lit(0).cast("bigint"), null(pairs), null(names)))
-        change = durable(change)
-        log, changed = log.union(change), changed.union(change)
-    # what a scan changed is in the log, but it has its own reply
-    own = [int(r.seq) for r in scans]
-    answered = _key_replies(log).filter(~F.col("seq").isin(*own)) if own else _key_replies(log)
-    for t in told:
-        answered = answered.union(t)
+    if reqs.filter(F.col("error").isNull() & F.col("verb").isin("KEYS", "COLLECTION")).isEmpty():
+        answered = _key_replies(own_log, _own(replies(log), base, own_log))
+    else:
+        r, scanned, changes = _scans(reqs, log)
+        answered = _key_replies(own_log, _own(r, base, own_log)).union(scanned)
+        changed = changed.union(changes)
     v = F.col("verb")
     name = F.coalesce(F.get("args", F.lit(0)), F.lit(""))
     use = F.when(name.isin("", "*"), '"OK (default)"').otherwise(F.concat(F.lit('"OK (using '), name, F.lit(')"')))
@@ -177,6 +215,11 @@ def execute(script: DataFrame, read_only: str | None = None, base: DataFrame | N
     return reqs.join(answered, "seq", "left").select("session", "seq", wire.alias("reply")), changed
 
 
+def _own(r: DataFrame, base: DataFrame | None, own_log: DataFrame) -> DataFrame:
+    """The replies to a script's own operations."""
+    return r if base is None else r.join(own_log.select("seq"), "seq", "left_semi")
+
+
 def batch_count(ops: DataFrame) -> DataFrame:
     """n for a batch of (seq, ts, op, key, value): every SET counts, a DEL if it removed something, other ops not at all."""
     log = ops.filter(F.col("op").isin("SET", "DEL")).select("seq", "ts", "op", "key", "value", F.lit(0).cast("bigint").alias("expireAt"), F.lit(None).cast("array<struct<key:string,value:string>>").alias("items"), F.lit(None).cast("array<string>").alias("keys"))

@@ -23,6 +23,10 @@ def test_errors(spark):
     assert all(r.startswith("(error) ERR ") for r in got), got
     assert got[0] == "(error) ERR wrong number of arguments for 'SET'" and got[5] == got[6] == "(error) ERR value is not an integer or out of range"
     assert got[7] == "(error) ERR unknown command 'NOPE'" and got[9] == "(error) ERR empty line" and got[10] == "(error) ERR unterminated quoted string"
+    texts = ["cluster mode not enabled", "wrong number of arguments for 'COLLECTION' — usage: COLLECTION LIST|CREATE|DROP ...", "unknown COLLECTION sub-command: WHAT — valid: LIST, CREATE, DROP", "collection name cannot contain ':'"]
+    assert got[11:15] == [f"(error) ERR {t}" for t in texts]
+    assert got[8] == "(error) ERR unknown command 'RENAME'"
+    assert [got[i] for i in (1, 2, 3, 4, 15, 16, 17)] == [f"(error) ERR wrong number of arguments for '{v}'" for v in ("GET", "GET", "MSET", "MUPD", "MGET", "TYPE", "MDEL")]
 
 
 def test_values_types_and_ttl(spark):
@@ -47,10 +51,34 @@ def test_read_only_follower(spark):
     assert replies(spark, ["SET a 1", "GET a"], read_only="n2") == ["(error) ERR not the leader, current leader is n2", "(nil)"]
 
 
-def test_too_many_scans(spark, monkeypatch):
-    monkeypatch.setattr("keyloom.plans.session.SCANS", 2)
-    with pytest.raises(ValueError):
-        replies(spark, ["KEYS"] * 3)
+def test_more_than_a_hundred_listings(spark):
+    lines, want = [], []
+    for i in range(60):
+        lines += [f"SET k{i % 9}:{i} {i}", f"KEYS k{i % 9}:*", "KEYS *9"]
+        keys = [f"k{j % 9}:{j}" for j in range(i + 1)]
+        want += ["OK", sorted(k for k in keys if k.startswith(f"k{i % 9}:")), sorted(k for k in keys if k.endswith("9"))]
+    got = replies(spark, lines)
+    assert got == [w if isinstance(w, str) else "\n".join([*(f'"{k}"' for k in w), "*END"]) for w in want]
+
+
+def test_listings_see_deletions_expiries_and_truncations(spark):
+    lines = ["SET a 1", "SET t x 1", "MSET b 1 b 2", "KEYS", "DEL a", "KEYS", "FLUSH", "KEYS", "MUPD a 5", "SET a 2", "KEYS a", "KEYS a*b*"]
+    assert replies(spark, lines)[3::2] == ['"a"\n"b"\n"t"\n*END', '"b"\n"t"\n*END', "*END", "OK", "*END"]
+    rows = [("s", i, ts, x) for i, (ts, x) in enumerate([(0, "SET t v 5"), (4999, "KEYS"), (5000, "KEYS"), (5001, "COLLECTION LIST")])]
+    df = spark.createDataFrame(rows, "session string, seq bigint, ts bigint, line string")
+    assert [r.reply for r in run_script(df).orderBy("seq").collect()] == ["OK", '"t"\n*END', "*END", "*END"]
+
+
+def test_collections_over_flushes_and_raw_writes_of_the_meta_key(spark):
+    lines = [
+        ("COLLECTION CREATE a", "OK"), ("COLLECTION CREATE b", "OK"), ("GET __collections__", '"[\\"a\\",\\"b\\"]"'), ("KEYS", '"__collections__"\n*END'),
+        ("COLLECTION DROP a", "(integer) 0"), ("COLLECTION LIST", '"b"\n*END'), ("COLLECTION CREATE a", "OK"), ("FLUSH", "OK"), ("COLLECTION LIST", "*END"), ("COLLECTION CREATE b", "OK"),
+        ('SET __collections__ "[\\"x\\",\\"y\\"]"', "OK"), ("COLLECTION LIST", '"x"\n"y"\n*END'), ("COLLECTION CREATE x", "(error) ERR collection already exists: x"), ("COLLECTION DROP x", "(integer) 0"),
+        ("GET __collections__", '"[\\"y\\"]"'), ("SET k:1 v", "OK"), ("COLLECTION CREATE k", "(error) ERR collection already exists: k"), ("DEL k:1", "(integer) 1"), ("COLLECTION CREATE k", "OK"),
+        ("DEL __collections__", "(integer) 1"), ("COLLECTION LIST", "*END"), ("COLLECTION CREATE x:y", "(error) ERR collection name cannot contain ':'"), ("EXISTS __collections__", "(integer) 0"),
+        ("SET k:2 v", "OK"), ("COLLECTION DROP k", "(integer) 1"), ("SET k:2 w", "OK"), ("COLLECTION LIST", '"k"\n*END'), ("COLLECTION DROP *", "(integer) 1"), ("COLLECTION LIST", "*END"),
+    ]
+    assert replies(spark, [x for x, _ in lines]) == [y for _, y in lines]
 
 
 def test_last_before_is_carried_over_slices(spark, monkeypatch):
