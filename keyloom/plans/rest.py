@@ -1,7 +1,7 @@
 """HTTP-style requests as a DataFrame: method, path, query and body to status and JSON.
 
-The store's routes over an op log; sockets and headers are not part of it. Only listing keys looks at
-the whole key space, and costs a fold of the log before it.
+The store's routes over an op log; sockets and headers are not part of it. All key listings of a set of
+requests are answered together, from the stretches of the log in which each entry lived.
 """
 
 from __future__ import annotations
@@ -9,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.exprs import expire_at, glob_match
-from keyloom.operators.fold import fold, replies
+from keyloom.functions.exprs import expire_at
+from keyloom.operators.fold import replies
+from keyloom.operators.listing import listed, lives
 from keyloom.runtime import durable
 
-#: Most key listings in one set of requests.
-LISTINGS = 100
-#: Operations of a request have seq * STEP + their place as their seq in the log.
-STEP = 1 << 20
+#: Operations of a request have seq * STEP + their place as their seq in the log, a decimal; no array has more places.
+STEP = 1 << 31
 _BODY = "value string, ttl bigint, ops array<struct<op:string,key:string,value:string>>"
 _PAIRS, _NAMES = "array<struct<key:string,value:string>>", "array<string>"
 
@@ -57,7 +56,7 @@ def log_of(reqs: DataFrame) -> DataFrame:
     each = rows.select("seq", "ts", "exp", F.posexplode(F.when(route == "batch", many).otherwise(one)).alias("pos", "o"))
     update = F.col("o.op") == "MUPD"
     return each.select(
-        (F.col("seq") * STEP + F.col("pos")).cast("bigint").alias("seq"),
+        (_place(F.col("seq")) + F.col("pos")).cast("decimal(38,0)").alias("seq"),
         F.col("ts").cast("bigint").alias("ts"),
         F.col("o.op").alias("op"),
         F.when(~update, F.col("o.key")).alias("key"),
@@ -68,6 +67,24 @@ def log_of(reqs: DataFrame) -> DataFrame:
     )
 
 
+def _place(seq: Column) -> Column:
+    """Where a request's operations begin in the log."""
+    return (seq.cast("decimal(28,0)") * F.lit(STEP).cast("decimal(10,0)")).cast("decimal(38,0)")
+
+
+def key_listings(requests: DataFrame) -> DataFrame:
+    """seq, key for each key listing and the keys that it finds, a row each, for answers too large for one body."""
+    reqs = durable(routed(requests))
+    log = log_of(reqs)
+    return _found(reqs, log, durable(replies(log)))
+
+
+def _found(reqs: DataFrame, log: DataFrame, r: DataFrame) -> DataFrame:
+    lists = reqs.filter("route = 'list'").select(F.col("seq").cast("bigint").alias("req"), _place(F.col("seq")).alias("seq"), F.col("ts").cast("bigint").alias("ts"), pattern_of(F.col("query")).alias("glob"))
+    flushes = log.filter("op = 'FLUSH'").select(F.col("seq").alias("m"))
+    return listed(lives(r), lists.drop("req"), flushes).select(F.expr(f"seq div {STEP}").alias("seq"), "key")
+
+
 def respond(requests: DataFrame) -> DataFrame:
     """seq, status, body for every request; ts must not fall with seq, which is unique.
 
@@ -76,25 +93,18 @@ def respond(requests: DataFrame) -> DataFrame:
     """
     reqs = durable(routed(requests))
     log = log_of(reqs)
-    r = replies(log).withColumn("req", F.floor(F.col("seq") / STEP))
-    done = r.groupBy("req").agg(F.sum(((F.col("op") == "SET") | F.col("existed")).cast("int")).alias("n"), F.max("old_value").alias("old"), F.max("existed").alias("existed"))
-    lists = reqs.filter("route = 'list'").select("seq", "ts", "query").orderBy("seq").limit(LISTINGS + 1).collect()
-    if len(lists) > LISTINGS:
-        raise ValueError(f"a set of requests may hold {LISTINGS} key listings")
-    spark, listed = requests.sparkSession, None
-    for q in lists:
-        pattern = pattern_of(q.query)
-        state = fold(log.filter(F.col("seq") < q.seq * STEP), int(q.ts))
-        found = state.filter(glob_match("key", pattern)).agg(F.array_sort(F.collect_list("key")).alias("keys")).select(F.lit(int(q.seq)).alias("lseq"), F.to_json(F.struct("keys")).alias("keys"))
-        listed = found if listed is None else listed.union(found)
-    listed = spark.createDataFrame([], "lseq bigint, keys string") if listed is None else listed
+    r = durable(replies(log))
+    done = r.groupBy(F.expr(f"seq div {STEP}").alias("req")).agg(F.sum(((F.col("op") == "SET") | F.col("existed")).cast("int")).alias("n"), F.max("old_value").alias("old"), F.max("existed").alias("existed"))
+    listed_ = requests.sparkSession.createDataFrame([], "lseq bigint, keys array<string>")
+    if not reqs.filter("route = 'list'").isEmpty():
+        listed_ = _found(reqs, log, r).groupBy(F.col("seq").alias("lseq")).agg(F.array_sort(F.collect_list("key")).alias("keys"))
     route, key = F.col("route"), F.col("key")
     status = F.when(route.isin("no key", "no value"), 400).when(route == "not found", 404).when(route == "not allowed", 405).when(route == "bad json", 500).otherwise(200)
     named = F.concat(F.lit('{"key":'), _json(key))
     body = (
         F.when(route == "options", "{}")
         .when(route == "ping", '{"pong":true}')
-        .when(route == "list", F.col("keys"))
+        .when(route == "list", F.to_json(F.struct(F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))))
         .when(route.isin("flush", "post"), '{"ok":true}')
         .when(route == "batch", F.concat(F.lit('{"count":'), F.coalesce("n", F.lit(0)).cast("string"), F.lit("}")))
         .when((route == "get") & F.col("existed"), F.concat(named, F.lit(',"value":'), _json(F.col("old")), F.lit(',"exists":true}')))
@@ -107,15 +117,11 @@ def respond(requests: DataFrame) -> DataFrame:
         .when(route == "not allowed", '{"error":"method not allowed"}')
         .otherwise('{"error":"body is not JSON"}')
     )
-    return reqs.join(done, reqs.seq == done.req, "left").join(listed, reqs.seq == listed.lseq, "left").select("seq", status.alias("status"), body.alias("body"))
+    return reqs.join(done, reqs.seq == done.req, "left").join(listed_, reqs.seq == listed_.lseq, "left").select("seq", status.alias("status"), body.alias("body"))
 
 
-def pattern_of(query: str | None) -> str:
+def pattern_of(query: Column) -> Column:
     """The key pattern of a query string; * where it has none."""
-    from urllib.parse import unquote_plus
-
-    for pair in (query or "").split("&"):
-        name, eq, value = pair.partition("=")
-        if name == "pattern":
-            return unquote_plus(value) if eq else "*"
-    return "*"
+    first = F.regexp_extract(query, r"(?:^|&)pattern(=[^&]*)?(?=&|$)", 1)
+    text = F.substring(first, F.lit(2), F.length(first))
+    return F.when(F.length(first) > 0, F.coalesce(F.try_url_decode(text), text)).otherwise("*")

@@ -1,6 +1,8 @@
 import json
 
-from keyloom.plans.rest import pattern_of, respond
+from pyspark.sql import functions as F
+
+from keyloom.plans.rest import key_listings, pattern_of, respond
 from keyloom.plans.store import Store
 
 
@@ -49,4 +51,19 @@ def test_requests(spark):
     df = spark.createDataFrame([(i, i, *r[:4]) for i, r in enumerate(reqs)], "seq bigint, ts bigint, method string, path string, query string, body string")
     got = {r.seq: (r.status, json.loads(r.body)) for r in respond(df).collect()}
     assert got == {i: (r[4], r[5]) for i, r in enumerate(reqs)}
-    assert pattern_of("x=1&pattern=a%3A*") == "a:*" and pattern_of(None) == pattern_of("pattern") == "*"
+
+
+def test_patterns_of_queries(spark):
+    want = {"x=1&pattern=a%3A*": "a:*", None: "*", "pattern": "*", "pattern=": "", "pattern=a+b&pattern=c": "a b", "pattern=%zz": "%zz", "patterns=x": "*"}
+    df = spark.createDataFrame([(q,) for q in want], "q string")
+    assert {r.q: r.p for r in df.select("q", pattern_of(F.col("q")).alias("p")).collect()} == want
+
+
+def test_many_listings_and_a_large_batch(spark):
+    body = json.dumps({"ops": [{"op": "SET", "key": f"k{i % 50}", "value": str(i)} for i in range(3000)]})
+    reqs = [("POST", "/api/keys/batch", None, body)] + [("GET", "/api/keys", f"pattern=k{i % 50}", None) for i in range(130)] + [("DELETE", "/api/keys/k7", None, None), ("GET", "/api/keys", "pattern=k7", None)]
+    df = spark.createDataFrame([(2**50 + i, i, *r) for i, r in enumerate(reqs)], "seq bigint, ts bigint, method string, path string, query string, body string")
+    got = {r.seq - 2**50: json.loads(r.body) for r in respond(df).collect()}
+    assert got[0] == {"count": 3000} and got[132] == {"keys": []}
+    assert all(got[1 + i] == {"keys": [f"k{i % 50}"]} for i in range(130))
+    assert key_listings(df).count() == 130
