@@ -14,7 +14,7 @@ MERGE_AT, MERGE_MOST = 4, 8
 _LOG = ["seq", "ts", "op", "key", "value", "valueType", "expireAt", "items", "keys"]
 
 
-def _as_log(rows: DataFrame) -> DataFrame:
+def _log_rows(rows: DataFrame) -> DataFrame:
     """seq, ts, op, key, value, exp as log rows; an update keeps its condition as an MUPD of one pair."""
     pair = F.when(F.col("op") == "MUPD", F.array(F.struct("key", "value")))
     one = F.col("op") != "MUPD"
@@ -28,7 +28,22 @@ def snapshot(log: DataFrame, now: int) -> DataFrame:
     """
     high = log.agg(F.max("seq")).first()[0] or 0
     state = fold(log, now)
-    return _as_log(state.select(F.lit(high).alias("seq"), F.col("created_at").alias("ts"), F.lit("SET").alias("op"), "key", "value", F.col("expire_at").alias("exp")))
+    return _log_rows(state.select(F.lit(high).alias("seq"), F.col("created_at").alias("ts"), F.lit("SET").alias("op"), "key", "value", F.col("expire_at").alias("exp")))
+
+
+def segment(log: DataFrame) -> DataFrame:
+    """One operation for each key behind the last FLUSH of a stretch of the log: key, kind (W, D, U), at, exp, value, ts, seq."""
+    b = bounds(log)
+    rest = log if b.flush is None else log.filter(F.col("seq") > b.flush)
+    ops = explode_ops(rest).filter("kind <> 'R'").withColumn("slice", slice_of(rest, b, None)).withColumn("at", F.col("ts")).withColumn("last", F.col("seq"))
+    part = replay(ops, ["key", "slice"], ["seq", "pos"], ["value", "ts", "last"])
+    return replay(part, ["key"], ["slice"], ["value", "ts", "last"]).withColumnRenamed("last", "seq")
+
+
+def as_log(ops: DataFrame) -> DataFrame:
+    """Operations of ``segment`` as log rows; a conditional update is made at the moment at which it asks for its entry."""
+    op = F.when(F.col("kind") == "W", "SET").when(F.col("kind") == "D", "DEL").otherwise("MUPD")
+    return _log_rows(ops.select("seq", F.when(F.col("kind") == "U", F.col("at")).otherwise(F.col("ts")).alias("ts"), op.alias("op"), "key", "value", "exp"))
 
 
 def compact_segment(log: DataFrame) -> DataFrame:
@@ -37,20 +52,16 @@ def compact_segment(log: DataFrame) -> DataFrame:
     Deletions and conditional updates stay, as they act on what came before the stretch:
     fold(a + compact_segment(b) + c) = fold(a + b + c), but for created_at of updated entries.
     """
-    b = bounds(log)
-    rest = log if b.flush is None else log.filter(F.col("seq") > b.flush)
-    ops = explode_ops(rest).filter("kind <> 'R'").withColumn("slice", slice_of(rest, b, None)).withColumn("at", F.col("ts"))
-    part = replay(ops, ["key", "slice"], ["seq", "pos"], ["value", "ts", "seq"])
-    ends = replay(part.withColumnRenamed("seq", "last"), ["key"], ["slice"], ["value", "ts", "last"])
-    op = F.when(F.col("kind") == "W", "SET").when(F.col("kind") == "D", "DEL").otherwise("MUPD")
-    kept = _as_log(ends.select(F.col("last").alias("seq"), F.when(F.col("kind") == "U", F.col("at")).otherwise(F.col("ts")).alias("ts"), op.alias("op"), "key", "value", "exp"))
-    return kept if b.flush is None else kept.unionByName(log.filter(F.col("seq") == b.flush).select(*_LOG))
+    last = bounds(log).flush
+    kept = as_log(segment(log))
+    return kept if last is None else kept.unionByName(log.filter(F.col("seq") == last).select(*_LOG))
 
 
-def write_run(state: DataFrame, path: str, files: int | None = None) -> None:
-    """Write a state as a run sorted by key, with min/max statistics and a Bloom filter on the key for point reads."""
-    placed = state.repartitionByRange(files, "key") if files else state.repartitionByRange("key")
-    placed.sortWithinPartitions("key").write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", "0.01").parquet(path)
+def write_run(rows: DataFrame, path: str, files: int | None = None, compression: str = "snappy") -> None:
+    """Write rows with a key as a run sorted by key, with min/max statistics and a Bloom filter on the key for point reads."""
+    placed = rows.repartitionByRange(files, "key") if files else rows.repartitionByRange("key")
+    writer = placed.sortWithinPartitions("key").write.mode("overwrite").option("compression", compression)
+    writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", "0.01").parquet(path)
 
 
 def due(runs: list) -> list:

@@ -105,16 +105,19 @@ def _running(ops: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return chained.withColumn("prev", prev).drop("seg", "ok")
 
 
-def replies(log: DataFrame, slices: int | None = None) -> DataFrame:
+def replies(log: DataFrame, slices: int | None = None, only: DataFrame | None = None) -> DataFrame:
     """What each touched key looked like before its operation: seq, pos, ts, op, kind, key, value, exp, existed, old_value, epoch.
 
     ``existed``: the key was there; ``old_value``: its value then, null if it was not. For DEL, MDEL and
     MUPD ``existed`` is also whether the operation took effect; for reads it is the answer; ``epoch`` counts the FLUSHes before. Slices of a
-    key are given the state that the slices before them leave, so a hot key is spread over tasks.
+    key are given the state that the slices before them leave, so a hot key is spread over tasks. With
+    ``only`` (key), no other keys are looked at.
     """
     b = bounds(log)
     slices = slices or b.n // SLICE_OPS + 1
-    ops = with_epoch(explode_ops(log), log, b).withColumn("slice", slice_of(log, b, slices)).withColumn("at", F.col("ts"))
+    every = explode_ops(log)
+    asked = every if only is None else every.join(small_side(only.select("key").distinct()), "key", "left_semi")
+    ops = with_epoch(asked, log, b).withColumn("slice", slice_of(log, b, slices)).withColumn("at", F.col("ts"))
     by, order = ["key", "epoch", "slice"], [F.col("seq").asc_nulls_first(), F.col("pos")]
     if slices > 1:
         part = replay(ops.filter("kind <> 'R'"), by, ["seq", "pos"], ["value"])

@@ -203,7 +203,8 @@ def execute(script: DataFrame, read_only: str | None = None, base: DataFrame | N
     log = own_log if base is None else base.select(*own_log.columns).union(own_log)
     changed = own_log.filter(F.col("op").isin(*WRITES))
     if reqs.filter(F.col("error").isNull() & F.col("verb").isin("KEYS", "COLLECTION")).isEmpty():
-        answered = _key_replies(own_log, _own(replies(log), base, own_log))
+        touched = None if base is None else explode_ops(own_log).select("key")
+        answered = _key_replies(own_log, _own(replies(log, only=touched), base, own_log))
     else:
         r, scanned, changes = _scans(reqs, log)
         answered = _key_replies(own_log, _own(r, base, own_log)).union(scanned)

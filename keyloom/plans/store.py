@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from keyloom.operators import collections as C
 from keyloom.operators import lookup
 from keyloom.operators.compact import snapshot, write_run
-from keyloom.operators.fold import fold
 from keyloom.plans.session import execute
+from keyloom.operators.fold import STATE
 from keyloom.runtime import durable
-from keyloom.sources.oplog import FIELDS, append_log, read_log
+from keyloom.sources import runs
+from keyloom.sources.oplog import FIELDS, FILE, LAST, append_log, file_numbers, read_log
 
 
 class Store:
@@ -30,17 +31,17 @@ class Store:
 
     def log(self) -> DataFrame:
         """All operations in order."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        if not file_numbers(self.spark, self.path):
             return self.spark.createDataFrame([], f"seq bigint, {FIELDS}")
         return read_log(self.spark, self.path)
 
     def execute(self, lines: Sequence[str] | DataFrame, now: int | None = None) -> DataFrame:
         """seq, session, reply for command lines, or for a script DataFrame (session, seq, ts, line); writes are appended."""
         now = int(time.time() * 1000) if now is None else now
-        base = durable(self.log())
-        high = base.agg(F.max("seq")).first()[0] or 0
+        numbers = file_numbers(self.spark, self.path)
+        base = runs.as_base(self.spark, self.path) if numbers else None
+        # behind every place of the files that are there; the writes make new files
+        high = (max([n for n in numbers if n < LAST], default=-1) + 1) * FILE if LAST not in numbers else (LAST + 1) * FILE
         if isinstance(lines, DataFrame):
             script = lines.withColumn("seq", F.col("seq") + high + 1)
         else:
@@ -53,11 +54,15 @@ class Store:
 
     def state(self, now: int | None = None) -> DataFrame:
         """The current entries."""
-        return fold(self.log(), int(time.time() * 1000) if now is None else now)
+        if not file_numbers(self.spark, self.path):
+            return self.spark.createDataFrame([], STATE)
+        return runs.state(self.spark, self.path, int(time.time() * 1000) if now is None else now)
 
     def get(self, key: str, now: int | None = None) -> str | None:
         """One key's value, None if it does not exist."""
-        row = lookup.get(self.state(now), key).first()
+        if not file_numbers(self.spark, self.path):
+            return None
+        row = runs.state(self.spark, self.path, int(time.time() * 1000) if now is None else now, key).first()
         return row and row.value
 
     def mget(self, probes: DataFrame, now: int | None = None) -> DataFrame:
@@ -84,6 +89,10 @@ class Store:
         """Write the log as one SET for each entry to the new directory ``to``, which is a store of the same state."""
         append_log(snapshot(self.log(), int(time.time() * 1000) if now is None else now), to, gzip=True)
 
+    def maintain(self, now: int | None = None, least: int = runs.FLUSH_BYTES) -> None:
+        """Make a sorted run of the log behind the runs, once that has ``least`` bytes, and merge the runs that are due."""
+        runs.maintain(self.spark, self.path, int(time.time() * 1000) if now is None else now, least)
+
     def checkpoint(self, to: str, now: int | None = None) -> None:
         """Write the state as a run sorted by key, for point reads by other engines."""
         write_run(self.state(now), to)

@@ -86,6 +86,11 @@ def log_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return [(f.getPath().getName(), f.getLen()) for f in listed if f.isFile() and ".jsonl" in f.getPath().getName()]
 
 
+def file_numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of ``log_files``; a file without one counts as active."""
+    return [LAST if (n := _number(f)) is None else n for f, _ in log_files(spark, path)]
+
+
 def append_log(ops: DataFrame, path: str, gzip: bool = False, rotate: int = ROTATE) -> int:
     """Append operations to a log directory as rotated-N.jsonl files that follow each other in seq order; the next free N.
 
