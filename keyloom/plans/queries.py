@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 from keyloom.functions import exprs, protocol
 from keyloom.operators import collections as C
 from keyloom.operators import lookup
-from keyloom.operators.compact import merge_runs, snapshot
+from keyloom.operators.compact import compact_segment, merge_runs, snapshot
 from keyloom.operators.fold import bounds, explode_ops, fold, op_counts, replies
+from keyloom.operators.listing import match_globs
+from keyloom.plans.rest import respond
 from keyloom.plans.session import batch_count, run_script
 from keyloom.runtime import durable, table, use_checkpoint_dir
+from keyloom.sources import runs
 from keyloom.sources.derived import EARLY, MANY, bulk_log, customer_state, end_of, event_log, user_probes
 from keyloom.sources.oplog import append_log, cluster_links, decode, read_log
+from keyloom.streaming.keyed import answers
 from keyloom.streaming.replica import current, follow, last_batch
 
 #: Files in which the log arrives at the follower, each a batch of its own.
 STREAM_FILES = 4
-#: Most globs that are matched against all keys in one pass.
-PATTERNS = 1000
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -113,13 +115,12 @@ def fold_bulk(spark, sf_dir, flush=MANY):
     return fold(log, end_of(log)).select("key", "value", "expire_at")
 
 
-@query(f"WITH {_OPS} SELECT DISTINCT key FROM o WHERE op <> 'FLUSH' AND seq < (SELECT max(seq) FROM o WHERE op = 'FLUSH') AND key NOT IN (SELECT key FROM o WHERE op <> 'FLUSH' AND seq > (SELECT max(seq) FROM o WHERE op = 'FLUSH'))")
-def fold_flush(spark, sf_dir):
-    """Keys touched before the last FLUSH and never after it."""
-    log = event_log(spark, sf_dir)
-    last = log.filter("op = 'FLUSH'").agg(F.max("seq")).first()[0]
+@query(f"WITH {_OPS} SELECT key, max(seq) > (SELECT max(seq) FROM o WHERE op = 'FLUSH') AS later FROM o WHERE op <> 'FLUSH' GROUP BY key", long=True)
+def fold_flush(spark, sf_dir, flush=MANY):
+    """All keys ever touched, and whether an operation behind the last FLUSH touches them."""
+    log = event_log(spark, sf_dir, flush=flush)
     ops = explode_ops(log).groupBy("key").agg(F.max("seq").alias("last"))
-    return ops.filter(F.col("last") < F.lit(last)).select("key")
+    return ops.select("key", (F.col("last") > F.lit(bounds(log).flush)).alias("later"))
 
 
 @query(f"WITH {_OPS} SELECT seq, key, (e <= 0 OR (SELECT max(ts) + 1 FROM o) < e) AS live FROM o WHERE op = 'SET'")
@@ -226,14 +227,9 @@ def keys_literal(spark, sf_dir):
 
 @query("SELECT r_name AS region, c_mktsegment || ':' || c_custkey AS key FROM customer, region WHERE regexp_full_match(c_mktsegment || ':' || c_custkey, substr(r_name, 1, 1) || '.*:.*' || r_regionkey)")
 def keys_pattern_column(spark, sf_dir):
-    """Keys by globs that are data: a handful of patterns, sent to every task, against all keys."""
+    """Keys by globs that are data: joined on what a pattern begins with."""
     patterns = table(spark, sf_dir, "region").select(F.col("r_name").alias("region"), F.concat(F.substring("r_name", 1, 1), F.lit("*:*"), "r_regionkey").alias("glob"))
-    some = [(r.region, r.glob) for r in patterns.limit(PATTERNS + 1).collect()]
-    if len(some) > PATTERNS:
-        raise ValueError(f"more than {PATTERNS} patterns at once")
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("region"), F.lit(g).alias("glob")) for n, g in some]))
-    state = customer_state(spark, sf_dir).select("key", each.alias("p"))
-    return state.filter(exprs.glob_match("key", F.col("p.glob"))).select("p.region", "key")
+    return match_globs(customer_state(spark, sf_dir).select("key"), patterns).select("region", "key")
 
 
 @query(f"WITH {_OPS}, {_STATE} SELECT key, value FROM st WHERE key >= 'user:2' AND key < 'user:5'", long=True)
@@ -457,3 +453,148 @@ def stream_replica(spark, sf_dir, flush=MANY):
 def cluster_peers(spark, sf_dir):
     """A row for each peer of each node."""
     return cluster_links(table(spark, sf_dir, "nodes"))
+
+
+# ---- runs over written files --------------------------------------------------------------------------
+
+
+def _run_store(spark: SparkSession, sf_dir: str, flush: str) -> tuple[str, int]:
+    """A log of four files and a tail, with a sorted run for each of the four, and a moment behind it."""
+    path = _shared(spark, "runs")
+    log = event_log(spark, sf_dir, flush=flush).withColumn("valueType", F.lit(None).cast("string"))
+    b = bounds(log)
+    low, step = b.low or 0, ((b.high or 0) - (b.low or 0)) // 5 + 1
+    for i in range(5):
+        append_log(log.filter((F.col("seq") >= low + i * step) & (F.col("seq") < low + (i + 1) * step)), path)
+        if i < 4:
+            runs.flush_tail(spark, path)
+    return path, end_of(log)
+
+
+def _entries(df: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    found = durable(df.select("key", "value", "expire_at", "created_at"))
+    _forget(spark, path)
+    return found
+
+
+@query(f"WITH {_OPS}, {_STATE} SELECT key, value, expire_at, created_at FROM st", long=True)
+def run_scan(spark, sf_dir, flush=MANY):
+    """The state off sorted runs and the log behind them."""
+    path, now = _run_store(spark, sf_dir, flush)
+    return _entries(runs.state(spark, path, now), spark, path)
+
+
+@query(f"WITH {_OPS}, {_STATE} SELECT key, value, expire_at, created_at FROM st", long=True)
+def run_merge(spark, sf_dir, flush=MANY):
+    """The same after the runs were merged into one."""
+    path, now = _run_store(spark, sf_dir, flush)
+    runs.maintain(spark, path, 0)
+    return _entries(runs.state(spark, path, now), spark, path)
+
+
+@query(f"WITH {_OPS}, {_STATE} SELECT key, value, expire_at, created_at FROM st WHERE key = 'user:1'", long=True)
+def run_point_get(spark, sf_dir, flush=MANY):
+    """One key's entry, asked of each run."""
+    path, now = _run_store(spark, sf_dir, flush)
+    return _entries(runs.state(spark, path, now, "user:1"), spark, path)
+
+
+@query(f"WITH {_OPS}, {_STATE} SELECT key, value, expire_at FROM st", long=True)
+def compacted_segments(spark, sf_dir, flush=MANY):
+    """The state of a log of which each of two stretches was compacted by itself."""
+    log = event_log(spark, sf_dir, flush=flush).withColumn("valueType", F.lit(None).cast("string"))
+    b = bounds(log)
+    cut = ((b.low or 0) + (b.high or 0)) // 2
+    parts = compact_segment(log.filter(F.col("seq") <= cut)).unionByName(compact_segment(log.filter(F.col("seq") > cut)))
+    return fold(parts, end_of(log)).select("key", "value", "expire_at")
+
+
+# ---- requests, sessions, keyed streams -----------------------------------------------------------------
+
+_JSON = """'"' || replace(regexp_replace({0}, '(["\\\\])', '\\\\\\1', 'g'), chr(10), '\\n') || '"'"""
+#: One request for each event: every 97th ones ask for something else, the others set, update, read, delete and flush.
+_REQUESTS = """r AS (SELECT event_id AS seq, epoch_us(ts) // 1000 AS ts, event_id % 97 AS odd, 'user:' || user_id AS key, props, value AS v,
+        CASE WHEN event_id % 4000 = 3999 THEN 'FLUSH' WHEN event_id % 97 BETWEEN 5 AND 12 THEN 'ODD' WHEN event_type IN ('signup', 'click') THEN 'SET' WHEN event_type = 'purchase' THEN 'MUPD' WHEN event_type = 'view' THEN 'GET' ELSE 'DEL' END AS op FROM events),
+    o AS (SELECT seq, ts, 0 AS pos, op, CASE op WHEN 'SET' THEN 'W' WHEN 'MUPD' THEN 'U' WHEN 'GET' THEN 'R' ELSE 'D' END AS kind, key, CASE op WHEN 'SET' THEN props WHEN 'MUPD' THEN 'p' || seq END AS value,
+        CASE WHEN op IN ('SET', 'MUPD') AND floor(v) > 40 THEN ts + CAST(floor(v) AS BIGINT) * 1000000 ELSE 0 END AS e FROM r WHERE op <> 'ODD')"""
+
+
+@query(f"""WITH {_REQUESTS}, {_SEEN},
+    li AS (SELECT seq, ts, (SELECT count(*) FROM o x WHERE x.op = 'FLUSH' AND x.seq < r.seq) AS epoch FROM r WHERE op = 'ODD' AND odd = 12),
+    mk AS (SELECT li.seq, li.ts, k.key, arg_max({{'kind': k.kind, 'e': k.e}}, k.seq) AS x FROM li JOIN k ON k.epoch = li.epoch AND k.seq < li.seq AND k.took AND k.key LIKE 'user:1%' GROUP BY ALL),
+    ll AS (SELECT li.seq, list_sort(list(mk.key) FILTER (x.kind <> 'D' AND (x.e <= 0 OR mk.ts < x.e))) AS keys FROM li LEFT JOIN mk USING (seq) GROUP BY li.seq)
+    SELECT r.seq, CASE WHEN r.op <> 'ODD' OR odd IN (5, 6, 12) THEN 200 WHEN odd = 7 THEN 404 WHEN odd = 8 THEN 405 WHEN odd = 9 THEN 500 ELSE 400 END AS status,
+        CASE WHEN r.op = 'ODD' THEN CASE odd WHEN 5 THEN '{{"pong":true}}' WHEN 6 THEN '{{}}' WHEN 7 THEN '{{"error":"not found"}}' WHEN 8 THEN '{{"error":"method not allowed"}}' WHEN 9 THEN '{{"error":"body is not JSON"}}' WHEN 10 THEN '{{"error":"missing value"}}' WHEN 11 THEN '{{"error":"missing key"}}'
+                ELSE '{{"keys":[' || coalesce('"' || array_to_string(ll.keys, '","') || '"', '') || ']}}' END
+             WHEN r.op IN ('FLUSH', 'SET') THEN '{{"ok":true}}' WHEN r.op = 'MUPD' THEN '{{"updated":' || CAST(w.existed AS INT) || '}}' WHEN r.op = 'DEL' THEN '{{"deleted":' || CAST(w.existed AS VARCHAR) || '}}'
+             WHEN w.existed THEN '{{"key":"' || r.key || '","value":' || {_JSON.format("w.q.value")} || ',"exists":true}}' ELSE '{{"key":"' || r.key || '","exists":false}}' END AS body
+    FROM r LEFT JOIN w ON w.seq = r.seq LEFT JOIN ll ON ll.seq = r.seq""")
+def rest_requests(spark, sf_dir):
+    """Status and body of a request for each event, over all routes but the batch."""
+    e = table(spark, sf_dir, "events")
+    ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    odd, t = F.when((F.col("event_id") % 4000 != 3999) & (F.col("event_id") % 97).between(5, 12), F.col("event_id") % 97), F.col("event_type")
+    flush = F.col("event_id") % 4000 == 3999
+    own = F.concat(F.lit("/api/keys/user:"), "user_id")
+    kind = F.when(flush, "flush").when(t.isin("signup", "click"), "set").when(t == "purchase", "update").when(t == "view", "get").otherwise("delete")
+    ttl = F.when(F.floor("value") > 40, F.floor("value").cast("bigint") * 1000)
+    value = F.when(kind == "set", F.col("props")).when(kind == "update", F.concat(F.lit("p"), "event_id"))
+    methods = {5: "GET", 6: "OPTIONS", 7: "GET", 8: "PATCH", 9: "POST", 10: "POST", 11: "GET", 12: "GET"}
+    paths = {5: "/api/ping", 6: "/api/keys", 7: "/nope", 8: "/api/keys/x", 9: "/api/keys/x", 10: "/api/keys/x", 11: "/api/keys/", 12: "/api/keys"}
+    by = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[odd]
+    method = F.coalesce(by(methods), F.when(flush, "DELETE").when(kind == "set", "POST").when(kind == "update", "PUT").when(kind == "get", "GET").otherwise("DELETE"))
+    path = F.coalesce(by(paths), F.when(flush, "/api/keys").otherwise(own))
+    body = F.when(odd == 9, "{").when(odd == 10, "{}").when(odd.isNull() & value.isNotNull(), F.to_json(F.struct(value.alias("value"), ttl.alias("ttl"))))
+    return respond(e.select(F.col("event_id").alias("seq"), ms.alias("ts"), method.alias("method"), path.alias("path"), F.when(odd == 12, "pattern=user%3A1*").alias("query"), body.alias("body")))
+
+
+@query(r"""WITH e AS (SELECT event_id AS seq, user_id % 3 AS session, event_id % 12 AS n, 'k' || (user_id % 20) AS k FROM events),
+    q AS (SELECT session, min(seq) AS quit FROM e WHERE session = 2 AND n = 6 AND seq > (SELECT max(seq) / 2 FROM e) GROUP BY 1),
+    a AS (SELECT e.* FROM e LEFT JOIN q USING (session) WHERE quit IS NULL OR seq <= quit),
+    u AS (SELECT *, last_value(CASE WHEN n = 5 THEN CASE seq % 3 WHEN 0 THEN '*' WHEN 1 THEN 'a' ELSE 'b' END END IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM a),
+    p AS (SELECT *, CASE WHEN c IS NULL OR c = '*' THEN k ELSE c || ':' || k END AS key FROM u),
+    s AS (SELECT p.*, w.value FROM p ASOF LEFT JOIN (SELECT key, seq, 'v' || seq AS value FROM p WHERE n = 8) w ON p.key = w.key AND p.seq > w.seq)
+    SELECT session::VARCHAR AS session, seq, CASE n WHEN 0 THEN '"PONG"' WHEN 1 THEN coalesce('"' || value || '"', '"(nil)"') || chr(10) || coalesce('"' || value || '"', '"(nil)"') || chr(10) || '*END'
+        WHEN 2 THEN '(error) ERR unknown command ''NOPE' || chr(39) WHEN 3 THEN '(error) ERR wrong number of arguments for ''SET' || chr(39) WHEN 4 THEN '(error) ERR unterminated quoted string'
+        WHEN 5 THEN CASE seq % 3 WHEN 0 THEN '"OK (default)"' WHEN 1 THEN '"OK (using a)"' ELSE '"OK (using b)"' END
+        WHEN 6 THEN CASE WHEN seq = (SELECT quit FROM q WHERE q.session = s.session) THEN 'OK' ELSE '(error) ERR empty line' END
+        WHEN 7 THEN '(error) ERR unknown COLLECTION sub-command: WHAT — valid: LIST, CREATE, DROP' WHEN 8 THEN 'OK' WHEN 9 THEN CASE WHEN value IS NULL THEN '"none"' ELSE '"string"' END
+        WHEN 10 THEN '(integer) ' || CASE WHEN value IS NULL THEN 0 ELSE 1 END ELSE CASE WHEN value IS NULL THEN '*END' ELSE '"' || key || '"' || chr(10) || '*END' END END AS reply FROM s""")
+def session_verbs(spark, sf_dir):
+    """Replies of three sessions to PING, MGET, USE, QUIT, TYPE, EXISTS, KEYS, SET and erroneous lines, one for each event."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 3).cast("string").alias("session"), (F.col("event_id") % 12).alias("n"), F.concat(F.lit("k"), F.col("user_id") % 20).alias("k"))
+    half = (e.agg(F.max("seq")).first()[0] or 0) / 2
+    quit_ = e.filter((F.col("session") == "2") & (F.col("n") == 6) & (F.col("seq") > half)).agg(F.min("seq")).first()[0]
+    coll = F.when(F.col("seq") % 3 == 0, "*").when(F.col("seq") % 3 == 1, "a").otherwise("b")
+    verbs = {0: "PING", 1: F.concat_ws(" ", F.lit("MGET"), "k", "k"), 2: "nope x", 3: "SET a", 4: 'SET "open', 5: F.concat(F.lit("USE "), coll), 7: "COLLECTION WHAT", 8: F.concat(F.lit("SET "), "k", F.lit(" v"), "seq"), 9: F.concat(F.lit("TYPE "), "k"), 10: F.concat(F.lit("EXISTS "), "k"), 11: F.concat(F.lit("KEYS "), "k")}
+    line = F.when(F.col("seq") == F.lit(quit_), "QUIT").when(F.col("n") == 6, "  ")
+    for n, text in verbs.items():
+        line = line.when(F.col("n") == n, text if not isinstance(text, str) else F.lit(text))
+    return run_script(e.select("session", "seq", F.col("seq").alias("ts"), line.alias("line")))
+
+
+@query("SELECT event_id AS seq, CASE WHEN event_id % 2 = 0 THEN '(error) ERR not the leader, current leader is n1' ELSE '(nil)' END AS reply FROM events")
+def read_only_follower(spark, sf_dir):
+    """A follower's replies to writes and reads."""
+    line = F.concat(F.when(F.col("event_id") % 2 == 0, "DEL k").otherwise("GET k"), "user_id")
+    script = table(spark, sf_dir, "events").select(F.lit("s").alias("session"), F.col("event_id").alias("seq"), F.lit(0).alias("ts"), line.alias("line"))
+    return run_script(script, read_only="n1").select("seq", "reply")
+
+
+@query(f"WITH {_OPS.replace('WHEN event_id % 4000 = 3999 THEN ' + chr(39) + 'flush' + chr(39), 'WHEN FALSE THEN NULL')}, {_SEEN} SELECT seq, key, op, existed, CASE WHEN existed THEN q.value END AS old_value FROM w")
+def keyed_stream(spark, sf_dir):
+    """The same replies from a stream with an entry of state for each key, without FLUSH."""
+    path = _shared(spark, "keyed")
+    event_log(spark, sf_dir, flush="false").repartitionByRange(STREAM_FILES, "seq").write.json(f"{path}/log")
+    stream = spark.readStream.schema("seq bigint, ts bigint, op string, key string, value string, expireAt bigint, items array<struct<key:string,value:string>>, keys array<string>").json(f"{path}/log")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+    answers(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = durable(spark.read.parquet(f"{path}/out").select("seq", "key", "op", "existed", "old_value"))
+    _forget(spark, path)
+    return found
+
+
+@query("""SELECT line_id, unnest(list_distinct(from_json('[' || substr(value, 2, length(value) - 2) || ']', '["VARCHAR"]'))) AS item FROM active WHERE value LIKE '(%)' AND json_valid('[' || substr(value, 2, length(value) - 2) || ']')""")
+def set_items(spark, sf_dir):
+    """The distinct strings of all set values."""
+    return table(spark, sf_dir, "active").select("line_id", F.explode(exprs.set_value("value")).alias("item"))
