@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.runtime import spread
+from keyloom.runtime import durable, spread
 
 #: A passage is this long at least.
 WORDS, LETTERS = 12, 20
@@ -130,7 +130,11 @@ def matcher(items: Sequence[tuple[int, str]]) -> Matcher:
 
 def leaked(text: str, m: Matcher) -> list[int]:
     """Item ids with a passage in ``text``."""
-    flat = plain(text)
+    return found_in(plain(text), m)
+
+
+def found_in(flat: str, m: Matcher) -> list[int]:
+    """The same of a text in its ``plain`` form."""
     words = flat.split()
     ids = [m.word_ids[k] for k in search(words, m.words)]
     if m.letter_ids and _HAN.search(flat):
@@ -138,34 +142,45 @@ def leaked(text: str, m: Matcher) -> list[int]:
     return ids
 
 
-def _scan(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], tables, flat: bool) -> Iterator[pa.RecordBatch]:
     m = tables.value
     for b in batches:
         docs, items = [], []
         for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            got = leaked(t, m)
+            got = found_in(t, m) if flat else leaked(t, m)
             docs += [d] * len(got)
             items += got
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], names=["doc_id", "item_id"])
 
 
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([plain(t) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, set_chars: int = SET_CHARS) -> DataFrame:
     """One row (doc_id, item_id) for each document and test item that share a passage.
 
     ``docs``: doc_id, text; ``items``: item_id, text; other columns are not read. Null, empty and
     short texts match nothing; rows of equal ids count as one. Items beyond ``set_chars`` characters
-    in all are split by id into sets, and every document is searched for each set.
+    in all are split by id into sets, searched for one after the other: the texts are then reduced once,
+    to a copy, and the driver and the tasks hold the tables of one set at a time.
     """
     spark = docs.sparkSession
     usable = items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
     total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
     sets = -(-total // set_chars) or 1
-    texts = spread(docs.filter(F.length("text") >= LETTERS).select("doc_id", "text"))
+    texts = spread(docs.filter(F.length("text") >= LETTERS).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    if sets > 1:
+        texts = durable(texts.mapInArrow(_plain, "doc_id long, text string"))
     out = None
     for k in range(sets):
         part = usable.filter(F.pmod(F.xxhash64("item_id"), F.lit(sets)) == k) if sets > 1 else usable
-        # bounded by set_chars; one matcher is compiled for each set and shared by all tasks of an executor
+        # bounded by set_chars; shared by all tasks of an executor
         tables = spark.sparkContext.broadcast(matcher([(r[0], r[1]) for r in part.collect()]))
-        got = texts.mapInArrow(lambda b, t=tables: _scan(b, t), "doc_id long, item_id long")
+        got = texts.mapInArrow(lambda b, t=tables: _scan(b, t, sets > 1), "doc_id long, item_id long")
+        if sets > 1:
+            got = durable(got)
+            tables.unpersist()
         out = got if out is None else out.union(got)
     return out.distinct()
