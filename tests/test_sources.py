@@ -1,11 +1,16 @@
 import gzip
 import json
+import os
+import shutil
+
+import pytest
 
 from pyspark.sql import functions as F
 
 from keyloom.operators.fold import bounds, fold, slice_of
 from keyloom.sources.oplog import append_log, cluster_links, decode, lines_of, read_cluster, read_log
-from keyloom.streaming.replica import current, follow
+from keyloom.streaming import replica
+from keyloom.streaming.replica import current, follow, last_batch
 from tests.logs import LOG, random_log, sequential
 
 
@@ -80,14 +85,23 @@ def test_cluster_configuration(spark, tmp_path):
     assert [tuple(r) for r in cluster_links(read_cluster(spark, str(tmp_path))).collect()] == [("n1", "n2", "h", 0, 7002)]
 
 
-def test_follower_equals_fold(spark, tmp_path):
-    log = random_log(9, n=240, reads=False)
+@pytest.mark.parametrize("seed", [9, 10])
+def test_follower_equals_fold(spark, tmp_path, monkeypatch, seed):
+    monkeypatch.setattr(replica, "MERGE", 3)
+    log = random_log(seed, n=240, reads=False)
     names = [c.split()[0] for c in LOG.replace("array<struct<key string, value string>>", "x").split(", ")]
-    for i in range(3):
-        part = [dict(zip(names, r)) for r in log[i * 80 : (i + 1) * 80]]
-        (tmp_path / "log").mkdir(exist_ok=True)
+    (tmp_path / "log").mkdir()
+    for i in range(8):
+        part = [dict(zip(names, r)) for r in log[i * 30 : (i + 1) * 30]]
         (tmp_path / "log" / f"{i}.json").write_text("\n".join(json.dumps(r | {"items": [{"key": k, "value": v} for k, v in r["items"]] if r["items"] is not None else None}) for r in part) + "\n")
-        follow(spark, str(tmp_path / "log"), str(tmp_path / "state"), str(tmp_path / "cp"), once=True).awaitTermination()
+        os.utime(tmp_path / "log" / f"{i}.json", (1000 + i, 1000 + i))
+    state = str(tmp_path / "state")
+    follow(spark, str(tmp_path / "log"), state, str(tmp_path / "cp"), once=True, files=1).awaitTermination()
     now = log[-1][1]
-    got = {r.key: r.value for r in current(spark, str(tmp_path / "state"), 2, now).collect()}
-    assert got == {k: v[0] for k, v in sequential(log, now)[0].items()}
+    assert last_batch(spark, state) == 7 and sorted(n for n in os.listdir(state) if n.startswith("base")) == ["base=2", "base=5"]
+    got = {r.key: (r.value, r.expire_at, r.created_at) for r in current(spark, state, 7, now).collect()}
+    assert got == sequential(log, now)[0]
+    # a lost batch is an error, not an empty state
+    shutil.rmtree(next(tmp_path.glob("state/batch=7*")))
+    with pytest.raises(FileNotFoundError):
+        current(spark, state, 7, now)
