@@ -80,11 +80,12 @@ def current_entries(feed: DataFrame, scope: str = "nodeId", slices: int | None =
     the last one matter.
     """
     spans = small_side(scopes(feed, scope))
-    slices = slices or (spans.agg(F.sum("rows")).first()[0] or 0) // SLICE_ROWS + 1
+    n = spans.agg(F.sum("rows")).first()[0] or 0
+    slices = slices or n // SLICE_ROWS + 1
     changes = merged_changes(feed, scope).filter(F.col("op").isin(*_KINDS)).join(spans, "scope")
     later = changes.filter(F.col("flush").isNull() | (F.struct("ts", "seq") > F.col("flush")))
     # equal numbers of rows, whatever times a burst or a wrong clock gives them
-    cuts = cut_points(feed, ["ts", "seq"], slices)
+    cuts = cut_points(feed, ["ts", "seq"], slices, n)
     kind = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])[F.col("op")]
     ops = later.select(
         "scope",

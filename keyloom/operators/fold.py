@@ -42,7 +42,7 @@ def bounds(log: DataFrame):
 
 def slice_of(log: DataFrame, b, slices: int | None) -> Column:
     """The slice of a row by its seq; the slices of ``log``, of bounds ``b``, hold about as many operations each."""
-    return slice_at(["seq"], cut_points(log, ["seq"], slices or b.n // SLICE_OPS + 1))
+    return slice_at(["seq"], cut_points(log, ["seq"], slices or b.n // SLICE_OPS + 1, b.n))
 
 
 def fold(log: DataFrame, now: int, slices: int | None = None) -> DataFrame:
@@ -68,7 +68,7 @@ def count_before(rows: DataFrame, marks: DataFrame, name: str, at: str = "seq")
     n = marks.count()
     if not n:
         return rows.withColumn(name, F.lit(0).cast("bigint"))
-    cuts = cut_points(marks, ["m"], n // FLUSHES + 1)
+    cuts = cut_points(marks, ["m"], n // FLUSHES + 1, n)
     held = marks.groupBy(slice_at(["m"], cuts).alias("__s")).agg(F.sort_array(F.collect_list("m")).alias("__m"))
     every = rows.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("__s")).join(held, "__s", "left")
     every = every.withColumn("__m", F.coalesce("__m", F.array().cast(dict(held.dtypes)["__m"]))).withColumn("__n", F.size("__m"))

@@ -24,7 +24,8 @@ def took_effect() -> Column:
 def lives(told: DataFrame) -> DataFrame:
     """key, value, exp, epoch, start, stop for each write of ``replies``: it is seen by operations of its epoch between start and stop (null: to the end)."""
     ops = told.filter(took_effect()).select("key", "epoch", "seq", "pos", "kind", "value", "exp")
-    cuts = cut_points(ops, ["seq"], ops.count() // SLICE_OPS + 1)
+    n = ops.count()
+    cuts = cut_points(ops, ["seq"], n // SLICE_OPS + 1, n)
     sliced = ops.withColumn("s", slice_at(["seq"], cuts))
     inside = F.lead("seq").over(W.partitionBy("key", "epoch", "s").orderBy("seq", "pos"))
     ended = sliced.withColumn("stop", inside)

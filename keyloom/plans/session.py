@@ -28,7 +28,8 @@ _NOT_INT = "value is not an integer or out of range"
 
 def last_before(df: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
     """``df`` with the last non-null value of its key on earlier rows; hot keys are cut into slices."""
-    cuts = cut_points(df, [order], df.count() // SLICE_LINES + 1)
+    n = df.count()
+    cuts = cut_points(df, [order], n // SLICE_LINES + 1, n)
     sliced = df.withColumn("__v", value).withColumn("__s", slice_at([order], cuts))
     inside = F.last("__v", ignorenulls=True).over(W.partitionBy(key, "__s").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
     if not cuts:
