@@ -46,7 +46,8 @@ def slice_at(order: Sequence[str], cuts: Sequence[tuple]) -> Column:
     one = len(order) == 1
     row = F.col(order[0]) if one else F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order)])
     text = ",".join(_literal(c[0]) if one else "named_struct(" + ",".join(f"'c{i}',{_literal(v)}" for i, v in enumerate(c)) + ")" for c in cuts)
-    return search(F.expr(f"array({text})"), F.lit(len(cuts)), row, len(cuts), lambda a, b: a <= b)
+    # the zero hides the search from the optimizer: behind a join of slices it may put it where ``order`` is not known
+    return search(F.expr(f"array({text})"), F.lit(len(cuts)), row, len(cuts), lambda a, b: a <= b) + (F.monotonically_increasing_id() * F.lit(0)).cast("int")
 
 
 def search(values: Column, size: Column, x: Column, most: int, before) -> Column:

@@ -1,6 +1,7 @@
 import pytest
 
 from keyloom.operators import collections as C
+from keyloom.plans.queries import read_only_follower
 from keyloom.plans.session import batch_count, last_before, run_script
 from pyspark.sql import functions as F
 
@@ -88,6 +89,12 @@ def test_last_before_is_carried_over_slices(spark, monkeypatch):
     assert got[3] is None and got[4] == got[170] == "v3" and got[171] == got[299] == "v170"
 
 
+def test_a_sliced_script_of_one_session_named_by_a_literal(spark, monkeypatch):
+    monkeypatch.setattr("keyloom.plans.session.SLICE_LINES", 400)
+    got = read_only_follower(spark, "/root/testdata/sf0.001").collect()
+    assert got and all(r.reply == ("(nil)" if r.seq % 2 else "(error) ERR not the leader, current leader is n1") for r in got)
+
+
 def test_collections_of_a_state(spark):
     state = spark.createDataFrame([("__collections__", '["b","a"]'), ("web:1", "x"), (":x", "y"), ("plain", "z"), ("web:2\n", "n")], "key string, value string")
     assert [r.name for r in C.names(state).collect()] == ["a", "b", "web"]
