@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from keyloom.functions.exprs import glob_match, live
 from keyloom.operators.fold import SLICE_OPS, count_before
 from keyloom.operators.slices import cut_points, slice_at
-from keyloom.runtime import small_side
+from keyloom.runtime import durable, small_side
 
 
 def took_effect() -> Column:
@@ -67,7 +67,31 @@ def match_globs(keys: DataFrame, patterns: DataFrame, also: Column | None = None
 
 
 def listed(found: DataFrame, lists: DataFrame, flushes: DataFrame) -> DataFrame:
-    """(seq, key) for each listing (seq, ts, glob) and key that it finds, from ``lives``; ``flushes`` (m) part the epochs."""
-    at = count_before(lists.select(F.col("seq").alias("at"), "ts", "glob"), flushes, "in_epoch", "at")
-    inside = (F.col("in_epoch") == F.col("epoch")) & (F.col("start") < F.col("at")) & (F.col("stop").isNull() | (F.col("at") < F.col("stop"))) & live("exp", F.col("ts"))
-    return match_globs(holding(found, lists).select("key", "exp", "epoch", "start", "stop"), at, inside).select(F.col("at").alias("seq"), "key")
+    """(seq, key) for each listing (seq, ts, glob) and key that it finds, from ``lives``; ``flushes`` (m) part the epochs.
+
+    Each key meets each glob once, and then the listings with it in the stretch from the key's first to its last life of
+    an epoch; which of its lives a listing sees is the last one that began before, not a search of all.
+    """
+    at = count_before(lists.select(F.col("seq").alias("at"), "ts", "glob"), flushes, "epoch", "at")
+    kept = durable(holding(found, lists).select("key", "epoch", "start", "stop", "exp"))
+    keys = kept.groupBy("key", "epoch").agg(F.min("start").alias("first"), F.max(F.struct(F.col("stop").isNull().alias("open"), "stop")).alias("end"))
+    globs = lists.select("glob").distinct()
+    pairs = match_globs(keys.select("key").distinct(), globs).join(keys, "key")
+    inside = (F.col("first") < F.col("at")) & (F.col("end.open") | (F.col("at") < F.col("end.stop")))
+    asked = pairs.join(at, ["glob", "epoch"]).filter(inside).select("key", "epoch", "at", "ts")
+    null = lambda t: F.lit(None).cast(t)
+    life = kept.select("key", "epoch", F.col("start").alias("at"), null("bigint").alias("ts"), F.struct("start", "stop", "exp").alias("life"))
+    both = durable(life.union(asked.withColumn("life", null(dict(life.dtypes)["life"]))))
+    seen = last_of(both, ["key", "epoch"], "at", "life").filter("ts is not null")
+    return seen.filter((F.col("life.stop").isNull() | (F.col("at") < F.col("life.stop"))) & live("life.exp", F.col("ts"))).select(F.col("at").alias("seq"), "key")
+
+
+def last_of(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """``rows`` with null ``name`` filled by its last value before; among rows of one order, values are behind. Hot groups are cut into slices."""
+    n = rows.count()
+    sliced = rows.withColumn("__s", slice_at([order], cut_points(rows, [order], n // SLICE_OPS + 1, n)))
+    w = W.partitionBy(*by, "__s").orderBy(order, F.col(name).isNotNull())
+    inside = sliced.withColumn("__i", F.last(name, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    ends = sliced.groupBy(*by, "__s").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order))).alias("__e"))
+    before = ends.select(*by, "__s", F.last("__e", ignorenulls=True).over(W.partitionBy(*by).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)).alias("__c"))
+    return inside.join(before, [*by, "__s"]).withColumn(name, F.coalesce("__i", "__c")).drop("__s", "__i", "__c")
